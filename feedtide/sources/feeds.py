@@ -140,13 +140,15 @@ def feed_entries(raw_feeds: DataFrame) -> DataFrame:
     )
 
 
-def _item_rows(entries: DataFrame) -> DataFrame:
+def item_rows(entries: DataFrame, *extra: str) -> DataFrame:
+    """The nine item columns of accepted entries, plus any ``extra`` ones."""
     return entries.select(
         *[F.col(f"item.{name}").alias(name) for name in ("title", "link", "pubDate", "creator", "content")],
         snippet(F.col("item.content")).alias("contentSnippet"),
         F.col("item.guid").alias("guid"),
         iso_utc(feed_time(F.col("item.pubDate"))).alias("isoDate"),
         "feedUrl",
+        *extra,
     )
 
 
@@ -163,7 +165,7 @@ def ingest_reason(entries: DataFrame) -> DataFrame:
 
 def rss_items(raw_feeds: DataFrame) -> DataFrame:
     """Item rows of all usable feeds: feeds without an own address and items without a link dropped."""
-    return _item_rows(ingest_reason(feed_entries(raw_feeds)).where(F.col("reason").isNull()))
+    return item_rows(ingest_reason(feed_entries(raw_feeds)).where(F.col("reason").isNull()))
 
 
 def quarantine(raw_feeds: DataFrame) -> DataFrame:
