@@ -370,12 +370,12 @@ def _stream_ingest(spark, sf_dir):
 
 
 def _stream_votes(spark, sf_dir):
-    """The vote actions streamed through keyed state; the voted list is the log's last states."""
+    """The vote actions streamed into the change log; the voted list is its last states."""
     base = fresh_dir(spark, "stream-votes")
     _actions(spark, sf_dir).write.parquet(f"{base}/actions")
     schema = spark.read.parquet(f"{base}/actions").schema
     stream = spark.readStream.schema(schema).parquet(f"{base}/actions")
-    stream_ingest.start_append(stream_votes.vote_changes(stream), f"{base}/log", f"{base}/marks").awaitTermination()
+    stream_votes.start_vote_log(stream, f"{base}/log", f"{base}/marks").awaitTermination()
     current = stream_votes.current_votes(spark.read.parquet(f"{base}/log"))
     return votes.voted_list(current).select(
         "user_id", "uri", "title", F.col("state").cast("long").alias("state"), _us("uriCreatedAt")
@@ -492,7 +492,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "voted_list": lambda s, d: _votes_shape(votes.voted_list(_item_votes(s, d))),
         "access_check": _access_check,
         "timeline": lambda s, d: timeline.timeline(_user_items(s, d)).select("user_id", "feed_uri", "uri", _us("dateTime")),
-        "timeline_page": lambda s, d: timeline.timeline_page(_user_items(s, d), 20).select(
+        "timeline_page": lambda s, d: timeline.timeline_page(_feed_uris(s, d), _feed_items(s, d), 20).select(
             "user_id", "uri", F.col("rank").cast("long").alias("rank")
         ),
         "votes_since_oldest_item": lambda s, d: _votes_shape(

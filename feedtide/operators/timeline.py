@@ -35,14 +35,27 @@ def timeline(rows: DataFrame) -> DataFrame:
     return rows.orderBy("user_id", F.desc("dateTime"), "uri", "feed_uri")
 
 
-def timeline_page(rows: DataFrame, size: int, per: str = "user_id") -> DataFrame:
+def timeline_page(feed_uris: DataFrame, items: DataFrame, size: int) -> DataFrame:
     """The ``size`` newest items of each user, with their rank.
 
-    Spark limits each input partition to ``size`` rows per user before the
-    shuffle, so a user with very many items costs no task more than its share.
+    A page takes at most ``size`` items from any one feed, so feeds are cut to
+    their newest ``size`` before they meet their subscribers. Spark applies both
+    rank limits within each input partition first, so neither a long feed nor a
+    user of many feeds lands on one task whole.
     """
-    order = Window.partitionBy(per).orderBy(F.desc("dateTime"), "uri", "feed_uri")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
+    newest_in_feed = Window.partitionBy("feed_uri").orderBy(F.desc("dateTime"), "uri")
+    newest_for_user = Window.partitionBy("user_id").orderBy(F.desc("dateTime"), "uri", "feed_uri")
+    heads = (
+        items.where(F.col("dateTime").isNotNull())
+        .withColumn("_place", F.row_number().over(newest_in_feed))
+        .where(F.col("_place") <= size)
+        .drop("_place")
+    )
+    return (
+        user_items(feed_uris, heads)
+        .withColumn("rank", F.row_number().over(newest_for_user))
+        .where(F.col("rank") <= size)
+    )
 
 
 def votes_since_oldest_item(rows: DataFrame, votes: DataFrame, min_hot_rows: int | None = None) -> DataFrame:

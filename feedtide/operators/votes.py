@@ -29,12 +29,21 @@ def action_sign(action: Column) -> Column:
     return F.when(action == "up", 1).when(action == "down", -1)
 
 
-def invalid_actions(actions: DataFrame) -> DataFrame:
-    """Actions that are neither up nor down, or lack their place in time."""
-    sign = action_sign(F.col("action"))
-    return actions.where(sign.isNull() | F.col("ts").isNull() | F.col("event_id").isNull()).withColumn(
-        "reason", F.when(sign.isNull(), "unknown_action").otherwise("no_order")
+def _keyed(key) -> Column:
+    known = F.lit(True)
+    for name in key:
+        known = known & F.col(name).isNotNull()
+    return known
+
+
+def invalid_actions(actions: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Actions that are neither up nor down, lack their place in time, or name no item."""
+    reason = (
+        F.when(action_sign(F.col("action")).isNull(), "unknown_action")
+        .when(F.col("ts").isNull() | F.col("event_id").isNull(), "no_order")
+        .when(~_keyed(key), "no_key")
     )
+    return actions.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
 def invalid_votes(votes: DataFrame) -> DataFrame:
@@ -44,33 +53,40 @@ def invalid_votes(votes: DataFrame) -> DataFrame:
     )
 
 
-def vote_states(
-    actions: DataFrame,
-    votes: DataFrame | None = None,
+def valid_actions(actions: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """(key, title, ts, event_id, sign) of the actions that count."""
+    return actions.select(
+        *key, "title", "ts", "event_id", action_sign(F.col("action")).alias("sign")
+    ).where(F.expr("sign is not null and ts is not null and event_id is not null") & _keyed(key))
+
+
+def folded_states(
+    rows: DataFrame,
+    starts: DataFrame | None = None,
     key: tuple[str, ...] = KEY,
     min_hot_rows: int | None = None,
 ) -> DataFrame:
-    """(key, old_state, state) of every key with a valid action.
+    """(key, old_state, state, ts, event_id): signed actions folded into starting states.
 
-    Actions are ordered by (ts, event_id). ``votes`` holds the starting states; a
-    key without a row starts at 0.
+    ``rows`` is ``valid_actions``, ``starts`` has at most one (key, old_state) row
+    per key; a key without one starts at 0. ts and event_id are the last action's.
     """
     key = list(key)
     place = F.struct("ts", "event_id")
-    rows = actions.select(
-        *key, "ts", "event_id", action_sign(F.col("action")).alias("sign")
-    ).where("sign is not null and ts is not null and event_id is not null")
     last = rows.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_actions"),
         F.max(F.when(F.col("sign") > 0, place)).alias("last_up"),
         F.max(F.when(F.col("sign") < 0, place)).alias("last_down"),
     )
-    up_is_last = F.col("last_down").isNull() | (F.col("last_up") > F.col("last_down"))
+    up_is_last = F.coalesce(
+        F.col("last_down").isNull() | (F.col("last_up") > F.col("last_down")), F.lit(False)
+    )
     last = last.select(
         *key,
         "n_actions",
-        F.when(F.coalesce(up_is_last, F.lit(False)), 1).otherwise(-1).alias("last_sign"),
-        F.when(F.coalesce(up_is_last, F.lit(False)), F.col("last_down")).otherwise(F.col("last_up")).alias("cut"),
+        F.when(up_is_last, 1).otherwise(-1).alias("last_sign"),
+        F.when(up_is_last, F.col("last_up")).otherwise(F.col("last_down")).alias("last_place"),
+        F.when(up_is_last, F.col("last_down")).otherwise(F.col("last_up")).alias("cut"),
     )
     runs = (
         attach_per_key(rows, last, key, "n_actions", min_hot_rows)
@@ -79,22 +95,40 @@ def vote_states(
         .agg(
             F.count(F.lit(1)).alias("run"),
             F.first("last_sign").alias("last_sign"),
+            F.first("last_place").alias("last_place"),
             F.first("cut").isNull().alias("whole"),
         )
     )
-    if votes is None:
+    if starts is None:
         started = runs.withColumn("old_state", F.lit(0))
     else:
-        start = one_vote_per_key(votes, key).select(*key, F.col("state").alias("old_state"))
-        started = runs.join(start, key, "left").withColumn("old_state", F.coalesce("old_state", F.lit(0)))
+        started = runs.join(starts, key, "left").withColumn("old_state", F.coalesce("old_state", F.lit(0)))
     head_start = (F.col("whole") & (F.col("old_state") == F.col("last_sign"))).cast("int")
     return started.select(
         *key,
         F.col("old_state").cast("int").alias("old_state"),
         F.when((F.col("run") + head_start) % 2 == 1, F.col("last_sign")).otherwise(0).alias("state"),
+        "last_place.*",
     )
 
 
+def vote_states(
+    actions: DataFrame,
+    votes: DataFrame | None = None,
+    key: tuple[str, ...] = KEY,
+    min_hot_rows: int | None = None,
+) -> DataFrame:
+    """(key, old_state, state) of every key with a valid action.
+
+    Actions are ordered by (ts, event_id). ``votes`` holds the starting states; a
+    key without a row starts at 0.
+    """
+    starts = None
+    if votes is not None:
+        starts = one_vote_per_key(votes, key).select(*key, F.col("state").alias("old_state"))
+    return folded_states(valid_actions(actions, key), starts, key, min_hot_rows).drop("ts", "event_id")
+
+
 def one_vote_per_key(votes: DataFrame, key: tuple[str, ...] | list[str] = KEY) -> DataFrame:
     """Valid stored votes reduced to one per key, the smallest doc_id."""
     key = list(key)

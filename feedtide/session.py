@@ -46,9 +46,25 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/feedtide-{spark.sparkContext.applicationId}"
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/feedtide/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below the application's scratch folder."""
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder the library wrote, wherever the shared folder lives."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete everything this application staged. Call it when the job is done with its results."""
+    delete_path(spark, scratch_dir(spark))
 
 
 def checkpointed(df, eager: bool = True):
@@ -60,12 +76,12 @@ def checkpointed(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
-def staged(df, label: str):
+def staged(df, label: str, path: str | None = None):
     """Write ``df`` once as parquet below the shared folder and read it back.
 
     For results that several branches read: each branch then scans only its own
     columns, nothing is computed twice, and a lost executor costs no recomputation.
     """
-    path = fresh_dir(df.sparkSession, label)
+    path = path or fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

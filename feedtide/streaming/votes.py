@@ -1,73 +1,110 @@
-"""Vote actions as a stream: keyed state, a change log, and the live voted list."""
+"""Vote actions as a stream: a change log, and the live voted list it stands for.
 
-from __future__ import annotations
+Each micro-batch is folded with the same closed form as a batch of history, on
+top of the last logged state of the keys it touches. All of it is built-in
+column work, so a batch of many small keys and a batch of one huge key cost
+alike. A batch owns its partition of the log and replaces it when retried.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from feedtide.operators.votes import KEY, action_sign
+from feedtide.operators.skew import salted_join
+from feedtide.operators.votes import KEY, folded_states, valid_actions
+from feedtide.session import staged
 
 CHANGES = (
     "user_id string, uri string, uriCreatedAt timestamp, title string, state int, "
-    "ts timestamp, event_id long, late long"
+    "ts timestamp, event_id long, late long, batch long"
 )
-_STATE = "state int, ts timestamp, event_id long"
 
 
-def _advance(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-    """One micro-batch of one key: fold its actions, in order, into the held state.
+def _log_before(spark, log_path: str, batch_id: int) -> DataFrame:
+    try:
+        log = spark.read.schema(CHANGES).parquet(log_path)
+    except AnalysisException:  # the first batch finds no log
+        return spark.createDataFrame([], CHANGES)
+    return log.where(F.col("batch") < batch_id)
+
+
+def latest_states(log: DataFrame) -> DataFrame:
+    """Last logged state of every key, with the place of the action that set it."""
+    place = F.struct("ts", "event_id")
+    return (
+        log.groupBy(*KEY)
+        .agg(F.max(place).alias("_place"), F.max_by("state", place).alias("old_state"))
+        .select(*KEY, F.col("_place"), "old_state")
+    )
+
 
-    Only the sign and order of a key's new actions are kept, and the fold is the
-    trailing-run closed form. Actions not after the last applied one are late:
-    they are counted and not applied.
+def fold_batch(actions: DataFrame, log: DataFrame) -> DataFrame:
+    """New log rows for a batch of actions: state, title and number of late actions per key.
+
+    An action not after the last one applied to its key is late: it is counted
+    and not applied.
     """
-    state, ts, event_id = held.get if held.exists else (0, None, None)
-    new = pd.concat([b[["ts", "event_id", "sign", "title"]] for b in batches])
-    late = 0
-    if ts is not None:
-        after = (new["ts"] > ts) | ((new["ts"] == ts) & (new["event_id"] > event_id))
-        late = int((~after).sum())
-        new = new[after]
-    title = None
-    if len(new):
-        new = new.sort_values(["ts", "event_id"], kind="stable")
-        sign = new["sign"].to_numpy()
-        last = int(sign[-1])
-        differs = (sign != last).nonzero()[0]
-        run = len(sign) - (differs[-1] + 1 if len(differs) else 0)
-        run += int(not len(differs) and state == last)
-        state = last if run % 2 else 0
-        ts, event_id = new["ts"].iloc[-1], int(new["event_id"].iloc[-1])
-        title = new["title"].min()
-    held.update((state, ts, event_id))
-    yield pd.DataFrame(
-        {
-            "user_id": [key[0]], "uri": [key[1]], "uriCreatedAt": [key[2]], "title": [title],
-            "state": [state], "ts": [ts], "event_id": [event_id], "late": [late],
-        }
+    rows = valid_actions(actions)
+    sizes = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_actions"))
+    known = latest_states(log.join(sizes, list(KEY), "left_semi"))
+    placed = staged(
+        salted_join(rows, known, KEY, [F.col("event_id")], sizes, "n_actions", how="left").withColumn(
+            "is_late", F.coalesce(F.struct("ts", "event_id") <= F.col("_place"), F.lit(False))
+        ),
+        "vote-batch",
+    )
+    totals = placed.groupBy(*KEY).agg(
+        F.min(F.when(~F.col("is_late"), F.col("title"))).alias("title"),
+        F.count_if("is_late").alias("late"),
+        F.first("old_state").alias("_old_state"),
+        F.first("_place").alias("_place"),
     )
+    starts = totals.where(F.col("_old_state").isNotNull()).select(*KEY, F.col("_old_state").alias("old_state"))
+    states = folded_states(placed.where(~F.col("is_late")), starts).drop("old_state")
+    return totals.join(states, list(KEY), "left").select(
+        *KEY,
+        "title",
+        F.coalesce("state", "_old_state").alias("state"),
+        F.coalesce("ts", "_place.ts").alias("ts"),
+        F.coalesce("event_id", "_place.event_id").alias("event_id"),
+        "late",
+    )
+
+
+def start_vote_log(actions: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
+    """Fold a stream of actions into the change log, then stop."""
 
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        log = _log_before(batch.sparkSession, log_path, batch_id)
+        fold_batch(batch, log).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
 
-def vote_changes(actions: DataFrame) -> DataFrame:
-    """New state of every key a micro-batch touches, with the number of late actions ignored."""
-    rows = actions.select(
-        *KEY, "title", "ts", "event_id", action_sign(F.col("action")).alias("sign")
-    ).where("sign is not null and ts is not null and event_id is not null")
-    return rows.groupBy(*KEY).applyInPandasWithState(
-        _advance, CHANGES, _STATE, "append", GroupStateTimeout.NoTimeout
+    return (
+        actions.writeStream.foreachBatch(fold)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 
-def current_votes(change_log: DataFrame) -> DataFrame:
-    """The vote table a change log stands for: last state per key, rows of state 0 gone."""
+def compacted(log: DataFrame) -> DataFrame:
+    """The log with one row per key; swap it in as batch 0 of a new log to bound what a batch reads."""
     place = F.struct("ts", "event_id")
+    return log.groupBy(*KEY).agg(
+        F.min("title").alias("title"),
+        F.max_by("state", place).alias("state"),
+        F.max("ts").alias("ts"),
+        F.max_by("event_id", place).alias("event_id"),
+        F.sum("late").alias("late"),
+    )
+
+
+def current_votes(log: DataFrame) -> DataFrame:
+    """The vote table a change log stands for: last state per key, rows of state 0 gone."""
     return (
-        change_log.groupBy(*KEY)
-        .agg(F.max_by("state", place).alias("state"), F.min("title").alias("title"))
+        compacted(log)
         .where("state != 0")
         .select(
             "user_id",

@@ -46,7 +46,7 @@ def test_votes_stream_equals_batch(spark, tmp_path):
     for part in (rows[:100], rows[100:220], rows[220:]):
         spark.createDataFrame(part, schemas.VOTE_ACTIONS).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schemas.VOTE_ACTIONS).parquet(source)
-        ingest.start_append(vote_stream.vote_changes(stream), log, str(tmp_path / "marks")).awaitTermination()
+        vote_stream.start_vote_log(stream, log, str(tmp_path / "marks")).awaitTermination()
     got = vote_stream.current_votes(spark.read.parquet(log))
     empty = spark.createDataFrame([], schemas.VOTES)
     want = votes.apply_votes(empty, spark.createDataFrame(rows, schemas.VOTE_ACTIONS))
@@ -55,8 +55,9 @@ def test_votes_stream_equals_batch(spark, tmp_path):
     late = [("u0", "i0", "t", T0, "up", T0 - dt.timedelta(days=1), 999)]
     spark.createDataFrame(late, schemas.VOTE_ACTIONS).write.mode("append").parquet(source)
     stream = spark.readStream.schema(schemas.VOTE_ACTIONS).parquet(source)
-    ingest.start_append(vote_stream.vote_changes(stream), log, str(tmp_path / "marks")).awaitTermination()
+    vote_stream.start_vote_log(stream, log, str(tmp_path / "marks")).awaitTermination()
     assert spark.read.parquet(log).agg({"late": "sum"}).first()[0] == 1
+    assert vote_stream.compacted(spark.read.parquet(log)).count() == 12
     again = vote_stream.current_votes(spark.read.parquet(log))
     assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
 
