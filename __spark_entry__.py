@@ -337,15 +337,14 @@ def _access_check(spark, sf_dir):
 
 
 def _pca(spark, sf_dir):
-    points = scoring.reduced_points(_scores(spark, sf_dir).select("uri", "word", "tfidf"))
+    points = scoring.reduced_points(_scores(spark, sf_dir), fanned_out=False)
     norm = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v)
     return points.select("uri", F.round(F.sqrt(norm), 3).alias("distance_from_mean"))
 
 
 def _trend_scores(spark, sf_dir):
     inputs = _inputs(spark, sf_dir)
-    rows = staged(trends.score_terms(inputs).select("uri", "word", "tfidf"), "scored")
-    scores = scoring.trend_scores(rows)
+    scores = scoring.trend_scores(trends.score_terms(inputs), fanned_out=False)
     return scoring.feed_scores(scores, tfidf.uri_feeds(inputs.attributes)).select("feed_url", "uri", _r9("trend_score"))
 
 
