@@ -231,7 +231,7 @@ def _document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plain score per document (sum of its TF-IDF), to check the merge with SQL."""
     inputs = _inputs(spark, sf_dir)
     per_uri = trends.score_terms(inputs).groupBy("uri").agg(F.sum("tfidf").alias("trend_score"))
-    with_feed = scoring.feed_scores(per_uri, tfidf.uri_feeds(inputs.attributes))
+    with_feed = scoring.feed_scores(per_uri, inputs.attributes)
     return with_feed.select(
         F.concat("feed_url", F.lit("/rss")).alias("feed_url"),
         F.concat(F.lit("http://docs/"), "uri").alias("uri"),
@@ -345,7 +345,7 @@ def _pca(spark, sf_dir):
 def _trend_scores(spark, sf_dir):
     inputs = _inputs(spark, sf_dir)
     scores = scoring.trend_scores(trends.score_terms(inputs), fanned_out=False)
-    return scoring.feed_scores(scores, tfidf.uri_feeds(inputs.attributes)).select("feed_url", "uri", _r9("trend_score"))
+    return scoring.feed_scores(scores, inputs.attributes).select("feed_url", "uri", _r9("trend_score"))
 
 
 def _kde_bandwidth(spark, sf_dir):
@@ -495,7 +495,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "user_id", "uri", F.col("rank").cast("long").alias("rank")
         ),
         "votes_since_oldest_item": lambda s, d: _votes_shape(
-            timeline.votes_since_oldest_item(_user_items(s, d), _item_votes(s, d))
+            timeline.votes_since_oldest_item(_feed_uris(s, d), _feed_items(s, d), _item_votes(s, d))
         ),
         "timeline_with_votes": _timeline_with_votes,
         # streams

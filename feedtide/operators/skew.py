@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedtide.session import staged
+
 MAX_HOT_KEYS = 10_000
 MIN_HOT_ROWS = 200_000
 
@@ -30,13 +32,17 @@ def attach_per_key(
     keys: Sequence[str],
     count_col: str,
     min_rows: int | None = None,
+    stage: bool = True,
 ) -> DataFrame:
     """Inner N:1 join of ``rows`` with one-row-per-key attributes, safe for hot keys.
 
     Rows of hot keys meet their attributes in a map-side join and are never
-    shuffled by the key; only the evenly spread remainder is.
+    shuffled by the key; only the evenly spread remainder is. ``per_key`` is read
+    several times, so it is staged unless ``stage=False`` says it is a table already.
     """
     keys = list(keys)
+    if stage:
+        per_key = staged(per_key, "per-key")
     hot = hot_keys(per_key, count_col, min_rows)
     hot_names = hot.select(*keys)
     of_hot = rows.join(F.broadcast(hot), keys, "inner")

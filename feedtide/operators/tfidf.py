@@ -85,7 +85,7 @@ def scores(
 ) -> DataFrame:
     """(word, uri, tfidf, n_docs, firstFeed), one row per (word, document).
 
-    ``counts`` is ``term_counts`` and ``frequencies`` its ``doc_freqs``, both best
+    ``counts`` is ``term_counts`` and ``frequencies`` its ``doc_freqs``, both
     staged. ``attributes`` are the (uri, feedUrl) rows the counts came from;
     repeats do no harm, so the raw scan will do and costs two narrow columns
     instead of the texts.
@@ -94,7 +94,7 @@ def scores(
     """
     per_doc = doc_lengths(counts).join(first_feeds(attributes), "uri")
     total = doc_count(attributes).scalar()
-    with_df = attach_per_key(counts, frequencies, ["word"], "n_docs", min_hot_rows)
+    with_df = attach_per_key(counts, frequencies, ["word"], "n_docs", min_hot_rows, stage=False)
     return with_df.join(per_doc, "uri").select(
         "word",
         "uri",

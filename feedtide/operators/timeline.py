@@ -58,9 +58,17 @@ def timeline_page(feed_uris: DataFrame, items: DataFrame, size: int) -> DataFram
     )
 
 
-def votes_since_oldest_item(rows: DataFrame, votes: DataFrame, min_hot_rows: int | None = None) -> DataFrame:
-    """Votes whose item is not older than the oldest item of the user's timeline."""
-    oldest = rows.groupBy("user_id").agg(F.min("dateTime").alias("_oldest"))
+def votes_since_oldest_item(
+    feed_uris: DataFrame, items: DataFrame, votes: DataFrame, min_hot_rows: int | None = None
+) -> DataFrame:
+    """Votes whose item is not older than the oldest item of the user's timeline.
+
+    The oldest item of a user is the oldest of their feeds' oldest items, so the
+    timeline itself need not be built.
+    """
+    first_times = items.groupBy("feed_uri").agg(F.min("dateTime").alias("_first"))
+    subscriptions = feed_uris.select("user_id", F.col("uri").alias("feed_uri")).distinct()
+    oldest = subscriptions.join(first_times, "feed_uri").groupBy("user_id").agg(F.min("_first").alias("_oldest"))
     sizes = votes.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n_votes"))
     bounds = oldest.join(sizes, "user_id")
     return (

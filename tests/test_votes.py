@@ -111,6 +111,6 @@ def test_timeline(spark, min_hot_rows):
     assert got == {
         ("u", "http://1"): (1, "d1", "voted one"), ("u", "http://2"): (0, None, "two"), ("v", "http://1"): (0, None, "one"),
     }
-    kept = timeline.votes_since_oldest_item(rows, table, min_hot_rows)
+    kept = timeline.votes_since_oldest_item(subs, items, table, min_hot_rows)
     assert sorted(r.doc_id for r in kept.collect()) == ["d1", "d2"]
     assert kept.columns == table.columns
