@@ -52,39 +52,55 @@ def attach_per_key(
     return of_hot.unionByName(of_cold)
 
 
+def _salt_counts(sizes: DataFrame, keys: list[str], count_col: str, name: str, min_rows: int | None) -> DataFrame:
+    """(keys, name): salts of the hot keys only, a bounded table to broadcast."""
+    floor = MIN_HOT_ROWS if min_rows is None else min_rows
+    return F.broadcast(
+        hot_keys(sizes, count_col, floor).select(
+            *keys, F.ceil(F.col(count_col) / F.lit(floor)).cast("int").alias(name)
+        )
+    )
+
+
+def _salted(rows: DataFrame, salts: DataFrame, keys: list[str], name: str, spread_on: Sequence[Column] | None) -> DataFrame:
+    """Give each row one salt by hash, or with no ``spread_on`` repeat it for every salt of its key."""
+    known = rows.join(salts, keys, "left")
+    n = F.coalesce(name, F.lit(1))
+    if spread_on is None:
+        return known.withColumn(name, F.explode(F.sequence(F.lit(0), n - 1)))
+    return known.withColumn(name, F.pmod(F.xxhash64(*spread_on), n.cast("long")).cast("int"))
+
+
 def salted_join(
-    many: DataFrame,
-    few: DataFrame,
+    left: DataFrame,
+    right: DataFrame,
     keys: Sequence[str],
-    spread_on: Sequence[Column],
-    per_key: DataFrame,
+    left_spread: Sequence[Column],
+    left_sizes: DataFrame,
     count_col: str,
+    right_spread: Sequence[Column] | None = None,
+    right_sizes: DataFrame | None = None,
     how: str = "inner",
     min_rows: int | None = None,
 ) -> DataFrame:
-    """N:M join in which rows of hot keys on the ``many`` side spread over salts.
+    """N:M join in which the rows of hot keys spread over several tasks.
 
-    ``per_key`` counts the rows of ``many`` per key. A hot key's ``few`` rows are
-    repeated once per salt, all other rows get the one salt 0.
+    ``left_sizes`` counts the rows of ``left`` per key in ``count_col``. Rows of
+    a hot key are hashed over salts by ``left_spread``, and the matching right
+    rows are repeated once per salt; all other keys have one salt. Give
+    ``right_sizes`` (same ``count_col``) and ``right_spread`` to split keys that
+    are hot on the right as well: such a key then falls into a grid of salts.
     """
-    if how not in ("inner", "left"):
-        raise ValueError("salted_join keeps the many side: inner or left only")
+    if how not in ("inner", "left") or (how == "left" and right_sizes is not None):
+        raise ValueError("inner, or left with salts on the left side only")
     keys = list(keys)
-    floor = MIN_HOT_ROWS if min_rows is None else min_rows
-    salts = F.broadcast(
-        hot_keys(per_key, count_col, floor).select(
-            *keys, F.ceil(F.col(count_col) / F.lit(floor)).cast("int").alias("_salts")
-        )
-    )
-    n_salts = F.coalesce("_salts", F.lit(1))
-    left = (
-        many.join(salts, keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*spread_on), n_salts.cast("long")).cast("int"))
-        .drop("_salts")
-    )
-    right = (
-        few.join(salts, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), n_salts - 1)))
-        .drop("_salts")
-    )
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    by = [*keys, "_left_salt"]
+    salts = _salt_counts(left_sizes, keys, count_col, "_left_salt", min_rows)
+    left = _salted(left, salts, keys, "_left_salt", left_spread)
+    right = _salted(right, salts, keys, "_left_salt", None)
+    if right_sizes is not None:
+        salts = _salt_counts(right_sizes, keys, count_col, "_right_salt", min_rows)
+        left = _salted(left, salts, keys, "_right_salt", None)
+        right = _salted(right, salts, keys, "_right_salt", right_spread)
+        by.append("_right_salt")
+    return left.join(right, by, how).drop("_left_salt", "_right_salt")

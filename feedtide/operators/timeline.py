@@ -14,17 +14,32 @@ def untimed_items(items: DataFrame) -> DataFrame:
     return items.where(F.col("dateTime").isNull())
 
 
+def _subscriptions(feed_uris: DataFrame) -> DataFrame:
+    return feed_uris.where("uri is not null").select("user_id", "feed_id", F.col("uri").alias("feed_uri"))
+
+
+def _per_feed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("feed_uri").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def user_items(feed_uris: DataFrame, items: DataFrame, min_hot_rows: int | None = None) -> DataFrame:
     """(user_id, feed_uri, item_type, title, uri, dateTime): items of every subscription.
 
     A feed subscribed twice by a user shows its items twice, as two subscriptions
-    do in the reader. Feeds with very many items are salted.
+    do in the reader. Feeds with very many items or subscribers are salted on
+    that side. ``items`` is counted and read, so parsed feeds are best staged.
     """
-    subscriptions = feed_uris.where("uri is not null").select("user_id", F.col("uri").alias("feed_uri"))
+    subscriptions = _subscriptions(feed_uris)
     timed = items.where(F.col("dateTime").isNotNull())
-    sizes = timed.groupBy("feed_uri").agg(F.count(F.lit(1)).alias("n_items"))
     joined = salted_join(
-        timed, subscriptions, ["feed_uri"], [F.col("uri"), F.col("dateTime")], sizes, "n_items",
+        timed,
+        subscriptions,
+        ["feed_uri"],
+        [F.col("uri"), F.col("dateTime")],
+        _per_feed(timed),
+        "n_rows",
+        right_spread=[F.col("user_id"), F.col("feed_id")],
+        right_sizes=_per_feed(subscriptions),
         min_rows=min_hot_rows,
     )
     return joined.select("user_id", "feed_uri", "item_type", "title", "uri", "dateTime")
@@ -35,7 +50,9 @@ def timeline(rows: DataFrame) -> DataFrame:
     return rows.orderBy("user_id", F.desc("dateTime"), "uri", "feed_uri")
 
 
-def timeline_page(feed_uris: DataFrame, items: DataFrame, size: int) -> DataFrame:
+def timeline_page(
+    feed_uris: DataFrame, items: DataFrame, size: int, min_hot_rows: int | None = None
+) -> DataFrame:
     """The ``size`` newest items of each user, with their rank.
 
     A page takes at most ``size`` items from any one feed, so feeds are cut to
@@ -51,8 +68,18 @@ def timeline_page(feed_uris: DataFrame, items: DataFrame, size: int) -> DataFram
         .where(F.col("_place") <= size)
         .drop("_place")
     )
+    subscriptions = _subscriptions(feed_uris)
+    joined = salted_join(
+        subscriptions,
+        heads,
+        ["feed_uri"],
+        [F.col("user_id"), F.col("feed_id")],
+        _per_feed(subscriptions),
+        "n_rows",
+        min_rows=min_hot_rows,
+    )
     return (
-        user_items(feed_uris, heads)
+        joined.select("user_id", "feed_uri", "item_type", "title", "uri", "dateTime")
         .withColumn("rank", F.row_number().over(newest_for_user))
         .where(F.col("rank") <= size)
     )

@@ -104,7 +104,7 @@ def test_timeline(spark, min_hot_rows):
     rows = timeline.user_items(subs, items, min_hot_rows)
     assert [(r.user_id, r.title) for r in timeline.timeline(rows).collect()] == [("u", "two"), ("u", "one"), ("v", "one")]
     assert [r.title for r in timeline.untimed_items(items).collect()] == ["late"]
-    assert sorted((r.user_id, r["rank"], r.title) for r in timeline.timeline_page(subs, items, 1).collect()) == [
+    assert sorted((r.user_id, r["rank"], r.title) for r in timeline.timeline_page(subs, items, 1, min_hot_rows).collect()) == [
         ("u", 1, "two"), ("v", 1, "one"),
     ]
     got = {(r.user_id, r.uri): (r.state, r.doc_id, r.title) for r in timeline.with_votes(rows, table).collect()}
