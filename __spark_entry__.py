@@ -364,8 +364,8 @@ def _stream_ingest(spark, sf_dir):
     for part in (0, 1):
         half = landed.where(F.pmod(F.xxhash64("uri"), F.lit(2)) == part)
         half.write.mode("append").parquet(f"{base}/landed")
-        stream_ingest.refresh(spark, f"{base}/landed", f"{base}/items", f"{base}/rejects", f"{base}/marks")
-    return spark.read.parquet(f"{base}/items").select("link", "title", "feedUrl", "isoDate")
+        stream_ingest.refresh(spark, f"{base}/landed", f"{base}/entries", f"{base}/marks")
+    return stream_ingest.ingested_items(spark, f"{base}/entries").select("link", "title", "feedUrl", "isoDate")
 
 
 def _stream_votes(spark, sf_dir):

@@ -28,6 +28,14 @@ RSS_ITEM_COLUMNS = (
 )
 RSS_ITEMS = T.StructType(_strings(*RSS_ITEM_COLUMNS))
 
+# Ingested entries, accepted items and rejects alike; partitioned by the last column.
+ENTRIES = T.StructType(
+    _strings(*RSS_ITEM_COLUMNS, "uri")
+    + [T.StructField("fetched_at", T.TimestampType(), True)]
+    + _strings("reason")
+    + [T.StructField("accepted", T.BooleanType(), True)]
+)
+
 TFIDF = T.StructType(
     _strings("word", "uri") + [T.StructField("tfidf", T.DoubleType(), True)] + _strings("feedUrl")
 )

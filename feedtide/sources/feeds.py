@@ -127,8 +127,9 @@ def _atom_entry(item: Column) -> Column:
 def feed_entries(raw_feeds: DataFrame) -> DataFrame:
     """One row per entry of either dialect, or one row with a null ``item`` per document without any.
 
-    Columns: uri, fetched_at, type, reason, feedUrl and the ``item`` fields both
-    views of a feed need. The document is parsed once for all of them.
+    Columns: uri, fetched_at, type, reason, feedUrl, the entry's place ``pos`` in
+    its document, and the ``item`` fields both views of a feed need. The document
+    is parsed once for all of them.
     """
     none = F.array().cast(f"array<{_RSS_ITEM}>")
     in_channel, beside_channel = F.col("feed.channel.item"), F.col("feed.item")
@@ -136,7 +137,7 @@ def feed_entries(raw_feeds: DataFrame) -> DataFrame:
     atom = F.transform("feed.entry", _atom_entry)
     entries = F.when(F.col("type") == RSS, rss).when(F.col("type") == ATOM, atom)
     return feed_urls(parse_feeds(raw_feeds)).select(
-        "uri", "fetched_at", "type", "reason", "feedUrl", F.explode_outer(entries).alias("item")
+        "uri", "fetched_at", "type", "reason", "feedUrl", F.posexplode_outer(entries).alias("pos", "item")
     )
 
 
@@ -152,20 +153,29 @@ def item_rows(entries: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def ingest_reason(entries: DataFrame) -> DataFrame:
-    """Set ``reason`` on every entry or document the item table leaves out."""
-    return entries.withColumn(
-        "reason",
-        F.when(F.col("reason").isNotNull(), F.col("reason"))
-        .when(F.col("feedUrl").isNull(), "missing_feed_url")
-        .when(F.col("item").isNull(), "no_items")
-        .when(F.col("item.link").isNull(), "missing_link"),
+def judged_entries(raw_feeds: DataFrame) -> DataFrame:
+    """``feed_entries`` with ``reason`` set on what the item table leaves out, null on its items.
+
+    A document that is unusable as a whole stays as one row, its first; one that
+    is fine but has no entries gives none.
+    """
+    whole = F.when(F.col("reason").isNotNull(), F.col("reason")).when(
+        F.col("feedUrl").isNull(), "missing_feed_url"
+    )
+    single = F.when(F.col("item.link").isNull(), "missing_link")
+    return (
+        feed_entries(raw_feeds)
+        .withColumn("_whole", whole)
+        .where(F.when(F.col("_whole").isNotNull(), F.coalesce("pos", F.lit(0)) == 0).otherwise(F.col("pos").isNotNull()))
+        .withColumn("reason", F.coalesce("_whole", single))
+        .withColumn("rejected_title", F.when(F.col("_whole").isNull() & single.isNotNull(), F.col("item.title")))
+        .drop("_whole")
     )
 
 
 def rss_items(raw_feeds: DataFrame) -> DataFrame:
     """Item rows of all usable feeds: feeds without an own address and items without a link dropped."""
-    return item_rows(ingest_reason(feed_entries(raw_feeds)).where(F.col("reason").isNull()))
+    return item_rows(judged_entries(raw_feeds).where(F.col("reason").isNull()))
 
 
 def quarantine(raw_feeds: DataFrame) -> DataFrame:
@@ -173,20 +183,9 @@ def quarantine(raw_feeds: DataFrame) -> DataFrame:
 
     One row per document that is unusable as a whole, one per unusable item.
     """
-    left_out = ingest_reason(feed_entries(raw_feeds)).where(
-        F.col("reason").isNotNull() & (F.col("reason") != "no_items")
+    return judged_entries(raw_feeds).where(F.col("reason").isNotNull()).select(
+        "uri", F.col("rejected_title").alias("title"), "reason"
     )
-    whole = F.col("reason") != "missing_link"
-    return left_out.select(
-        "uri", F.when(~whole, F.col("item.title")).alias("title"), "reason", whole.alias("_whole")
-    ).transform(_once_per_document)
-
-
-def _once_per_document(rows: DataFrame) -> DataFrame:
-    """A document without an own address is one rejection, however many entries it has."""
-    items = rows.where("not _whole").select("uri", "title", "reason")
-    documents = rows.where("_whole").select("uri", "title", "reason").distinct()
-    return items.unionByName(documents)
 
 
 def title_term_counts(items: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Incremental ingest: landed feed documents to the item table, each item once per window."""
+"""Incremental ingest: landed feed documents to the item table, each entry once per window.
+
+One stream parses every document once and writes accepted items and rejects to
+one table, partitioned by which they are; readers of either prune the other.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feedtide.schemas import RAW_FEEDS
+from feedtide.schemas import ENTRIES, RAW_FEEDS, RSS_ITEM_COLUMNS
 from feedtide.sources import feeds
 
 
@@ -15,30 +19,25 @@ def landed_stream(spark: SparkSession, path: str, files_per_trigger: int = 1_000
     return spark.readStream.schema(RAW_FEEDS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def new_items(landed: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Item rows of a stream of landed documents.
+def new_entries(landed: DataFrame, delay: str = "2 days") -> DataFrame:
+    """Entries of a stream of landed documents: the item columns, uri, fetched_at, reason, accepted.
 
-    Every run fetches mostly the items of the run before. An item seen again
+    Every run fetches mostly the items of the run before. An entry seen again
     within ``delay`` of its first fetch is dropped; the watermark bounds the keys
     kept in state. Later repeats pass, as the item scan is distinct anyway.
     """
-    entries = feeds.ingest_reason(feeds.feed_entries(landed.withWatermark("fetched_at", delay)))
-    good = entries.where(F.col("reason").isNull())
-    return feeds.item_rows(good, "fetched_at").dropDuplicatesWithinWatermark(["link", "feedUrl", "title"])
-
-
-def rejected_entries(landed: DataFrame) -> DataFrame:
-    """(uri, title, reason, fetched_at) of everything the item table leaves out."""
-    entries = feeds.ingest_reason(feeds.feed_entries(landed))
-    return entries.where(F.col("reason").isNotNull()).select(
-        "uri", F.col("item.title").alias("title"), "reason", "fetched_at"
+    entries = feeds.judged_entries(landed.withWatermark("fetched_at", delay))
+    rows = feeds.item_rows(entries, "uri", "fetched_at", "reason")
+    return rows.withColumn("accepted", F.col("reason").isNull()).dropDuplicatesWithinWatermark(
+        ["uri", "link", "feedUrl", "title", "reason"]
     )
 
 
 def start_append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream to a parquet table, processing what is there and then stopping."""
+    """Append a stream of entries to its table, processing what is there and then stopping."""
     return (
         rows.writeStream.format("parquet")
+        .partitionBy("accepted")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
@@ -47,15 +46,19 @@ def start_append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def refresh(spark: SparkSession, landed_path: str, items_path: str, rejects_path: str, checkpoint: str) -> None:
-    """One periodic run: append the new items and rejects, then stop.
+def refresh(spark: SparkSession, landed_path: str, table_path: str, checkpoint: str) -> None:
+    """One periodic run: append what is new, then stop.
 
     Safe to call again after a failure: the checkpoint knows what is done.
     """
-    landed = landed_stream(spark, landed_path)
-    runs = [
-        start_append(new_items(landed), items_path, f"{checkpoint}/items"),
-        start_append(rejected_entries(landed), rejects_path, f"{checkpoint}/rejects"),
-    ]
-    for run in runs:
-        run.awaitTermination()
+    start_append(new_entries(landed_stream(spark, landed_path)), table_path, checkpoint).awaitTermination()
+
+
+def ingested_items(spark: SparkSession, table_path: str) -> DataFrame:
+    """Item rows of an ingested table."""
+    return spark.read.schema(ENTRIES).parquet(table_path).where("accepted").select(*RSS_ITEM_COLUMNS)
+
+
+def rejected_entries(spark: SparkSession, table_path: str) -> DataFrame:
+    """(uri, title, reason, fetched_at) of what the item table leaves out."""
+    return spark.read.schema(ENTRIES).parquet(table_path).where("not accepted").select("uri", "title", "reason", "fetched_at")

@@ -21,18 +21,24 @@ def document(n):
 
 
 def test_ingest_runs_twice(spark, tmp_path):
-    landed, table, rejects, marks = (str(tmp_path / n) for n in ("landed", "items", "rejects", "marks"))
+    landed, table, marks = (str(tmp_path / n) for n in ("landed", "entries", "marks"))
     for day, n in enumerate((3, 5)):
-        row = [("feed", document(n), T0 + dt.timedelta(days=day))]
+        row = [
+            ("feed", document(n), T0 + dt.timedelta(days=day)),
+            ("broken", "<rss><channel>", T0 + dt.timedelta(days=day)),
+        ]
         spark.createDataFrame(row, schemas.RAW_FEEDS).write.mode("append").parquet(landed)
-        ingest.refresh(spark, landed, table, rejects, marks)
-    got = spark.read.parquet(table)
+        ingest.refresh(spark, landed, table, marks)
+    got = ingest.ingested_items(spark, table)
     batch = feeds.rss_items(spark.read.parquet(landed)).distinct()
     assert got.count() == 5
-    assert sorted(map(str, got.drop("fetched_at").collect())) == sorted(map(str, batch.collect()))
-    assert [r.reason for r in spark.read.parquet(rejects).collect()] == ["missing_link"] * 2
-    ingest.refresh(spark, landed, table, rejects, marks)
-    assert spark.read.parquet(table).count() == 5
+    assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
+    rejects = ingest.rejected_entries(spark, table)
+    assert sorted((r.uri, r.title, r.reason) for r in rejects.fillna("-").collect()) == [
+        ("broken", "-", "malformed_xml"), ("feed", "lost", "missing_link"),
+    ]
+    ingest.refresh(spark, landed, table, marks)
+    assert ingest.ingested_items(spark, table).count() == 5
 
 
 def test_votes_stream_equals_batch(spark, tmp_path):
