@@ -63,6 +63,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def replace_path(spark: SparkSession, new: str, path: str) -> None:
+    """Put the finished folder ``new`` in the place of ``path``."""
+    delete_path(spark, path)
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (new, path))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.rename(source, target):
+        raise OSError(f"could not move {new} to {path}")
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete everything this application staged. Call it when the job is done with its results."""
     delete_path(spark, scratch_dir(spark))

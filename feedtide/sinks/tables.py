@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedtide.functions.text import path_key
 from feedtide.schemas import RSS_ITEM_COLUMNS
+from feedtide.session import replace_path
 
 TERM_COLUMNS = ("word", "uri", "tfidf", "feedUrl")
 TERM_COLUMNS_WITHOUT_FEED = ("word", "uri", "tfidf")
@@ -20,15 +23,12 @@ def append_items(items: DataFrame, path: str) -> None:
 def overwrite_terms(rows: DataFrame, path: str, columns: tuple[str, ...] = TERM_COLUMNS) -> None:
     """Replace the scored-term table, creating it if needed.
 
-    ``path`` must not be one that ``rows`` reads.
+    The new table is written beside the old one and takes its place when it is
+    complete, so a failed run leaves the old one, and ``rows`` may read it.
     """
-    if any(name.rstrip("/").startswith(path.rstrip("/") + "/") for name in _plain(rows.inputFiles())):
-        raise ValueError(f"{path} is read by the rows written to it; write to another path")
-    rows.select(*columns).write.mode("overwrite").parquet(path)
-
-
-def _plain(names: list[str]) -> list[str]:
-    return [name.removeprefix("file://") for name in names]
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    rows.select(*columns).write.parquet(beside)
+    replace_path(rows.sparkSession, beside, path.rstrip("/"))
 
 
 def with_path_keys(scores: DataFrame) -> DataFrame:

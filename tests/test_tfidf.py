@@ -82,8 +82,11 @@ def test_job_writes_and_replaces(spark, tmp_path):
     assert scored_terms(table).count() == 9
     overwrite_terms(table, str(tmp_path / "three"), TERM_COLUMNS_WITHOUT_FEED)
     assert spark.read.parquet(str(tmp_path / "three")).columns == ["word", "uri", "tfidf"]
-    with pytest.raises(ValueError):
-        overwrite_terms(table, path)
+    overwrite_terms(table.where("word = 'abc'"), path)  # reads the table it replaces
+    assert spark.read.parquet(path).count() == 6
+    with pytest.raises(Exception):
+        overwrite_terms(table.select("word", "uri", "feedUrl", F.raise_error(F.lit("x")).cast("double").alias("tfidf")), path)
+    assert spark.read.parquet(path).count() == 6
 
 
 def test_views_of_the_term_table(spark):
