@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from feedtide.functions.dates import feed_time, iso_utc
 from feedtide.functions.text import snippet, title_terms
-from feedtide.schemas import RSS_ITEM_COLUMNS
 
 # Names of the two dialects in stored subscriptions.
 RSS = "FeedTypes.RSS"
