@@ -29,6 +29,14 @@ from feedtide.streaming import ingest as stream_ingest  # noqa: E402
 from feedtide.streaming import timeline as stream_timeline  # noqa: E402
 from feedtide.streaming import votes as stream_votes  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from feedtide.llm import queries as training_data
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "feedtide.llm"):
+        raise
+    corpus_pipeline = training_data = None
+
 # --------------------------------------------------------------------------- tables
 
 
@@ -403,8 +411,19 @@ def _uri_terms(spark, sf_dir):
     )
 
 
+def _training_data_queries():
+    return {} if training_data is None else training_data.QUERIES | {"pipeline": corpus_pipeline.run}
+
+
+def _training_data_sql():
+    if training_data is None:
+        return {}
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return training_data.ORACLE_SQL | own
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    return _training_data_queries() | {
         # sources and ingest
         "subscribed_feeds": lambda s, d: feeds.subscribed_uris(_feed_uris(s, d)),
         "feed_types": lambda s, d: feeds.feed_types(_landed(s, d)),
@@ -640,7 +659,7 @@ def oracle_sql() -> dict[str, str]:
         "strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') AS \"isoDate\", self_url AS \"feedUrl\""
     )
     usable = "NOT cut AND NOT unnamed AND NOT (rss AND kind = 7) AND NOT (NOT rss AND kind = 8)"
-    return {
+    return _training_data_sql() | {
         "subscribed_feeds": events + "SELECT DISTINCT uri FROM subs WHERE uri IS NOT NULL",
         "feed_types": landed
         + "SELECT DISTINCT feed_uri AS uri, CASE WHEN cut THEN NULL WHEN rss THEN 'FeedTypes.RSS' ELSE 'FeedTypes.ATOM' END AS type FROM f",
