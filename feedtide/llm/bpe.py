@@ -15,7 +15,6 @@ a ``doc_id`` may be null; no text is too long (a document is one row); an empty
 from __future__ import annotations
 
 import base64
-import gc
 import struct
 from collections.abc import Iterable
 
@@ -179,7 +178,7 @@ class Encoder:
     def __init__(self, ranks: bytes, pattern: str):
         self.pattern = regex.compile(pattern)
         self.transducer = Transducer(parse_ranks(ranks))
-        self.cache = ChunkCache(self._chunks)
+        self.cache = ChunkCache(self._chunks, 500_000)
 
     def _chunks(self, parts: list[str]) -> list[bytes]:
         find, encode = self.pattern.findall, self.transducer.encode
@@ -196,11 +195,7 @@ class Encoder:
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        gc.disable()  # nothing here is cyclic, and the collector would walk the whole memory again and again
-        try:
-            return self.cache.ids(texts)
-        finally:
-            gc.enable()
+        return self.cache.ids(texts)
 
 
 class Utf8Stream:

@@ -6,6 +6,7 @@ white space therefore always starts a new match, whatever stands before it, and
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable
 
@@ -15,28 +16,47 @@ _SPACE_BEFORE_WORD = re.compile(r" (?=\S)")
 class ChunkCache:
     """Encodings of chunks as bytes of unsigned 32-bit ids, bounded; ``encode`` makes those of new chunks."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = 800_000):
         self.encode, self.entries = encode, entries
         self.inner: dict[str, bytes | None] = {}
 
     def _learn(self, parts: set[str]) -> None:
-        if len(self.inner) + len(parts) > self.entries:
-            self.inner.clear()
         # A part that is empty or starts with white space was cut at a space that starts no match.
         good = [p for p in parts if p and not p[0].isspace()]
         self.inner.update(zip(good, self.encode([" " + p for p in good]), strict=True))
         self.inner.update(dict.fromkeys(parts.difference(good)))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        """The ids of each text, as little-endian unsigned 32-bit integers; about a megabyte of text at a time."""
+        out: list[bytes] = []
+        gc.disable()  # nothing here is cyclic, and the collector would walk the whole memory again and again
+        try:
+            self._all(texts, out)
+        finally:
+            gc.enable()
+        return out
+
+    def _all(self, texts: list[str], out: list[bytes]) -> None:
+        at = 0
+        while at < len(texts):
+            upto, size = at, 0
+            while upto < len(texts) and (upto == at or size + len(texts[upto]) < 1_000_000):
+                size += len(texts[upto])
+                upto += 1
+            out += self._some(texts[at:upto])
+            at = upto
+
+    def _some(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        new: set[str] = set()
-        known = self.inner
+        met: set[str] = set()
         for parts in split:
-            new.update(p for p in parts if p not in known)
-        if new:
-            needed = known.keys() | new if len(known) + len(new) > self.entries else None
-            self._learn(new if needed is None else {p for parts in split for p in parts})
+            met.update(parts[1:])
+        known = self.inner
+        new = {p for p in met if p not in known}
+        if len(self.inner) + len(new) > self.entries:
+            self.inner.clear()
+            new = met
+        self._learn(new)
         heads = self.encode([parts[0] for parts in split])
         get = self.inner.__getitem__
         out = []
