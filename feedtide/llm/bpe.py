@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import struct
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedtide.llm.chunks import ChunkCache
-from feedtide.llm.common import lists, map_texts
+from feedtide.llm.common import kept_in_worker, lists, map_texts
 
 #: Moves kept by one worker before it starts anew.
 MOVES = 200_000
@@ -238,23 +239,13 @@ def decode_stream(ids: Iterable[int], words: list[bytes], every: int = 4096) ->
     return "".join([*parts, stream.close()])
 
 
-_ENGINES: dict[tuple[int, str], object] = {}
-
-
-def _kept(key, make):
-    """One engine a worker process and vocabulary."""
-    if key not in _ENGINES:
-        _ENGINES.clear()
-        _ENGINES[key] = make()
-    return _ENGINES[key]
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``doc_id, ids array<int>`` for every row of ``docs``; other columns are left out."""
     content = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def work(texts, batch):
-        engine = _kept((hash(content.value), pattern), lambda: Encoder(content.value, pattern))
+        key = f"bpe {zlib.crc32(content.value)} {pattern}"
+        engine = kept_in_worker(key, lambda: Encoder(content.value, pattern))
         made = engine.ids(texts)
         values = np.frombuffer(b"".join(made), dtype="<u4").astype(np.int32)
         return [lists(values, [len(m) // 4 for m in made])]
@@ -262,7 +253,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return map_texts(docs, ["doc_id"], "ids array<int>", work)
 
 
-_WORDS: dict[int, list[bytes]] = {}
+def _words(content: bytes) -> list[bytes]:
+    ranks = parse_ranks(content)
+    words = [b""] * (max(ranks.values()) + 1)
+    for word, rank in ranks.items():
+        words[rank] = word
+    return words
 
 
 def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
@@ -270,15 +266,9 @@ def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
     content = tokens.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def each(batches):
-        key = hash(content.value)
-        if key not in _WORDS:
-            ranks = parse_ranks(content.value)
-            words = [b""] * (max(ranks.values()) + 1)
-            for word, rank in ranks.items():
-                words[rank] = word
-            _WORDS[key] = words
+        words = kept_in_worker(f"bpe words {zlib.crc32(content.value)}", lambda: _words(content.value))
         for batch in batches:
-            texts = [decode_stream(ids or (), _WORDS[key]) for ids in batch.column(1).to_pylist()]
+            texts = [decode_stream(ids or (), words) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     source = tokens.select("doc_id", "ids")

@@ -16,7 +16,7 @@ _SPACE_BEFORE_WORD = re.compile(r" (?=\S)")
 class ChunkCache:
     """Encodings of chunks as bytes of unsigned 32-bit ids, bounded; ``encode`` makes those of new chunks."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = 500_000):
         self.encode, self.entries = encode, entries
         self.inner: dict[str, bytes | None] = {}
 

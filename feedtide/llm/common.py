@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +14,21 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def kept_in_worker(key, make: Callable[[], object], most: int = 2):
+    """What ``make`` returns, kept by ``key`` as long as the Python worker lives.
+
+    Functions reach workers by value, so their module's variables start anew with every task; this does not.
+    """
+    home = sys.modules.setdefault("worker_memory_", types.ModuleType("worker_memory_")).__dict__
+    if key not in home:
+        held = home.setdefault("held_", [])
+        while len(held) >= most:
+            home.pop(held.pop(0))
+        home[key] = make()
+        held.append(key)
+    return home[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedtide.llm.chunks import ChunkCache
-from feedtide.llm.common import lists, map_texts
+from feedtide.llm.common import kept_in_worker, lists, map_texts
 from feedtide.session import staged
 
 
@@ -104,24 +104,17 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Run]:
     return plan
 
 
-_TOKENIZERS: dict[int, object] = {}
+def chunk_encoder(content: str) -> ChunkCache:
+    """The tokenizer of a file's content, behind a memory of the chunks it has met."""
+    from tokenizers import Tokenizer
 
+    tokenizer = Tokenizer.from_str(content)
 
-def _tokenizer(content: str):
-    """One tokenizer a worker, with the chunks it has met."""
-    key = hash(content)
-    if key not in _TOKENIZERS:
-        from tokenizers import Tokenizer
+    def encode(parts: list[str]) -> list[bytes]:
+        made = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
 
-        tokenizer = Tokenizer.from_str(content)
-
-        def encode(parts: list[str]) -> list[bytes]:
-            made = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
-
-        _TOKENIZERS.clear()
-        _TOKENIZERS[key] = ChunkCache(encode)
-    return _TOKENIZERS[key]
+    return ChunkCache(encode)
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
@@ -131,7 +124,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def work(texts, batch):
-        encoder = _tokenizer(content.value)
+        key = f"packing {zlib.crc32(content.value.encode())}"
+        encoder = kept_in_worker(key, lambda: chunk_encoder(content.value))
         counts, pieces = [], []
         for body in encoder.ids(texts):
             body += end
@@ -174,25 +168,22 @@ def pack(pieces: DataFrame, capacity: int, salts: int = 64) -> DataFrame:
         return pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     parts["before_"] = parts.groupby("length")["n_"].cumsum() - parts["n_"]
     plan = best_fit_decreasing({int(k): int(v) for k, v in parts.groupby("length")["n_"].sum().items()}, capacity)
-    runs: dict[int, list[Run]] = {}
-    for run in plan:
-        runs.setdefault(run.length, []).append(run)
-    firsts = {length: np.array([r.first for r in own]) for length, own in runs.items()}
+    runs: dict[int, list[tuple[int, ...]]] = {}
+    for r in plan:
+        runs.setdefault(r.length, []).append((r.first, r.sequence_first, r.per_sequence, r.offset))
+    columns = {length: np.array(own).T for length, own in runs.items()}
     table = [(int(p.length), int(p.part_), int(p.before_)) for p in parts.itertuples()]
     before = spark.createDataFrame(table, "length long, part_ int, before_ long")
-    shared = spark.sparkContext.broadcast((runs, firsts))
+    shared = spark.sparkContext.broadcast(columns)
 
     def place(batches):
-        runs, firsts = shared.value
         for batch in batches:
             lengths, ranks = (batch.column(i).to_numpy() for i in (batch.num_columns - 2, batch.num_columns - 1))
             sequence, offset = np.empty(len(ranks), np.int64), np.empty(len(ranks), np.int64)
             for length in np.unique(lengths):
                 rows = np.nonzero(lengths == length)[0]
-                own, at = runs[int(length)], np.searchsorted(firsts[int(length)], ranks[rows], side="right") - 1
-                first, start, per, base = (
-                    np.array([getattr(r, k) for r in own])[at] for k in ("first", "sequence_first", "per_sequence", "offset")
-                )
+                own = shared.value[int(length)]
+                first, start, per, base = own[:, np.searchsorted(own[0], ranks[rows], side="right") - 1]
                 within = ranks[rows] - first
                 sequence[rows] = start + within // per
                 offset[rows] = base + within % per * length

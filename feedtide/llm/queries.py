@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from feedtide.llm import bpe, packing, repetition, sharding
+from feedtide.llm import bpe, one_bit_search, packing, repetition, secret_scan, sharding, toxicity
 from feedtide.llm.common import table
 
 #: Production parameters.
@@ -17,6 +17,15 @@ def op1_sharding(spark, sf_dir):
     return sharding.shard(docs, SHARD_BYTES).select("doc_id", "shard", "depth", "n_bytes", "over_limit")
 
 
+def op2_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.learn(docs))
+
+
+def op4_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -31,11 +40,19 @@ def op8_best_fit_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer, capacity=SEQUENCE_TOKENS)
 
 
+def op9_one_bit_search(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return one_bit_search.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_secret_scan": op2_secret_scan,
+    "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_one_bit_search": op9_one_bit_search,
 }
 
 ORACLE_SQL = {
@@ -54,5 +71,17 @@ leaf AS (
 SELECT l.doc_id, CASE WHEN l.depth = 0 THEN '' ELSE lpad(bin(l.h >> (60 - l.depth)), l.depth::INT, '0') END AS shard,
   l.depth::INT AS depth, l.n_bytes, s.shard_bytes > {SHARD_BYTES} AS over_limit
 FROM leaf l JOIN sums s ON s.depth = l.depth AND s.prefix = l.h >> (60 - l.depth)
+""",
+    "op9_one_bit_search": """
+WITH fine AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND list_count(embedding) = len(embedding) AND isfinite(list_sum(embedding::DOUBLE[]))
+    AND (list_max(embedding) <> 0 OR list_min(embedding) <> 0)),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+  FROM fine q, fine c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+WHERE rank <= 5
 """,
 }
