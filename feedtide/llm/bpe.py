@@ -21,7 +21,6 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,30 +172,15 @@ class Transducer:
         return ids + list(self.states[state][1][-1][1])
 
 
-class Encoder:
-    """Texts to ids: the split pattern, the transducer, and a bounded memory of chunks."""
+def encoder(ranks: bytes, pattern: str) -> ChunkCache:
+    """The transducer behind the split pattern and a bounded memory of what it has met."""
+    transducer = Transducer(parse_ranks(ranks))
 
-    def __init__(self, ranks: bytes, pattern: str):
-        self.pattern = regex.compile(pattern)
-        self.transducer = Transducer(parse_ranks(ranks))
-        self.cache = ChunkCache(self._chunks, 500_000)
+    def matches(pieces: list[str]) -> list[bytes]:
+        made = (transducer.encode(piece.encode()) for piece in pieces)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in made]
 
-    def _chunks(self, parts: list[str]) -> list[bytes]:
-        find, encode = self.pattern.findall, self.transducer.encode
-        out, met = [], {}
-        for part in parts:
-            made = []
-            for piece in find(part):
-                known = met.get(piece)
-                if known is None:
-                    ids = encode(piece.encode())
-                    known = met[piece] = struct.pack(f"<{len(ids)}I", *ids)
-                made.append(known)
-            out.append(made[0] if len(made) == 1 else b"".join(made))
-        return out
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return self.cache.ids(texts)
+    return ChunkCache(pattern, matches, 400_000)
 
 
 class Utf8Stream:
@@ -245,7 +229,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def work(texts, batch):
         key = f"bpe {zlib.crc32(content.value)} {pattern}"
-        engine = kept_in_worker(key, lambda: Encoder(content.value, pattern))
+        engine = kept_in_worker(key, lambda: encoder(content.value, pattern))
         made = engine.ids(texts)
         values = np.frombuffer(b"".join(made), dtype="<u4").astype(np.int32)
         return [lists(values, [len(m) // 4 for m in made])]

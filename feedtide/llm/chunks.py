@@ -1,4 +1,4 @@
-"""Cuts texts where byte-level BPE can never join tokens, so that encodings of chunks can be kept.
+"""Cuts texts where byte-level BPE can never join tokens, so that encodings of chunks and words can be kept.
 
 The split pattern of byte-level BPE attaches a space to the word after it. A space followed by anything but
 white space therefore always starts a new match, whatever stands before it, and both sides can be encoded alone.
@@ -10,59 +10,74 @@ import gc
 import re
 from collections.abc import Callable
 
+import regex
+
 _SPACE_BEFORE_WORD = re.compile(r" (?=\S)")
 
 
 class ChunkCache:
-    """Encodings of chunks as bytes of unsigned 32-bit ids, bounded; ``encode`` makes those of new chunks."""
+    """Ids of texts as bytes of unsigned 32-bit integers. ``encode`` makes those of single matches of ``pattern``.
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = 500_000):
-        self.encode, self.entries = encode, entries
-        self.inner: dict[str, bytes | None] = {}
+    Chunks and matches met before are remembered, within a bound.
+    """
 
-    def _learn(self, parts: set[str]) -> None:
-        # A part that is empty or starts with white space was cut at a space that starts no match.
-        good = [p for p in parts if p and not p[0].isspace()]
-        self.inner.update(zip(good, self.encode([" " + p for p in good]), strict=True))
-        self.inner.update(dict.fromkeys(parts.difference(good)))
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], entries: int):
+        self.find = regex.compile(pattern).findall
+        self.encode_matches, self.entries = encode, entries
+        self.chunks: dict[str, bytes] = {}
+        self.matches: dict[str, bytes] = {}
+
+    def encode(self, parts: list[str]) -> list[bytes]:
+        """Ids of texts that are cut by the pattern alone."""
+        found = list(map(self.find, parts))
+        known = self.matches
+        if len(known) > self.entries:
+            known.clear()
+        new = list({m for own in found for m in own if m not in known})
+        known.update(zip(new, self.encode_matches(new), strict=True))
+        get = known.__getitem__
+        return [get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for own in found]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers; about a megabyte of text at a time."""
         out: list[bytes] = []
+        at = 0
         gc.disable()  # nothing here is cyclic, and the collector would walk the whole memory again and again
         try:
-            self._all(texts, out)
+            while at < len(texts):
+                upto, size = at, 0
+                while upto < len(texts) and (upto == at or size + len(texts[upto]) < 1_000_000):
+                    size += len(texts[upto])
+                    upto += 1
+                out += self._some(texts[at:upto])
+                at = upto
         finally:
             gc.enable()
         return out
 
-    def _all(self, texts: list[str], out: list[bytes]) -> None:
-        at = 0
-        while at < len(texts):
-            upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) < 1_000_000):
-                size += len(texts[upto])
-                upto += 1
-            out += self._some(texts[at:upto])
-            at = upto
-
     def _some(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        met: set[str] = set()
-        for parts in split:
-            met.update(parts[1:])
-        known = self.inner
-        new = {p for p in met if p not in known}
-        if len(self.inner) + len(new) > self.entries:
-            self.inner.clear()
-            new = met
-        self._learn(new)
-        heads = self.encode([parts[0] for parts in split])
-        get = self.inner.__getitem__
+        if len(self.chunks) > self.entries:
+            self.chunks.clear()
+        get = self.chunks.get
+        heads, bodies, new = [], [], set()
+        for text in texts:
+            parts = text.split(" ")
+            heads.append(parts[0])
+            body = list(map(get, parts))
+            body[0] = b""
+            # Where nothing is known yet, the chunk itself stands in for its ids.
+            for i in [i for i, ids in enumerate(body) if ids is None]:
+                body[i] = part = parts[i]
+                new.add(part)
+            bodies.append(body)
+        # A part that is empty or starts with white space was cut at a space that starts no match.
+        good = [p for p in new if p and not p[0].isspace()]
+        self.chunks.update(zip(good, self.encode([" " + p for p in good]), strict=True))
         out = []
-        for text, head, parts in zip(texts, heads, split, strict=True):
+        for text, head, body in zip(texts, self.encode(heads), bodies, strict=True):
             try:
-                out.append(head + b"".join(map(get, parts[1:])))
+                body = [get(ids) if type(ids) is str else ids for ids in body] if new else body
+                out.append(head + b"".join(body))
             except TypeError:  # a None among them
                 first, *rest = _SPACE_BEFORE_WORD.split(text)
                 out.append(b"".join(self.encode([first, *(" " + r for r in rest)])))

@@ -57,6 +57,10 @@ class RoomTree:
         return node - self.leaves
 
 
+#: The split pattern that byte-level BPE tokenizers have built in (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @dataclass
 class Run:
     """A stretch of alike pieces in a stretch of alike sequences."""
@@ -104,7 +108,7 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Run]:
     return plan
 
 
-def chunk_encoder(content: str) -> ChunkCache:
+def chunk_encoder(content: str, pattern: str) -> ChunkCache:
     """The tokenizer of a file's content, behind a memory of the chunks it has met."""
     from tokenizers import Tokenizer
 
@@ -114,7 +118,7 @@ def chunk_encoder(content: str) -> ChunkCache:
         made = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
 
-    return ChunkCache(encode)
+    return ChunkCache(pattern, encode, 600_000)
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
@@ -125,7 +129,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity
 
     def work(texts, batch):
         key = f"packing {zlib.crc32(content.value.encode())}"
-        encoder = kept_in_worker(key, lambda: chunk_encoder(content.value))
+        encoder = kept_in_worker(key, lambda: chunk_encoder(content.value, PATTERN))
         counts, pieces = [], []
         for body in encoder.ids(texts):
             body += end
