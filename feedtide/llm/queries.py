@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from feedtide.llm import bpe, one_bit_search, packing, repetition, secret_scan, sharding, toxicity
+from feedtide.llm import bpe, jaccard_join, line_dedup, one_bit_search, packing, repetition, secret_scan, sharding, toxicity
 from feedtide.llm.common import table
 
 #: Production parameters.
@@ -22,6 +23,11 @@ def op2_secret_scan(spark, sf_dir):
     return secret_scan.scan(docs, secret_scan.learn(docs))
 
 
+def op3_line_dedup(spark, sf_dir):
+    made = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"), "text")
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,6 +37,11 @@ def op5_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op6_jaccard_join(spark, sf_dir):
+    found = jaccard_join.components(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_quality_rules(spark, sf_dir):
     return repetition.judge(table(spark, sf_dir, "documents"))
 
@@ -48,8 +59,10 @@ def op9_one_bit_search(spark, sf_dir):
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
+    "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_one_bit_search": op9_one_bit_search,
@@ -83,5 +96,30 @@ pairs AS (
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
 WHERE rank <= 5
+""",
+    "op3_line_dedup": """
+WITH texts AS (SELECT DISTINCT doc_id, text, md5(text) AS digest FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT doc_id, digest, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM texts),
+hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM lines),
+ended AS (
+  SELECT *, i = n OR (lag(h, 1, 0::BIGINT) OVER w % 1000003 * 31 + h) % 1000003 % 3 = 0 AS ends
+  FROM hashed WINDOW w AS (PARTITION BY doc_id, digest ORDER BY i)),
+numbered AS (
+  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id, digest ORDER BY i
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ended),
+chunks AS (
+  SELECT doc_id, digest, c, min(i) AS first, string_agg(line, chr(10) ORDER BY i) AS chunk
+  FROM numbered GROUP BY ALL HAVING count(*) >= 2),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id IS NULL, doc_id, digest, first) AS place FROM chunks),
+kept AS (
+  SELECT n.doc_id, n.digest, count(*) AS n_lines, count(*) FILTER (r.c IS NOT NULL) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (r.c IS NULL), '') AS text
+  FROM numbered n LEFT JOIN (SELECT * FROM ranked WHERE place > 1) r
+    ON n.doc_id IS NOT DISTINCT FROM r.doc_id AND n.digest = r.digest AND n.c = r.c GROUP BY n.doc_id, n.digest)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, md5(k.text) AS text_md5, k.text
+FROM documents d LEFT JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND md5(d.text) = k.digest
 """,
 }

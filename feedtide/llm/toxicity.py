@@ -3,7 +3,7 @@
 Two zstandard dictionaries are trained: one on windows of ordinary text, one on the same plus what toxic texts say and
 ordinary ones don't (words whose document counts differ by a likelihood-ratio test). A window that compresses better
 with the toxic dictionary speaks against its document. Since the dictionaries share their ordinary part, windows of
-ordinary text come out alike. Gains of all windows of a text are summed up in three numbers, a logistic model on
+ordinary text come out alike. Gains of all windows of a text are summed up in six numbers, a logistic model on
 labelled rows that no dictionary saw turns them into a score, and its threshold of best F1 is moved to 0.5.
 
 Models learn from at most ``per_class`` labelled rows of each class, taken in hash order, and never from held-out rows
@@ -41,6 +41,7 @@ DICTIONARY_BYTES = 8192
 #: How far the likelihood-ratio statistic of a toxic text's own word is above what chance gives the best of all words.
 EXTRA_EVIDENCE = 6.0
 MOST_WORDS = 200
+FEATURES = 6
 
 
 def windows(text: str) -> list[bytes]:
@@ -97,7 +98,7 @@ def _own_words(toxic: list[str], ordinary: list[str]) -> list[str]:
 
 @dataclass
 class Model:
-    """Two dictionaries and the weights of (1, share of gaining windows, mean gain, largest gain)."""
+    """Two dictionaries and the weights of 1 and the features."""
 
     ordinary: bytes
     toxic: bytes
@@ -113,12 +114,13 @@ class Model:
         return made
 
     @staticmethod
-    def features(text: str, ordinary, toxic) -> tuple[float, float, float]:
-        gains = [len(ordinary(w)) - len(toxic(w)) for w in windows(text)]
-        good = [g for g in gains if g > 0]
-        if not good:
-            return 0.0, 0.0, 0.0
-        return math.log1p(len(good)), math.log1p(1000 * sum(good) / len(gains)), float(max(good))
+    def features(text: str, ordinary, toxic) -> tuple[float, ...]:
+        """How many windows gain three bytes or more, two or more, one, or lose; how many there are; the largest gain."""
+        gains = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text)], np.int64)
+        if not len(gains):
+            return (0.0,) * FEATURES
+        numbers = ((gains > 2).sum(), (gains > 1).sum(), (gains == 1).sum(), (gains < 0).sum(), len(gains))
+        return (*(math.log1p(n) for n in numbers), float(min(max(gains.max(), 0), 6)))
 
     def score(self, features: np.ndarray) -> np.ndarray:
         logits = np.clip(self.weights[0] + features @ np.array(self.weights[1:]), -30, 30)
@@ -165,7 +167,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 1) -> Model | None:
     for n in sorted({min(n, len(own)) for n in (5, 10, 20, 40, 80, MOST_WORDS)}):
         model = Model(core, core + "".join(f" {w} " for w in reversed(own[:n])).encode(), ())
         pair = model.compressors()
-        features = np.array([Model.features(t, *pair) for t, _ in rest]).reshape(-1, 3)
+        features = np.array([Model.features(t, *pair) for t, _ in rest]).reshape(-1, FEATURES)
         weights = _logistic(features, labels)
         p = 1 / (1 + np.exp(-np.clip(weights[0] + features @ weights[1:], -30, 30)))
         tried.append((-float(np.log(np.where(labels == 1, p, 1 - p)).mean()), n, model, features, weights))
@@ -202,7 +204,7 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
             return [pa.array(np.zeros(len(texts)))]
         key = f"toxicity {zlib.crc32(model.ordinary)} {zlib.crc32(model.toxic)}"
         pair = kept_in_worker(key, model.compressors)
-        features = np.array([Model.features(t, *pair) for t in texts]).reshape(-1, 3)
+        features = np.array([Model.features(t, *pair) for t in texts]).reshape(-1, FEATURES)
         return [pa.array(model.score(features))]
 
     return map_texts(docs, list(keep), "score double", work)
