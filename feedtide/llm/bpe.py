@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import struct
 import zlib
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -216,9 +215,9 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
-def decode_stream(ids: Iterable[int], words: list[bytes], every: int = 4096) -> str:
+def decode_stream(ids: list[int], words: list[bytes], every: int = 4096) -> str:
     """Text of ids, ``every`` tokens at a time."""
-    stream, ids = Utf8Stream(), list(ids)
+    stream = Utf8Stream()
     parts = [stream.push(b"".join(map(words.__getitem__, ids[at : at + every]))) for at in range(0, len(ids), every)]
     return "".join([*parts, stream.close()])
 
@@ -252,7 +251,9 @@ def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
     def each(batches):
         words = kept_in_worker(f"bpe words {zlib.crc32(content.value)}", lambda: _words(content.value))
         for batch in batches:
-            texts = [decode_stream(ids or (), words) for ids in batch.column(1).to_pylist()]
+            column = batch.column(1)
+            values, ends = column.values.to_numpy(), column.offsets.to_numpy()  # a null has no values
+            texts = [decode_stream(values[a:b].tolist(), words) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     source = tokens.select("doc_id", "ids")

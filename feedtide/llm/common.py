@@ -6,6 +6,7 @@ import sys
 import types
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,26 @@ def hash_order(*columns: str) -> list[Column]:
     return [F.xxhash64(*columns), *(F.col(c) for c in columns)]
 
 
+#: Bits of a map of hashes. Its size is fixed and it only spares work: an exact join follows wherever one is used.
+MAP_BITS = 26
+
+
+def bit_map(rows: DataFrame, column: str) -> np.ndarray:
+    """A map of the leading bits of a column of 64-bit hashes; bits of one cell are or-ed before they are sent."""
+    cell = F.shiftright(F.shiftrightunsigned(column, 64 - MAP_BITS), 6)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - MAP_BITS}) & 63 AS int))")
+    cells = rows.select(cell.alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    bits[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
+    return bits
+
+
+def in_map(bits: np.ndarray, value: int) -> bool:
+    """Whether a (signed) hash may be in the map."""
+    at = (value % (1 << 64)) >> (64 - MAP_BITS)
+    return bool(int(bits[at >> 6]) >> (at & 63) & 1)
+
+
 def map_texts(
     docs: DataFrame,
     keep: list[str],
@@ -88,7 +109,5 @@ def _fields(schema: str) -> list[str]:
 
 def lists(values, counts) -> pa.ListArray:
     """A list column from all values in a row and the length of each list."""
-    import numpy as np
-
     ends = np.concatenate([[0], np.cumsum(np.asarray(counts, dtype=np.int64))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))

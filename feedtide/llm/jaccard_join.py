@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedtide.llm.common import WORD, kept_in_worker, lists, map_texts, row_key
+from feedtide.llm.common import WORD, bit_map, in_map, kept_in_worker, lists, map_texts, row_key
 from feedtide.llm.components import connected
 from feedtide.session import staged
 
@@ -40,8 +40,6 @@ _WORD = re.compile(WORD.encode())
 HOT_SHARE = 1000
 #: Seeds of the orders: the first is joined on, the others filter its pairs.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: Bits of the map of classes to look at again. It is of fixed size; a join follows, so a full map costs time only.
-MAP_BITS = 26
 _STEP = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -145,20 +143,9 @@ def _prefix_rows(docs: DataFrame, width: int, percent: int, hot) -> DataFrame:
     return made.select(F.inline("rows"))
 
 
-def _map_of(wanted: DataFrame) -> np.ndarray:
-    """A bit map, of fixed size, of the leading bits of ``sig``; the bits of a cell are or-ed before they are sent."""
-    at = F.shiftrightunsigned("sig", 64 - MAP_BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(sig, {64 - MAP_BITS}) & 63 AS int))")
-    rows = wanted.select(F.shiftright(at, 6).alias("cell"), bit.alias("bit"))
-    rows = rows.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    bits[rows["cell"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return bits
-
-
 def _sets(docs: DataFrame, width: int, percent: int, hot, wanted: DataFrame) -> DataFrame:
     """``sig, n, tokens, prefixes`` of the classes in ``wanted``: the whole set, and its prefixes under further orders."""
-    bits = docs.sparkSession.sparkContext.broadcast(_map_of(wanted))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "sig"))
     kind = pa.list_(
         pa.struct(
             [("sig", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("prefixes", pa.list_(pa.list_(pa.int64())))]
@@ -171,9 +158,8 @@ def _sets(docs: DataFrame, width: int, percent: int, hot, wanted: DataFrame) ->
         for text in texts:
             tokens = shingles(text, width, words)
             sig = signature(tokens)
-            at = (sig % (1 << 64)) >> (64 - MAP_BITS)
             own = []
-            if len(tokens) and sig not in found and int(bits.value[at >> 6]) >> (at & 63) & 1:
+            if len(tokens) and sig not in found and in_map(bits.value, sig):
                 found.add(sig)
                 prefixes = [_signed(prefix(tokens, percent, order, hot.value)) for order in ORDERS[1:]]
                 own = [{"sig": sig, "n": len(tokens), "tokens": _signed(tokens), "prefixes": prefixes}]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from feedtide.llm import bpe, jaccard_join, line_dedup, one_bit_search, packing, repetition, secret_scan, sharding, toxicity
+from feedtide.llm import bpe, jaccard_join, line_dedup, one_bit_search, packing, repeated_bytes, repetition, secret_scan, sharding, toxicity
 from feedtide.llm.common import table
 
 #: Production parameters.
@@ -56,6 +56,10 @@ def op9_one_bit_search(spark, sf_dir):
     return one_bit_search.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op10_suffix_array_dedup(spark, sf_dir):
+    return repeated_bytes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
@@ -66,6 +70,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_one_bit_search": op9_one_bit_search,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL = {
