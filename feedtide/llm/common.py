@@ -67,10 +67,11 @@ def bit_map(rows: DataFrame, column: str) -> np.ndarray:
     return bits
 
 
-def in_map(bits: np.ndarray, value: int) -> bool:
-    """Whether a (signed) hash may be in the map."""
-    at = (value % (1 << 64)) >> (64 - MAP_BITS)
-    return bool(int(bits[at >> 6]) >> (at & 63) & 1)
+def in_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which (signed) hashes may be in the map."""
+    at = values.view(np.uint64) >> np.uint64(64 - MAP_BITS)
+    cells = bits.view(np.uint64)[at >> np.uint64(6)]
+    return (cells >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def map_texts(

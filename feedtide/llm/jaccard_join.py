@@ -154,12 +154,12 @@ def _sets(docs: DataFrame, width: int, percent: int, hot, wanted: DataFrame) ->
 
     def work(texts, batch):
         words = kept_in_worker("shingle words", dict)
+        sets = [shingles(text, width, words) for text in texts]
+        sigs = np.array([signature(s) for s in sets], np.int64)
         found, out = set(), []
-        for text in texts:
-            tokens = shingles(text, width, words)
-            sig = signature(tokens)
+        for tokens, sig, wanted in zip(sets, sigs.tolist(), in_map(bits.value, sigs).tolist()):
             own = []
-            if len(tokens) and sig not in found and in_map(bits.value, sig):
+            if wanted and len(tokens) and sig not in found:
                 found.add(sig)
                 prefixes = [_signed(prefix(tokens, percent, order, hot.value)) for order in ORDERS[1:]]
                 own = [{"sig": sig, "n": len(tokens), "tokens": _signed(tokens), "prefixes": prefixes}]

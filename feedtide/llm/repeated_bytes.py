@@ -278,6 +278,9 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.r_[True, new[1:] | (block[1:] != block[:-1])]
     edge |= np.r_[edge[1:], True]
     place, found = place[edge], found[edge]
+    found = found * np.uint64(_ODD)  # least hashes have leading zeros
+    found ^= found >> np.uint64(32)
+    found *= np.uint64(0x94D049BB133111EB)
     return text[place], place - (ends - lengths)[text[place]], found.view(np.int64)
 
 
@@ -293,23 +296,6 @@ def _in_groups(texts: list[str], size: int = 1_000_000):
         yield first, group
 
 
-def _each_anchor(texts: list[str], row) -> list[list]:
-    """``row(hash, bytes of the text, place)`` for each anchor of each text; None is left out."""
-    out: list[list] = [[] for _ in texts]
-    for first, group in _in_groups(texts):
-        for t, place, found in zip(*(a.tolist() for a in anchors(group))):
-            made = row(found, group[t], place)
-            if made is not None:
-                out[first + t].append(made)
-    return out
-
-
-def _digest(text: bytes, place: int) -> int:
-    """Digest of an anchor's surroundings and of how far they reach back."""
-    left = min(SIDE, place)
-    return xxhash.xxh3_64_intdigest(text[place - left : place + LENGTH], seed=left) - (1 << 63)
-
-
 def _anchor_hashes(docs: DataFrame) -> DataFrame:
     def work(texts, batch):
         found, counts = [], []
@@ -329,21 +315,33 @@ def _hash_map(docs: DataFrame, wanted: DataFrame):
 def _anchors_in(docs: DataFrame, wanted: DataFrame, with_bytes: bool) -> DataFrame:
     """Anchors whose hash is in ``wanted``: ``doc_id, row_, hash, around, place, low, high`` and, if asked, ``bytes``."""
     bits = _hash_map(docs, wanted)
-    fields = [("hash", pa.int64()), ("around", pa.int64()), ("place", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]
-    fields += [("bytes", pa.binary())] * with_bytes
     ddl = "hash:bigint,around:bigint,place:bigint,low:bigint,high:bigint" + ",bytes:binary" * with_bytes
 
     def work(texts, batch):
-        known = bits.value
-
-        def row(found, text, place):
-            if not in_map(known, found):
-                return None
-            low, high = max(0, place - SIDE), min(len(text), place + LENGTH)
-            made = {"hash": found, "around": _digest(text, place), "place": place, "low": low, "high": high}
-            return made | {"bytes": text[low:high]} if with_bytes else made
-
-        return [pa.array(_each_anchor(texts, row), pa.list_(pa.struct(fields)))]
+        counts: list[int] = []
+        columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+        parts: list[bytes] = []
+        for _, group in _in_groups(texts):
+            text, place, found = anchors(group)
+            own = in_map(bits.value, found)
+            text, place, found = text[own], place[own], found[own]
+            counts += np.bincount(text, minlength=len(group)).tolist()
+            low = np.maximum(place - SIDE, 0)
+            high = np.minimum(place + LENGTH, np.array([len(t) for t in group], np.int64)[text])
+            pieces = [group[t][a:b] for t, a, b in zip(text.tolist(), low.tolist(), high.tolist())]
+            # The seed tells how far the surroundings reach back.
+            around = [
+                xxhash.xxh3_64_intdigest(piece, seed=left) - (1 << 63) for piece, left in zip(pieces, (place - low).tolist())
+            ]
+            for column, values in zip(columns, (found, np.array(around, np.int64), place, low, high)):
+                column.append(values)
+            if with_bytes:
+                parts += pieces
+        arrays = [pa.array(np.concatenate([*c, np.zeros(0, np.int64)])) for c in columns]
+        names = ["hash", "around", "place", "low", "high"]
+        if with_bytes:
+            arrays, names = [*arrays, pa.array(parts, pa.binary())], [*names, "bytes"]
+        return [lists(pa.StructArray.from_arrays(arrays, names=names), counts)]
 
     made = map_texts(docs, ["doc_id", "row_"], f"found array<struct<{ddl}>>", work)
     made = made.select("doc_id", "row_", F.inline("found"))
