@@ -160,13 +160,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_TYPES = ("click", "view", "signup", "error", "purchase")
-
-
 def _feed_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
-    types = F.array(*[F.lit(t) for t in _TYPES])
-    uri = F.concat(F.element_at(types, F.col("k") % 5 + 1), F.lit("/"), (F.col("k") % 20).cast("string"))
-    return _events(spark, sf_dir).where("event_type = 'signup'").select(
+    """Every event subscribes its user to the feed of its own item, but for one in a hundred, which names none."""
+    uri = F.floor(F.col("event_id") / 10).cast("string")
+    return _events(spark, sf_dir).select(
         "user_id",
         F.col("event_id").cast("string").alias("feed_id"),
         F.lit(feeds.RSS).alias("type"),
@@ -176,20 +173,20 @@ def _feed_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = F.concat("event_type", F.lit("/"), (F.col("event_id") % 20).cast("string"))
+    """Every event is an item; ten in a row are a feed, so timelines grow with the events. One in 97 has no time."""
     return _events(spark, sf_dir).select(
-        feed.alias("feed_uri"),
+        F.floor(F.col("event_id") / 10).cast("string").alias("feed_uri"),
         F.when(F.col("event_id") % 2 == 0, feeds.RSS).otherwise(feeds.ATOM).alias("item_type"),
         F.concat(F.lit("title "), "event_id").alias("title"),
         F.col("event_id").cast("string").alias("uri"),
-        F.col("ts").alias("dateTime"),
+        F.when(F.col("event_id") % 97 != 0, F.col("ts")).alias("dateTime"),
     )
 
 
 def _item_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes on every third event by its user; on every ninth the time is off by a second."""
-    shift = F.when(F.col("event_id") % 9 == 0, F.expr("interval 1 second")).otherwise(F.expr("interval 0 second"))
-    return _events(spark, sf_dir).where("event_id % 3 = 0").select(
+    """Every event is a vote on its item by its user; on every third the time is off by a second, which is a miss."""
+    shift = F.when(F.col("event_id") % 3 == 0, F.expr("interval 1 second")).otherwise(F.expr("interval 0 second"))
+    return _events(spark, sf_dir).select(
         "user_id",
         F.concat(F.lit("d"), "event_id").alias("doc_id"),
         F.col("event_id").cast("string").alias("uri"),
@@ -217,11 +214,11 @@ def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored votes from purchases: several per key, and some in a state nobody knows."""
-    return _events(spark, sf_dir).where("event_type = 'purchase'").select(
+    """Every event is a stored vote: several per key, some in a state nobody knows."""
+    return _events(spark, sf_dir).select(
         "user_id",
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("doc_id"),
-        (F.col("k") % 10).cast("string").alias("uri"),
+        (F.col("k") % 20).cast("string").alias("uri"),
         F.concat(F.lit("stored "), "event_id").alias("title"),
         F.when(F.col("event_id") % 50 == 0, 7).when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("state"),
         _slot_time().alias("uriCreatedAt"),
@@ -231,7 +228,7 @@ def _stored_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("string").alias("uri"),
-        F.transform(F.slice("embedding", 1, 5), lambda v: v.cast("double")).alias("x"),
+        F.col("embedding").cast("array<double>").alias("x"),
     )
 
 
@@ -281,11 +278,29 @@ def _ingest_append(spark, sf_dir):
     return spark.read.parquet(path).groupBy("link", "feedUrl").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _requests(landed: DataFrame) -> DataFrame:
+    """Every landed feed is requested once, by the user named like its run; every third user asks for a lost one too."""
+    user = F.regexp_extract("uri", r"(\d+)$", 1)
+    at = F.lit("2024-03-01 00:00:00").cast("timestamp").alias("requested_at")
+    own = landed.select(F.concat(F.lit("u"), user).alias("user_id"), "uri", at)
+    lost = landed.where(user.cast("int") % 3 == 0).select(
+        F.concat(F.lit("u"), user).alias("user_id"), F.concat("uri", F.lit("/gone")).alias("uri"), at
+    )
+    return own.unionByName(lost)
+
+
 def _new_subscriptions(spark, sf_dir):
-    """Every landed feed is requested once, by the user named like its run."""
+    """The requests appended twice over, as a retry would: the second run adds nothing."""
+    landed, path = _landed(spark, sf_dir), fresh_dir(spark, "feed-uris")
+    rows = feeds.new_subscriptions(_requests(landed), landed)
+    for _ in range(2):
+        feeds.append_subscriptions(rows, path)
+    return spark.read.parquet(path).select("user_id", "feed_id", "type", "uri")
+
+
+def _refused_subscriptions(spark, sf_dir):
     landed = _landed(spark, sf_dir)
-    requests = landed.select(F.concat(F.lit("u"), F.regexp_extract("uri", r"(\d+)$", 1)).alias("user_id"), "uri")
-    return feeds.new_subscriptions(requests, landed).select("user_id", "type", "uri")
+    return feeds.refused_subscriptions(_requests(landed), landed)
 
 
 def _written(columns):
@@ -312,9 +327,7 @@ def _vote_changes(spark, sf_dir):
 
 def _vote_table(spark, sf_dir):
     table = votes.apply_votes(_stored_votes(spark, sf_dir), _actions(spark, sf_dir))
-    return table.select(
-        "user_id", "uri", "title", F.col("state").cast("long").alias("state"), _us("uriCreatedAt")
-    )
+    return _votes_shape(table)
 
 
 def _user_items(spark, sf_dir):
@@ -366,27 +379,45 @@ def _kde_score(spark, sf_dir):
 
 
 def _stream_ingest(spark, sf_dir):
-    """Landed feeds streamed into the item table, in two runs over one checkpoint."""
+    """The item table of ``_streamed``: every entry as often as it was fetched, changed texts included."""
+    rows = stream_ingest.ingested_items(spark, _streamed(spark, sf_dir))
+    return rows.select("link", "title", "feedUrl", "isoDate", "creator")
+
+
+def _stream_rejects(spark, sf_dir):
+    return stream_ingest.rejected_entries(spark, _streamed(spark, sf_dir)).select("uri", "title", "reason")
+
+
+def _streamed(spark, sf_dir) -> str:
+    """Landed feeds streamed in, in three runs over one checkpoint: a half; then that half again with another creator,
+    and the other half; then one feed more that was fetched long before all others."""
     base = fresh_dir(spark, "stream-ingest")
     landed = staged(_landed(spark, sf_dir), "landed")
-    for part in (0, 1):
-        half = landed.where(F.pmod(F.xxhash64("uri"), F.lit(2)) == part)
-        half.write.mode("append").parquet(f"{base}/landed")
+    odd = F.regexp_extract("uri", r"(\d+)$", 1).cast("int") % 2 == 1
+    changed = F.replace("xml", F.lit("<dc:creator>"), F.lit("<dc:creator>new "))
+    later = F.col("fetched_at") + F.expr("interval 10 days")
+    late = F.col("fetched_at") - F.expr("interval 300 days")
+    runs = (
+        landed.where(odd),
+        landed.where(odd).withColumns({"xml": changed, "fetched_at": later}).unionByName(landed.where(~odd)),
+        landed.where("uri like '%/0'").withColumn("fetched_at", late),
+    )
+    for run in runs:
+        run.write.mode("append").parquet(f"{base}/landed")
         stream_ingest.refresh(spark, f"{base}/landed", f"{base}/entries", f"{base}/marks")
-    return stream_ingest.ingested_items(spark, f"{base}/entries").select("link", "title", "feedUrl", "isoDate")
+    return f"{base}/entries"
 
 
 def _stream_votes(spark, sf_dir):
-    """The vote actions streamed into the change log; the voted list is its last states."""
+    """Vote actions streamed in, in three batches of any order, on top of the stored votes: the batch result."""
     base = fresh_dir(spark, "stream-votes")
-    _actions(spark, sf_dir).write.parquet(f"{base}/actions")
-    schema = spark.read.parquet(f"{base}/actions").schema
-    stream = spark.readStream.schema(schema).parquet(f"{base}/actions")
-    stream_votes.start_vote_log(stream, f"{base}/log", f"{base}/marks").awaitTermination()
-    current = stream_votes.current_votes(spark.read.parquet(f"{base}/log"))
-    return votes.voted_list(current).select(
-        "user_id", "uri", "title", F.col("state").cast("long").alias("state"), _us("uriCreatedAt")
-    )
+    actions, stored = _actions(spark, sf_dir), staged(_stored_votes(spark, sf_dir), "stored-votes")
+    for part in (1, 0, 2):  # by a hash, so that most keys get actions from before their last one
+        actions.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).write.mode("append").parquet(f"{base}/actions")
+        stream = spark.readStream.schema(actions.schema).parquet(f"{base}/actions")
+        stream_votes.start_vote_log(stream, f"{base}/log", f"{base}/marks", stored).awaitTermination()
+    current = stream_votes.current_votes(stream_votes.change_log(spark, f"{base}/log"), stored)
+    return _votes_shape(current)
 
 
 def _stream_timelines(spark, sf_dir):
@@ -428,6 +459,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "subscribed_feeds": lambda s, d: feeds.subscribed_uris(_feed_uris(s, d)),
         "feed_types": lambda s, d: feeds.feed_types(_landed(s, d)),
         "new_subscriptions": _new_subscriptions,
+        "refused_subscriptions": _refused_subscriptions,
         "rss_items_from_xml": lambda s, d: feeds.rss_items(_landed(s, d)),
         "item_quarantine": lambda s, d: feeds.quarantine(_landed(s, d)),
         "title_terms": lambda s, d: feeds.title_term_counts(_items(s, d)).select("link", "feedUrl", "term", "n"),
@@ -467,6 +499,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "uri", F.array_join("feeds", " ").alias("feeds")
         ),
         # matrix, components, density
+        "matrix_blocks": _matrix_blocks,
+        "untitled_documents": lambda s, d: quality.untitled_documents(_docs(s, d)).select("uri", "reason"),
         "matrix_cells": lambda s, d: matrix.cells(trends.terms_by_feed(_inputs(s, d))).select("uri", "word", _r9("tfidf")),
         "tfidf_vector": lambda s, d: matrix.sparse_vectors(
             staged(_scores(s, d).select("uri", "word", "tfidf"), "cells")
@@ -509,6 +543,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "voted_list": lambda s, d: _votes_shape(votes.voted_list(_item_votes(s, d))),
         "access_check": _access_check,
+        "untimed_items": lambda s, d: timeline.untimed_items(_feed_items(s, d)).select("feed_uri", "title", "uri"),
         "timeline": lambda s, d: timeline.timeline(_user_items(s, d)).select("user_id", "feed_uri", "uri", _us("dateTime")),
         "timeline_page": lambda s, d: timeline.timeline_page(_feed_uris(s, d), _feed_items(s, d), 20).select(
             "user_id", "uri", F.col("rank").cast("long").alias("rank")
@@ -519,11 +554,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "timeline_with_votes": _timeline_with_votes,
         # streams
         "stream_ingest": _stream_ingest,
+        "stream_rejects": _stream_rejects,
         "stream_votes": _stream_votes,
         "stream_timelines": _stream_timelines,
     }
 
 
+def _matrix_blocks(spark, sf_dir):
+    """Dense blocks of 64 columns; the slots that aren't zero as text, in billionths."""
+    rows = matrix.dense_blocks(matrix.cells(_scores(spark, sf_dir).select("uri", "word", "tfidf")), 64)
+    told = F.transform("slots", lambda v, i: F.when(v != 0, F.concat(i, F.lit(":"), F.round(v * 1e9).cast("long"))))
+    filled = F.array_join(F.filter(told, lambda t: t.isNotNull()), " ")
+    return rows.select("uri", "block", filled.alias("filled"), F.size("slots").cast("long").alias("width"))
+
+
 def _standardized(spark, sf_dir):
     cells = staged(_scores(spark, sf_dir).select("uri", "word", "tfidf"), "cells")
     stats = staged(matrix.word_stats(cells), "word-stats")
@@ -554,25 +598,25 @@ _EVENTS = """
 ev AS (SELECT event_id, ts, user_id::varchar AS user_id, event_type,
          json_extract_string(props, '$.k')::int AS k FROM events),
 subs AS (SELECT user_id, event_id::varchar AS feed_id,
-           CASE WHEN k <> 99 THEN ['click','view','signup','error','purchase'][k % 5 + 1] || '/' || (k % 20) END AS uri
-         FROM ev WHERE event_type = 'signup'),
-fitems AS (SELECT event_type || '/' || (event_id % 20) AS feed_uri, 'title ' || event_id AS title,
-             event_id::varchar AS uri, ts AS dt FROM ev),
-tl AS (SELECT s.user_id, i.feed_uri, i.uri, i.title, i.dt FROM subs s JOIN fitems i ON s.uri = i.feed_uri),
+           CASE WHEN k <> 99 THEN (event_id // 10)::varchar END AS uri FROM ev),
+fitems AS (SELECT (event_id // 10)::varchar AS feed_uri, 'title ' || event_id AS title,
+             event_id::varchar AS uri, CASE WHEN event_id % 97 <> 0 THEN ts END AS dt FROM ev),
+tl AS (SELECT s.user_id, i.feed_uri, i.uri, i.title, i.dt FROM subs s JOIN fitems i ON s.uri = i.feed_uri
+       WHERE i.dt IS NOT NULL),
 ivotes AS (SELECT user_id, 'd' || event_id AS doc_id, event_id::varchar AS uri, 'voted ' || event_id AS title,
              CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS state,
-             CASE WHEN event_id % 9 = 0 THEN ts + INTERVAL 1 SECOND ELSE ts END AS made
-           FROM ev WHERE event_id % 3 = 0),
-svotes AS (SELECT user_id, lpad(event_id::varchar, 12, '0') AS doc_id, (k % 10)::varchar AS uri,
+             CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 SECOND ELSE ts END AS made
+           FROM ev),
+svotes AS (SELECT user_id, lpad(event_id::varchar, 12, '0') AS doc_id, (k % 20)::varchar AS uri,
              'stored ' || event_id AS title,
              CASE WHEN event_id % 50 = 0 THEN 7 WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS state,
              TIMESTAMP '2024-01-01' + (k % 10) * INTERVAL 1 HOUR AS made
-           FROM ev WHERE event_type = 'purchase'),
+           FROM ev),
 acts AS (SELECT user_id, (k % 10)::varchar AS uri, 'slot ' || (k % 10) AS title,
            TIMESTAMP '2024-01-01' + (k % 10) * INTERVAL 1 HOUR AS made,
            CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN -1 END AS sign, ts, event_id FROM ev),
 valid AS (SELECT * FROM acts WHERE sign IS NOT NULL),
-starts AS (SELECT user_id, uri, made, min_by(state, doc_id) AS old_state, min_by(title, doc_id) AS old_title
+starts AS (SELECT user_id, uri, made, min(doc_id) AS doc_id, min_by(state, doc_id) AS old_state
            FROM svotes WHERE state IN (-1, 0, 1) GROUP BY ALL),
 flags AS (SELECT *, CASE WHEN lag(sign) OVER w IS DISTINCT FROM sign THEN 1 ELSE 0 END AS turn
           FROM valid WINDOW w AS (PARTITION BY user_id, uri, made ORDER BY ts, event_id)),
@@ -585,8 +629,15 @@ states AS (SELECT l.user_id, l.uri, l.made, l.title, coalesce(s.old_state, 0) AS
              CASE WHEN (l.len + CASE WHEN l.runs = 1 AND coalesce(s.old_state, 0) = l.sign THEN 1 ELSE 0 END) % 2 = 1
                THEN l.sign ELSE 0 END AS state
            FROM lasts l LEFT JOIN starts s ON l.user_id = s.user_id AND l.uri = s.uri AND l.made = s.made),
-fresh AS (SELECT user_id, uri, made, title,
-            CASE WHEN len % 2 = 1 THEN sign ELSE 0 END AS state FROM lasts)
+pressed AS (SELECT s.user_id, s.doc_id, x.state FROM starts s JOIN states x
+              ON s.user_id = x.user_id AND s.uri = x.uri AND s.made = x.made),
+vtable AS (
+  SELECT v.user_id, v.doc_id, v.uri, v.title, coalesce(p.state, v.state) AS state, v.made
+  FROM svotes v LEFT JOIN pressed p ON v.user_id = p.user_id AND v.doc_id = p.doc_id WHERE p.state IS NULL OR p.state <> 0
+  UNION ALL
+  SELECT user_id, sha256(concat_ws(chr(1), user_id, uri, strftime(made, '%Y-%m-%d %H:%M:%S'))), uri, title, state, made
+  FROM states x WHERE state <> 0 AND NOT EXISTS (
+    SELECT 1 FROM starts s WHERE s.user_id = x.user_id AND s.uri = x.uri AND s.made = x.made))
 """
 
 _LANDED = r"""
@@ -598,6 +649,13 @@ f AS (SELECT *, n % 2 = 0 AS rss, (n + chunk) % 11 = 5 AS cut, (n + chunk) % 7 =
         'http://feeds.example/' || source AS self_url, 'http://docs.example/' || doc_id AS url FROM src)
 """
 
+_FETCHED = """
+, fetched AS (
+  SELECT *, 1 AS run, false AS changed FROM f WHERE chunk % 2 = 1
+  UNION ALL SELECT *, 2, chunk % 2 = 1 FROM f
+  UNION ALL SELECT *, 3, false FROM f WHERE chunk = 0)
+"""
+
 _READER = """
 reader AS (
   SELECT feed_uri, CASE WHEN rss THEN 'FeedTypes.RSS' ELSE 'FeedTypes.ATOM' END AS item_type, title,
@@ -629,17 +687,14 @@ varying AS (SELECT * FROM stats WHERE std > 0)
 """
 
 _PAIRS = """
-pts AS (SELECT vec_id::varchar AS uri, embedding[1]::double AS a, embedding[2]::double AS b, embedding[3]::double AS c,
-          embedding[4]::double AS d, embedding[5]::double AS e FROM embeddings),
-cnt AS (SELECT count(*) AS n FROM pts),
+pts AS (SELECT vec_id::varchar AS uri, embedding::double[] AS x FROM embeddings),
+cnt AS (SELECT count(*) AS n, any_value(len(x)) AS d FROM pts),
 folded AS (
   SELECT *, CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1)
                  ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold
   FROM (SELECT pts.*, row_number() OVER (ORDER BY uri) - 1 AS i, cnt.n FROM pts, cnt)),
 pairs AS (
-  SELECT x.uri, x.fold AS fx, y.fold AS fy,
-    (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) + (x.c - y.c) * (x.c - y.c)
-    + (x.d - y.d) * (x.d - y.d) + (x.e - y.e) * (x.e - y.e) AS d2
+  SELECT x.uri, x.fold AS fx, y.fold AS fy, pow(list_distance(x.x, y.x), 2) AS d2
   FROM folded x, folded y)
 """
 
@@ -664,8 +719,11 @@ def oracle_sql() -> dict[str, str]:
         "feed_types": landed
         + "SELECT DISTINCT feed_uri AS uri, CASE WHEN cut THEN NULL WHEN rss THEN 'FeedTypes.RSS' ELSE 'FeedTypes.ATOM' END AS type FROM f",
         "new_subscriptions": landed
-        + "SELECT DISTINCT 'u' || chunk AS user_id, CASE WHEN rss THEN 'FeedTypes.RSS' ELSE 'FeedTypes.ATOM' END AS type, "
-        "feed_uri AS uri FROM f WHERE NOT cut",
+        + "SELECT DISTINCT 'u' || chunk AS user_id, sha256(concat_ws(chr(1), 'u' || chunk, feed_uri, '2024-03-01 00:00:00')) AS feed_id, "
+        "CASE WHEN rss THEN 'FeedTypes.RSS' ELSE 'FeedTypes.ATOM' END AS type, feed_uri AS uri FROM f WHERE NOT cut",
+        "refused_subscriptions": landed
+        + "SELECT DISTINCT 'u' || chunk AS user_id, feed_uri AS uri, 'not_a_feed' AS reason FROM f WHERE cut "
+        "UNION ALL SELECT DISTINCT 'u' || chunk, feed_uri || '/gone', 'not_landed' FROM f WHERE chunk % 3 = 0",
         "rss_items_from_xml": landed + f"SELECT {item_columns} FROM f WHERE {usable}",
         "item_quarantine": landed
         + "SELECT DISTINCT feed_uri AS uri, NULL::varchar AS title, 'malformed_xml' AS reason FROM f WHERE cut "
@@ -715,18 +773,23 @@ def oracle_sql() -> dict[str, str]:
         "tfidf_vector": docs
         + "SELECT uri, word_index, round(tfidf, 9) AS tfidf FROM scored "
         "JOIN (SELECT word, row_number() OVER (ORDER BY word) - 1 AS word_index FROM freqs) USING (word)",
+        "matrix_blocks": docs
+        + ", placed AS (SELECT uri, tfidf, i FROM scored JOIN "
+        "(SELECT word, row_number() OVER (ORDER BY word) - 1 AS i FROM freqs) USING (word)) "
+        "SELECT uri, i // 64 AS block, string_agg(i % 64 || ':' || round(tfidf * 1e9)::bigint, ' ' ORDER BY i) AS filled, "
+        "64::bigint AS width FROM placed GROUP BY ALL",
         "word_stats": stats + "SELECT word, round(mean, 9) AS mean, round(std, 9) AS std FROM varying",
         "tfidf_standardized": stats + "SELECT uri, word, round((tfidf - mean) / std, 6) AS z FROM scored JOIN varying USING (word)",
         "kde_score": pairs
         + "SELECT uri, round(ln(sum(exp(-d2 / (2 * 0.5 * 0.5)))) - ln((SELECT n FROM cnt)) "
-        "- 2.5 * ln(2 * pi() * 0.5 * 0.5), 8) AS log_density FROM pairs GROUP BY uri",
+        "- (SELECT d FROM cnt) / 2 * ln(2 * pi() * 0.5 * 0.5), 8) AS log_density FROM pairs GROUP BY uri",
         "kde_bandwidth": pairs
         + ", hs AS (SELECT pow(10.0::double, -1.0::double + 2.0::double * i / 19.0::double) AS h FROM range(20) r(i)), "
         "lows AS (SELECT uri, fx, min(d2) AS low FROM pairs WHERE fx <> fy GROUP BY ALL), "
         "held AS (SELECT fold AS fx, count(*) AS m FROM folded GROUP BY fold), "
         "logs AS (SELECT p.uri, p.fx, h, -any_value(low) / (2 * h * h) + ln(sum(exp((low - d2) / (2 * h * h)))) AS lse "
         "FROM pairs p JOIN lows ON p.uri = lows.uri, hs WHERE p.fx <> p.fy GROUP BY p.uri, p.fx, h) "
-        "SELECT round(h, 9) AS bandwidth, round(sum(lse - ln((SELECT n FROM cnt) - m) - 2.5 * ln(2 * pi() * h * h)) / 5, 5) AS score "
+        "SELECT round(h, 9) AS bandwidth, round(sum(lse - ln((SELECT n FROM cnt) - m) - (SELECT d FROM cnt) / 2 * ln(2 * pi() * h * h)) / 5, 5) AS score "
         "FROM logs JOIN held USING (fx) GROUP BY h",
         "feed_scores": merge + "SELECT feed_url, uri, round(trend_score, 9) AS trend_score FROM scores",
         "trend_score_merge": merge
@@ -747,14 +810,14 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT user_id, uri, CASE WHEN old_state = 0 THEN 'insert' WHEN state = 0 THEN 'delete' ELSE 'update' END AS change "
         "FROM states WHERE old_state <> state",
         "vote_table": events
-        + "SELECT user_id, uri, coalesce(s.old_title, x.title) AS title, coalesce(x.state, s.old_state)::bigint AS state, "
-        'epoch_us(made) AS "uriCreatedAt" FROM starts s FULL JOIN states x USING (user_id, uri, made) '
-        "WHERE coalesce(x.state, s.old_state) <> 0",
+        + 'SELECT user_id, doc_id, uri, title, state::bigint AS state, epoch_us(made) AS "uriCreatedAt" FROM vtable',
         "invalid_votes": events + "SELECT doc_id, 'unknown_state' AS reason FROM svotes WHERE state NOT IN (-1, 0, 1)",
         "invalid_actions": events + "SELECT event_id, 'unknown_action' AS reason FROM acts WHERE sign IS NULL",
         "vote_polarity": events + "SELECT doc_id, sign(state)::bigint AS polarity FROM svotes",
         "duplicate_votes": events
         + 'SELECT user_id, uri, epoch_us(made) AS "uriCreatedAt", count(*) AS n_votes FROM svotes GROUP BY ALL HAVING count(*) > 1',
+        "untimed_items": events + "SELECT feed_uri, title, uri FROM fitems WHERE dt IS NULL",
+        "untitled_documents": "SELECT DISTINCT doc_id::varchar AS uri, 'null_title' AS reason FROM documents WHERE text IS NULL",
         "voted_list": events
         + 'SELECT user_id, doc_id, uri, title, state::bigint AS state, epoch_us(made) AS "uriCreatedAt" FROM ivotes '
         "ORDER BY user_id, made, doc_id",
@@ -771,9 +834,15 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT t.user_id, t.feed_uri, t.uri, coalesce(v.title, t.title) AS title, coalesce(v.state, 0)::bigint AS state, "
         'v.doc_id, epoch_us(t.dt) AS "dateTime" FROM tl t LEFT JOIN ivotes v ON t.user_id = v.user_id AND t.uri = v.uri AND t.dt = v.made',
         "stream_ingest": landed
-        + 'SELECT url AS link, title, self_url AS "feedUrl", strftime(ts, \'%Y-%m-%dT%H:%M:%S.000Z\') AS "isoDate" '
-        f"FROM f WHERE {usable}",
+        + f"{_FETCHED} SELECT url AS link, title, self_url AS \"feedUrl\", strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') AS \"isoDate\", "
+        f"CASE WHEN rss THEN CASE WHEN changed THEN 'new ' ELSE '' END || lang END AS creator FROM fetched WHERE {usable}",
+        "stream_rejects": landed
+        + f"{_FETCHED} SELECT uri, title, reason FROM ("
+        "SELECT DISTINCT run, feed_uri AS uri, NULL::varchar AS title, 'malformed_xml' AS reason FROM fetched WHERE cut "
+        "UNION ALL SELECT run, feed_uri, title, 'missing_feed_url' FROM fetched WHERE NOT cut AND unnamed "
+        "UNION ALL SELECT run, feed_uri, title, 'missing_link' FROM fetched WHERE NOT cut AND NOT unnamed "
+        "AND ((rss AND kind = 7) OR (NOT rss AND kind = 8)))",
         "stream_votes": events
-        + 'SELECT user_id, uri, title, state::bigint AS state, epoch_us(made) AS "uriCreatedAt" FROM fresh WHERE state <> 0',
+        + 'SELECT user_id, doc_id, uri, title, state::bigint AS state, epoch_us(made) AS "uriCreatedAt" FROM vtable',
         "stream_timelines": events + 'SELECT user_id, feed_uri, uri, epoch_us(dt) AS "dateTime" FROM tl',
     }

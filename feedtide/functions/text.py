@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What counts as a word of a document, and as a term of a title.
 WORD_PATTERN = r"[A-Za-z']+"
@@ -34,20 +38,20 @@ def inverse_document_frequency(ratio: Column) -> Column:
     return F.log(F.lit(1.0) / ratio)
 
 
-def snippet(html: Column) -> Column:
-    """Plain text of an HTML fragment: tags dropped, basic entities decoded, trimmed."""
+@F.pandas_udf(StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
+def snippet(markup: Column) -> Column:
+    """Plain text of an HTML fragment: tags dropped, character references decoded, trimmed.
+
+    Named and numeric references are decoded once, by the table of the HTML standard; a
+    no-break space becomes a space. Only texts that hold one go through Python.
+    """
+    # Block elements that part words.
     block = r"(?s)([^\n])</?(?:h|br|p|ul|ol|li|blockquote|section|table|tr|div)(?:[^>]*)>([^\n])"
-    text = F.regexp_replace(html, block, "$1\n$2")
+    text = F.regexp_replace(markup, block, "$1\n$2")
     text = F.regexp_replace(text, r"(?s)<.*?>", "")
-    # Named entities; the ampersand goes last so that nothing is decoded twice.
-    for entity, char in (
-        ("&lt;", "<"),
-        ("&gt;", ">"),
-        ("&quot;", '"'),
-        ("&apos;", "'"),
-        ("&#39;", "'"),
-        ("&nbsp;", " "),
-        ("&amp;", "&"),
-    ):
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = F.when(F.contains(text, F.lit("&")), F.replace(_unescaped(text), F.lit("\u00a0"), F.lit(" "))).otherwise(text)
     return F.regexp_replace(text, r"^\s+|\s+$", "")

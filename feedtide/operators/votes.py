@@ -149,27 +149,39 @@ def vote_changes(states: DataFrame) -> DataFrame:
     )
 
 
+def new_vote_id(key: tuple[str, ...] | list[str] = KEY) -> Column:
+    """The doc_id of an inserted vote: a hash of its key, so that a repeated run gives the same table."""
+    return F.sha2(F.concat_ws("\u0001", *key), 256)
+
+
+def with_states(votes: DataFrame, states: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """The vote table after ``states`` (key, state, title), one row per key that had an action.
+
+    A key's actions address its one vote (``one_vote_per_key``): that document gets the
+    new state and keeps title and doc_id, or goes if the state is 0. A key without one
+    gets a new document unless its state is 0. All other documents stay as they are:
+    further votes on the same key, and votes in a state no transition knows.
+    """
+    names = list(key)
+    columns = ["user_id", "doc_id", "uri", "title", "state", "uriCreatedAt"]
+    addressed = one_vote_per_key(votes, key).select(*names, "doc_id")
+    told = states.select(*names, F.col("state").alias("_state"), F.col("title").alias("_title"))
+    changes = addressed.join(told, names).select("user_id", "doc_id", "_state")
+    kept = votes.join(changes, ["user_id", "doc_id"], "left").where("_state is null or _state != 0")
+    kept = kept.withColumn("state", F.coalesce("_state", "state")).select(*columns)
+    added = told.where("_state != 0").join(addressed, names, "left_anti")
+    added = added.withColumn("doc_id", new_vote_id(key)).withColumnsRenamed({"_state": "state", "_title": "title"})
+    return kept.unionByName(added.select(*columns))
+
+
 def apply_votes(
     votes: DataFrame, actions: DataFrame, key: tuple[str, ...] = KEY, min_hot_rows: int | None = None
 ) -> DataFrame:
-    """New version of the vote table. A key of state 0 has no row.
-
-    Updated votes keep doc_id and title, inserted ones take both from the actions
-    (the doc_id is a hash of the key, so that a repeated run gives the same table).
-    """
+    """New version of the vote table after a history of actions (see ``with_states``)."""
     names = list(key)
     states = vote_states(actions, votes, key, min_hot_rows).select(*names, "state")
-    titles = actions.where(action_sign(F.col("action")).isNotNull()).groupBy(*names).agg(F.min("title").alias("title"))
-    current = one_vote_per_key(votes, key)
-    fresh = states.join(titles, names)
-    merged = (
-        current.withColumnsRenamed({"state": "_state", "title": "_title"})
-        .join(fresh, names, "full")
-        .withColumn("state", F.coalesce("state", "_state"))
-        .withColumn("title", F.coalesce("_title", "title"))
-        .withColumn("doc_id", F.coalesce("doc_id", F.sha2(F.concat_ws("\u0001", *names), 256)))
-    )
-    return merged.where(F.col("state") != 0).select("user_id", "doc_id", "uri", "title", "state", "uriCreatedAt")
+    titles = valid_actions(actions, key).groupBy(*names).agg(F.min("title").alias("title"))
+    return with_states(votes, states.join(titles, names), key)
 
 
 def voted_list(votes: DataFrame, user_id: str | None = None) -> DataFrame:

@@ -26,13 +26,10 @@ class TermInputs:
     attributes: DataFrame
 
 
-def term_inputs(items: DataFrame, limit: int | None = None) -> TermInputs:
-    """Scan, dedupe and count an item table once."""
-    rows = distinct_items(items, limit)
-    if limit is not None:
-        rows = staged(rows, "items")
-    docs = keyed_documents(rows)
-    attributes = docs if limit is not None else keyed_documents(items.where("link is not null"))
+def term_inputs(items: DataFrame) -> TermInputs:
+    """Scan, dedupe and count an item table once. ``distinct_items(items, limit)`` gives a limited table to start from."""
+    docs = keyed_documents(distinct_items(items))
+    attributes = keyed_documents(items.where("link is not null"))
     counts = staged(tfidf.term_counts(docs), "term-counts")
     frequencies = staged(tfidf.doc_freqs(counts), "doc-freqs")
     return TermInputs(docs, counts, frequencies, attributes.select("uri", "feedUrl"))
@@ -60,6 +57,6 @@ def terms_by_feed(inputs: TermInputs, feed_scope: str = "word") -> DataFrame:
     return tfidf.output_rows(fanned)
 
 
-def run(items: DataFrame, path: str, limit: int | None = None, feed_scope: str = "word") -> None:
+def run(items: DataFrame, path: str, feed_scope: str = "word") -> None:
     """Compute the scored terms and replace the table at ``path``."""
-    overwrite_terms(terms_by_feed(term_inputs(items, limit), feed_scope), path)
+    overwrite_terms(terms_by_feed(term_inputs(items), feed_scope), path)

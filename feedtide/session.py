@@ -32,19 +32,16 @@ def build_session(app_name: str = "feedtide", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of its own.
+    Only a local master, where driver and executors are one process, may fall back to a
+    folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    existing = spark.sparkContext.getCheckpointDir()
-    if existing:
-        return existing
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="feedtide-checkpoints-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        configured = tempfile.mkdtemp(prefix="feedtide-checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -63,6 +60,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there, in whatever store the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def replace_path(spark: SparkSession, new: str, path: str) -> None:
     """Put the finished folder ``new`` in the place of ``path``."""
     delete_path(spark, path)

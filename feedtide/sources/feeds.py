@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from feedtide.functions.dates import feed_time, iso_utc
 from feedtide.functions.text import snippet, title_terms
+from feedtide.session import path_exists, staged
 
 # Names of the two dialects in stored subscriptions.
 RSS = "FeedTypes.RSS"
@@ -75,12 +76,38 @@ def feed_types(raw_feeds: DataFrame) -> DataFrame:
     return parse_feeds(raw_feeds).select("uri", "type")
 
 
+def _judged_requests(requests: DataFrame, raw_feeds: DataFrame) -> DataFrame:
+    """Requests with the dialect of the feed they name. Only a column or two of each side is
+    joined, and the engine splits a feed that very many ask for."""
+    landed = feed_types(raw_feeds).groupBy("uri").agg(F.min("type").alias("type"), F.lit(True).alias("_landed"))
+    return requests.join(landed, "uri", "left")
+
+
 def new_subscriptions(requests: DataFrame, raw_feeds: DataFrame) -> DataFrame:
-    """Rows to append to ``feed_uris`` for (user_id, uri) requests; unusable feeds add none."""
-    known = feed_types(raw_feeds).where(F.col("type").isNotNull()).dropDuplicates(["uri"])
-    return requests.join(known, "uri").select(
-        "user_id", F.uuid().alias("feed_id"), "type", "uri", F.current_timestamp().alias("timestamp")
-    )
+    """Rows to append to ``feed_uris`` for (user_id, uri, requested_at) requests.
+
+    The feed_id is a hash of the request, so a repeated run makes the same rows. What
+    ``refused_subscriptions`` lists adds none.
+    """
+    rows = _judged_requests(requests, raw_feeds).where("type is not null")
+    feed_id = F.sha2(F.concat_ws("\u0001", "user_id", "uri", F.col("requested_at").cast("string")), 256)
+    return rows.select("user_id", feed_id.alias("feed_id"), "type", "uri", F.col("requested_at").alias("timestamp"))
+
+
+def append_subscriptions(rows: DataFrame, path: str) -> None:
+    """Append ``new_subscriptions`` to the table at ``path``; those that are there already add nothing."""
+    spark = rows.sparkSession
+    if path_exists(spark, path):
+        known = spark.read.parquet(path).select("user_id", "feed_id")
+        rows = staged(rows.join(known, ["user_id", "feed_id"], "left_anti"), "new-subscriptions")
+    rows.dropDuplicates(["user_id", "feed_id"]).write.mode("append").parquet(path)
+
+
+def refused_subscriptions(requests: DataFrame, raw_feeds: DataFrame) -> DataFrame:
+    """(user_id, uri, reason) of the requests whose feed has not landed or is no feed."""
+    reason = F.when(F.col("_landed").isNull(), "not_landed").otherwise("not_a_feed")
+    rows = _judged_requests(requests, raw_feeds).where("type is null")
+    return rows.select("user_id", "uri", reason.alias("reason"))
 
 
 def _entry_link(links: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Incremental ingest: landed feed documents to the item table, each entry once per window.
+"""Incremental ingest: landed feed documents to the item table, every entry of each.
 
 One stream parses every document once and writes accepted items and rejects to
 one table, partitioned by which they are; readers of either prune the other.
@@ -19,18 +19,15 @@ def landed_stream(spark: SparkSession, path: str, files_per_trigger: int = 1_000
     return spark.readStream.schema(RAW_FEEDS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def new_entries(landed: DataFrame, delay: str = "2 days") -> DataFrame:
+def new_entries(landed: DataFrame) -> DataFrame:
     """Entries of a stream of landed documents: the item columns, uri, fetched_at, reason, accepted.
 
-    Every run fetches mostly the items of the run before. An entry seen again
-    within ``delay`` of its first fetch is dropped; the watermark bounds the keys
-    kept in state. Later repeats pass, as the item scan is distinct anyway.
+    Every entry of every landed document is appended, however late it lands and
+    however often it is seen: the item table has no key, and ``distinct_items``
+    reduces it when it is read. So nothing is kept in state and nothing is lost.
     """
-    entries = feeds.judged_entries(landed.withWatermark("fetched_at", delay))
-    rows = feeds.item_rows(entries, "uri", "fetched_at", "reason")
-    return rows.withColumn("accepted", F.col("reason").isNull()).dropDuplicatesWithinWatermark(
-        ["uri", "link", "feedUrl", "title", "reason"]
-    )
+    rows = feeds.item_rows(feeds.judged_entries(landed), "uri", "fetched_at", "reason")
+    return rows.withColumn("accepted", F.col("reason").isNull())
 
 
 def start_append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

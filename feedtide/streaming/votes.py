@@ -1,51 +1,51 @@
 """Vote actions as a stream: a change log, and the live voted list it stands for.
 
 Each micro-batch is folded with the same closed form as a batch of history, on
-top of the last logged state of the keys it touches. All of it is built-in
+top of the last logged state of the keys it touches, or of the stored vote of a
+key that has no log yet. Valid actions are kept. A key that gets an action from
+before the last one applied to it is folded anew from all its kept actions, so
+the stream ends where a batch over the whole history does. All of it is built-in
 column work, so a batch of many small keys and a batch of one huge key cost
 alike. A batch owns its partition of the log and replaces it when retried.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from feedtide.operators.skew import salted_join
-from feedtide.operators.votes import KEY, folded_states, valid_actions
-from feedtide.session import staged
+from feedtide.operators.votes import KEY, folded_states, one_vote_per_key, valid_actions, with_states
+from feedtide.session import path_exists, staged
 
 CHANGES = (
     "user_id string, uri string, uriCreatedAt timestamp, title string, state int, "
     "ts timestamp, event_id long, late long, batch long"
 )
+KEPT = "user_id string, uri string, uriCreatedAt timestamp, title string, ts timestamp, event_id long, sign int, batch long"
+VOTES = "user_id string, doc_id string, uri string, title string, state int, uriCreatedAt timestamp"
 
 
-def _log_before(spark, log_path: str, batch_id: int) -> DataFrame:
-    try:
-        log = spark.read.schema(CHANGES).parquet(log_path)
-    except AnalysisException:  # the first batch finds no log
-        return spark.createDataFrame([], CHANGES)
-    return log.where(F.col("batch") < batch_id)
+def _before(spark, path: str, schema: str, batch_id: int) -> DataFrame:
+    """Rows of earlier batches; the first batch finds no folder."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).where(F.col("batch") < batch_id)
 
 
 def latest_states(log: DataFrame) -> DataFrame:
-    """Last logged state of every key, with the place of the action that set it."""
-    place = F.struct("ts", "event_id")
-    return (
-        log.groupBy(*KEY)
-        .agg(F.max(place).alias("_place"), F.max_by("state", place).alias("old_state"))
-        .select(*KEY, F.col("_place"), "old_state")
+    """Last logged state of every key, with the place of the last action it took in."""
+    return log.groupBy(*KEY).agg(
+        F.max(F.struct("ts", "event_id")).alias("_place"), F.max_by("state", "batch").alias("old_state")
     )
 
 
-def fold_batch(actions: DataFrame, log: DataFrame) -> DataFrame:
+def fold_batch(actions: DataFrame, log: DataFrame, kept: DataFrame, votes: DataFrame) -> DataFrame:
     """New log rows for a batch of actions: state, title and number of late actions per key.
 
-    An action not after the last one applied to its key is late: it is counted
-    and not applied.
+    ``log`` and ``kept`` are the changes and valid actions of earlier batches,
+    ``votes`` the table the stream started from.
     """
     rows = valid_actions(actions)
     sizes = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_actions"))
@@ -56,30 +56,41 @@ def fold_batch(actions: DataFrame, log: DataFrame) -> DataFrame:
         ),
         "vote-batch",
     )
-    totals = placed.groupBy(*KEY).agg(
-        F.min(F.when(~F.col("is_late"), F.col("title"))).alias("title"),
-        F.count_if("is_late").alias("late"),
-        F.first("old_state").alias("_old_state"),
-        F.first("_place").alias("_place"),
+    totals = staged(
+        placed.groupBy(*KEY).agg(
+            F.min("title").alias("title"), F.count_if("is_late").alias("late"), F.first("old_state").alias("old_state")
+        ),
+        "vote-totals",
+    )
+    stored = one_vote_per_key(votes).select(*KEY, F.col("state").alias("_stored"))
+    stored = stored.join(totals, list(KEY), "left_semi")
+    late = totals.where("late > 0").select(*KEY)
+    on_time = totals.where("late = 0").join(stored, list(KEY), "left")
+    starts = on_time.select(*KEY, F.coalesce("old_state", "_stored").alias("old_state")).where("old_state is not null")
+    columns = [*KEY, "title", "ts", "event_id", "sign"]
+    fresh = placed.select(*columns).join(late, list(KEY), "left_anti")
+    again = kept.select(*columns).unionByName(placed.select(*columns)).join(late, list(KEY), "left_semi")
+    states = folded_states(fresh, starts).unionByName(
+        folded_states(again, stored.withColumnRenamed("_stored", "old_state"))
     )
-    starts = totals.where(F.col("_old_state").isNotNull()).select(*KEY, F.col("_old_state").alias("old_state"))
-    states = folded_states(placed.where(~F.col("is_late")), starts).drop("old_state")
-    return totals.join(states, list(KEY), "left").select(
-        *KEY,
-        "title",
-        F.coalesce("state", "_old_state").alias("state"),
-        F.coalesce("ts", "_place.ts").alias("ts"),
-        F.coalesce("event_id", "_place.event_id").alias("event_id"),
-        "late",
+    return totals.drop("old_state").join(states.drop("old_state"), list(KEY)).select(
+        *KEY, "title", "state", "ts", "event_id", "late"
     )
 
 
-def start_vote_log(actions: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
-    """Fold a stream of actions into the change log, then stop."""
+def start_vote_log(
+    actions: DataFrame, log_path: str, checkpoint: str, votes: DataFrame | None = None
+) -> StreamingQuery:
+    """Fold a stream of actions into the change log, then stop. ``votes`` is the table it starts from."""
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        log = _log_before(batch.sparkSession, log_path, batch_id)
-        fold_batch(batch, log).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        spark = batch.sparkSession
+        base = spark.createDataFrame([], VOTES) if votes is None else votes
+        log = _before(spark, f"{log_path}/changes", CHANGES, batch_id)
+        kept = _before(spark, f"{log_path}/actions", KEPT, batch_id)
+        new = staged(batch, "vote-actions")
+        fold_batch(new, log, kept, base).write.mode("overwrite").parquet(f"{log_path}/changes/batch={batch_id}")
+        valid_actions(new).write.mode("overwrite").parquet(f"{log_path}/actions/batch={batch_id}")
 
     return (
         actions.writeStream.foreachBatch(fold)
@@ -89,29 +100,18 @@ def start_vote_log(actions: DataFrame, log_path: str, checkpoint: str) -> Stream
     )
 
 
-def compacted(log: DataFrame) -> DataFrame:
-    """The log with one row per key; swap it in as batch 0 of a new log to bound what a batch reads."""
-    place = F.struct("ts", "event_id")
+def change_log(spark, log_path: str) -> DataFrame:
+    """All changes so far."""
+    return spark.read.schema(CHANGES).parquet(f"{log_path}/changes")
+
+
+def last_changes(log: DataFrame) -> DataFrame:
+    """The log with one row per key: its state after the newest batch that touched it."""
     return log.groupBy(*KEY).agg(
-        F.min("title").alias("title"),
-        F.max_by("state", place).alias("state"),
-        F.max("ts").alias("ts"),
-        F.max_by("event_id", place).alias("event_id"),
-        F.sum("late").alias("late"),
+        F.min("title").alias("title"), F.max_by("state", F.col("batch")).alias("state"), F.sum("late").alias("late")
     )
 
 
-def current_votes(log: DataFrame) -> DataFrame:
-    """The vote table a change log stands for: last state per key, rows of state 0 gone."""
-    return (
-        compacted(log)
-        .where("state != 0")
-        .select(
-            "user_id",
-            F.sha2(F.concat_ws("\u0001", *KEY), 256).alias("doc_id"),
-            "uri",
-            "title",
-            "state",
-            "uriCreatedAt",
-        )
-    )
+def current_votes(log: DataFrame, votes: DataFrame) -> DataFrame:
+    """The vote table after a change log, on top of the table the stream started from."""
+    return with_states(votes, last_changes(log))

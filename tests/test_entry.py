@@ -17,6 +17,10 @@ CHECKED = (
     "item_quarantine",
     "trend_score_merge",
     "vote_table",
+    "stream_ingest",
+    "stream_votes",
+    "refused_subscriptions",
+    "matrix_blocks",
     "timeline_page",
     "timeline_with_votes",
 )

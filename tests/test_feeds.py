@@ -81,14 +81,21 @@ def test_reader_items(spark):
     assert bad == [("atom", "two")]
 
 
-def test_subscriptions(spark):
+def test_subscriptions(spark, tmp_path):
     rows = [("u1", "f1", feeds.RSS, "rss", None), ("u2", "f2", feeds.RSS, "rss", None), ("u2", "f3", None, None, None)]
     subs = spark.createDataFrame(rows, schemas.FEED_URIS)
     assert [r.uri for r in feeds.subscribed_uris(subs).collect()] == ["rss"]
-    asked = spark.createDataFrame([("u", "atom"), ("u", "html")], "user_id string, uri string")
-    added = feeds.new_subscriptions(asked, everything(spark)).collect()
-    assert [(r.user_id, r.type, r.uri) for r in added] == [("u", feeds.ATOM, "atom")]
-    assert added[0].timestamp is not None
+    when = dt.datetime(2024, 5, 6)
+    asked = spark.createDataFrame(
+        [("u", "atom", when), ("u", "html", when), ("v", "gone", when)], "user_id string, uri string, requested_at timestamp"
+    )
+    rows, path = feeds.new_subscriptions(asked, everything(spark)), str(tmp_path / "subscriptions")
+    for _ in range(2):
+        feeds.append_subscriptions(rows, path)
+    added = spark.read.parquet(path).collect()
+    assert [(r.user_id, r.type, r.uri, r.timestamp) for r in added] == [("u", feeds.ATOM, "atom", when)]
+    refused = feeds.refused_subscriptions(asked, everything(spark)).collect()
+    assert sorted((r.uri, r.reason) for r in refused) == [("gone", "not_landed"), ("html", "not_a_feed")]
 
 
 def test_dates(spark):
@@ -106,8 +113,8 @@ def test_dates(spark):
 
 
 def test_snippet(spark):
-    frame = spark.createDataFrame([("one<br>two&lt;&amp;lt; <a href='x'>y</a>\n",)], "h string")
-    assert frame.select(snippet(F.col("h")).alias("s")).first().s == "one\ntwo<&lt; y"
+    frame = spark.createDataFrame([("one<br>two&lt;&amp;lt; <a href='x'>y</a>\n",), ("it&#8217;s caf&eacute;&nbsp;x",), (None,)], "h string")
+    assert [r.s for r in frame.select(snippet(F.col("h")).alias("s")).collect()] == ["one\ntwo<&lt; y", "it’s café x", None]
 
 
 def test_title_terms(spark):

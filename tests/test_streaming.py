@@ -29,16 +29,19 @@ def test_ingest_runs_twice(spark, tmp_path):
         ]
         spark.createDataFrame(row, schemas.RAW_FEEDS).write.mode("append").parquet(landed)
         ingest.refresh(spark, landed, table, marks)
+    late = [("feed", document(1).replace("<title>t0", "<title>changed"), T0 - dt.timedelta(days=400))]
+    spark.createDataFrame(late, schemas.RAW_FEEDS).write.mode("append").parquet(landed)
+    ingest.refresh(spark, landed, table, marks)
     got = ingest.ingested_items(spark, table)
-    batch = feeds.rss_items(spark.read.parquet(landed)).distinct()
-    assert got.count() == 5
+    batch = feeds.rss_items(spark.read.parquet(landed))
+    assert got.count() == 9 and got.where("title = 'changed'").count() == 1
     assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
     rejects = ingest.rejected_entries(spark, table)
     assert sorted((r.uri, r.title, r.reason) for r in rejects.fillna("-").collect()) == [
-        ("broken", "-", "malformed_xml"), ("feed", "lost", "missing_link"),
+        ("broken", "-", "malformed_xml"), ("broken", "-", "malformed_xml"), *[("feed", "lost", "missing_link")] * 3,
     ]
     ingest.refresh(spark, landed, table, marks)
-    assert ingest.ingested_items(spark, table).count() == 5
+    assert ingest.ingested_items(spark, table).count() == 9
 
 
 def test_votes_stream_equals_batch(spark, tmp_path):
@@ -48,24 +51,22 @@ def test_votes_stream_equals_batch(spark, tmp_path):
          T0 + dt.timedelta(seconds=n // 3), n)
         for n in range(300)
     ]
-    log, source = str(tmp_path / "log"), str(tmp_path / "actions")
-    for part in (rows[:100], rows[100:220], rows[220:]):
+    log, source, marks = (str(tmp_path / n) for n in ("log", "actions", "marks"))
+    stored = [(f"u{i}", f"d{i}{k}", f"i{i}", "stored", state, T0) for i in range(3) for k, state in enumerate((1, -1, 7))]
+    table = spark.createDataFrame(stored, schemas.VOTES)
+    rng.shuffle(rows)  # later batches bring actions from before earlier ones
+    late = 0
+    for upto in (100, 220, 300):
+        part = rows[late:upto]
+        late = upto
         spark.createDataFrame(part, schemas.VOTE_ACTIONS).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schemas.VOTE_ACTIONS).parquet(source)
-        vote_stream.start_vote_log(stream, log, str(tmp_path / "marks")).awaitTermination()
-    got = vote_stream.current_votes(spark.read.parquet(log))
-    empty = spark.createDataFrame([], schemas.VOTES)
-    want = votes.apply_votes(empty, spark.createDataFrame(rows, schemas.VOTE_ACTIONS))
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
-    # an action from the past is counted and not applied
-    late = [("u0", "i0", "t", T0, "up", T0 - dt.timedelta(days=1), 999)]
-    spark.createDataFrame(late, schemas.VOTE_ACTIONS).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(schemas.VOTE_ACTIONS).parquet(source)
-    vote_stream.start_vote_log(stream, log, str(tmp_path / "marks")).awaitTermination()
-    assert spark.read.parquet(log).agg({"late": "sum"}).first()[0] == 1
-    assert vote_stream.compacted(spark.read.parquet(log)).count() == 12
-    again = vote_stream.current_votes(spark.read.parquet(log))
-    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
+        vote_stream.start_vote_log(stream, log, marks, table).awaitTermination()
+        got = vote_stream.current_votes(vote_stream.change_log(spark, log), table)
+        want = votes.apply_votes(table, spark.createDataFrame(rows[:upto], schemas.VOTE_ACTIONS))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    assert vote_stream.change_log(spark, log).agg({"late": "sum"}).first()[0] > 50
+    assert {r.doc_id for r in got.collect()} >= {"d01", "d02", "d11", "d12", "d21", "d22"}
 
 
 def test_live_timelines(spark, tmp_path):

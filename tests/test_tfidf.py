@@ -69,7 +69,7 @@ def test_limit_is_repeatable(spark):
     rows = [(str(i), "t", "f") for i in range(9)] + [("0", "t", "f")]
     got = [r.link for r in distinct_items(items(spark, rows), 4).collect()]
     assert got == ["0", "1", "2", "3"]
-    limited = trends.term_inputs(items(spark, rows), limit=4)
+    limited = trends.term_inputs(distinct_items(items(spark, rows), 4))
     assert tfidf.doc_count(limited.attributes).first()[0] == 4
 
 
