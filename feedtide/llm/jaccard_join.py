@@ -9,9 +9,9 @@ when 100 * intersection >= ``percent`` * union. Then each has a token of the oth
    classes in question are all that is shipped for it.
 3. The shingle sets of what is left are compared.
 
-In all orders tokens that very many texts share come last, most frequent ones at the very end, which keeps common
-passages out of the prefixes. The frequencies are counted on all texts; only tokens in one of ``HOT_SHARE`` texts or
-more are told apart, of which there can be only so many. The others are ordered by their hash.
+All orders put tokens first that are known to be in one text only, and tokens that very many texts share last, which
+keeps common passages out of the prefixes; the others go by a hash of their own. See ``Orders`` for what is counted.
+Any fixed order is right, so neither the sample nor the size of its map can cost a link.
 
 Large groups. A group of m near copies has m² pairs, so pairs are looked for in two rounds. First every class is paired
 with the smallest class of one token group, and the links found give components. Then a token group yields only pairs
@@ -24,8 +24,6 @@ doc_id in it (null if none has one). Whole texts are used. An empty table gives
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,8 +34,9 @@ from feedtide.llm.common import WORD, bit_map, in_map, kept_in_worker, lists, ma
 from feedtide.llm.components import connected
 from feedtide.session import staged
 
-_WORD = re.compile(WORD.encode())
 HOT_SHARE = 1000
+#: One in so many tokens is counted exactly.
+SAMPLED = 4
 #: Seeds of the orders: the first is joined on, the others filter its pairs.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _STEP = np.uint64(0x2545F4914F6CDD1D)
@@ -49,85 +48,133 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str, width: int, words: dict[bytes, int]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; A-Z count as a-z. ``words`` remembers the hashes of words."""
-    found = _WORD.findall(text.encode().lower())  # bytes.lower() changes A-Z only
-    if not found:
-        return np.zeros(0, np.uint64)
-    if len(words) > 500_000:
-        words.clear()
-    codes = []
-    for word in found:
-        code = words.get(word)
-        if code is None:
-            code = words[word] = xxhash.xxh64_intdigest(word)
-        codes.append(code)
-    codes = np.array(codes, np.uint64)
-    n = max(len(codes) - width + 1, 1)
-    mixed = np.full(n, min(len(codes), width), np.uint64)
-    for k in range(min(width, len(codes))):
-        mixed = _mixed((mixed + np.uint64(k)) * _STEP ^ codes[k : k + n])
-    return np.unique(mixed)
+def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles; A-Z count as a-z."""
+    words = kept_in_worker("shingle words", dict)  # hashes of the words met
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        codes: list[int] = []
+        lengths = []
+        while at < len(texts) and len(codes) < 200_000:
+            # For bytes, lower() changes A-Z only and split() parts at the six white-space characters of ``WORD``.
+            found = texts[at].encode().lower().split()
+            own = list(map(words.get, found))
+            if None in own:
+                if len(words) > 300_000:
+                    words.clear()
+                own = [words.get(w) or words.setdefault(w, xxhash.xxh64_intdigest(w) | 1) for w in found]
+            codes += own
+            lengths.append(len(own))
+            at += 1
+        flat = np.array(codes + [0] * width, np.uint64)
+        full = np.full(len(codes), width, np.uint64)
+        for k in range(width):
+            full = _mixed((full + np.uint64(k)) * _STEP ^ flat[k : k + len(codes)])
+        start = 0
+        for n in lengths:
+            if n >= width:
+                out.append(np.unique(full[start : start + n - width + 1]))
+            elif n:
+                out.append(np.array([xxhash.xxh64_intdigest(flat[start : start + n].tobytes())], np.uint64))
+            else:
+                out.append(np.zeros(0, np.uint64))
+            start += n
+    return out
 
 
 def signature(tokens: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def prefix(tokens: np.ndarray, percent: int, order: int, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first tokens under an order: by frequency among hot tokens, others before them, then by hash."""
-    n = len(tokens)
-    take = n - -(-percent * n // 100) + 1
-    known, frequency = hot
-    key = _mixed(tokens ^ np.uint64(order))
-    if not len(known):
-        return tokens[np.argpartition(key, take - 1)[:take]] if take < n else tokens
-    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-    heat = np.where(known[at] == tokens, frequency[at], 0)
-    return tokens[np.lexsort((key, heat))[:take]]
+class Orders:
+    """What the token orders know: the frequencies of hot tokens, and which sampled tokens are in more than one text.
+
+    Tokens whose hash is a multiple of ``SAMPLED`` are counted one by one, so one that is not in the map of repeated
+    ones is in no other text. Such tokens come first, the hot ones last, most frequent ones at the very end.
+    """
+
+    def __init__(self, known: np.ndarray, frequency: np.ndarray, repeated: np.ndarray):
+        self.known, self.frequency, self.repeated = known, frequency, repeated
+
+    def alone(self, tokens: np.ndarray) -> np.ndarray:
+        return (tokens % np.uint64(SAMPLED) == 0) & ~in_map(self.repeated, _signed(tokens))
+
+    def prefix(self, tokens: np.ndarray, percent: int, order: int) -> np.ndarray:
+        """The first tokens under an order, but those that are in no other text: they can't be shared."""
+        take = len(tokens) - -(-percent * len(tokens) // 100) + 1
+        alone = self.alone(tokens)
+        take -= int(alone.sum())
+        if take <= 0:
+            return tokens[:0]
+        tokens = tokens[~alone]
+        key = _mixed(tokens ^ np.uint64(order))
+        if not len(self.known):
+            return tokens[np.argsort(key)[:take]]
+        at = np.minimum(np.searchsorted(self.known, tokens), len(self.known) - 1)
+        heat = np.where(self.known[at] == tokens, self.frequency[at], 0)
+        return tokens[np.lexsort((key, heat))[:take]]
 
 
 def _signed(tokens: np.ndarray) -> np.ndarray:
     return tokens.view(np.int64)
 
 
-def classes(docs: DataFrame, width: int, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Two tables: ``keep`` columns, ``n`` and ``sig`` of every row, and ``token, texts`` of tokens frequent in a batch of rows."""
+def classes(docs: DataFrame, width: int, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` columns, ``n`` and ``sig`` of every row, and, at the first row of a batch, ``hot``: tokens frequent in
+    the batch, and ``sampled``: the tokens to count exactly, once for each class of the batch."""
 
     def work(texts, batch):
-        words = kept_in_worker("shingle words", dict)
-        sets = [shingles(t, width, words) for t in texts]
-        least = max(8, -(-len(texts) // HOT_SHARE))
+        sets = shingle_sets(texts, width)
+        least = max(4, -(-len(texts) // HOT_SHARE))
+        sigs = [signature(s) for s in sets]
+        different = [*dict(zip(sigs, sets)).values(), np.zeros(0, np.uint64)]
+        sampled = np.concatenate([s[s % np.uint64(SAMPLED) == 0] for s in different])
         tokens, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
         often = counts >= least
-        hot = [{"token": int(t), "texts": int(c)} for t, c in zip(_signed(tokens[often]), counts[often])]
-        kind = pa.list_(pa.struct([("token", pa.int64()), ("texts", pa.int64())]))
-        first = [hot] + [[]] * (len(texts) - 1) if texts else []
-        sigs = [signature(s) for s in sets]
-        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array(first, kind)]
-
-    made = map_texts(docs, list(keep), "n long, sig long, hot array<struct<token:bigint,texts:bigint>>", work)
-    made = staged(made, "shingle-classes")
-    hot = made.select(F.inline("hot")).groupBy("token").agg(F.sum("texts").alias("texts"))
-    return made.select(*keep, "n", "sig"), hot
+        hot = pa.StructArray.from_arrays(
+            [pa.array(_signed(tokens[often])), pa.array(counts[often].astype(np.int64))], names=["token", "texts"]
+        )
+        rest = [0] * (len(texts) - 1)
+        # Tokens met twice in the batch are known to be repeated; one row a batch is enough for the others.
+        sampled, counts = np.unique(sampled, return_counts=True)
+        counted = pa.StructArray.from_arrays(
+            [pa.array(_signed(sampled)), pa.array(counts.astype(np.int64))], names=["token", "classes"]
+        )
+        return [
+            pa.array([len(s) for s in sets], pa.int64()),
+            pa.array(sigs, pa.int64()),
+            lists(hot, [len(hot), *rest][: len(texts)]),
+            lists(counted, [len(counted), *rest][: len(texts)]),
+        ]
+
+    return map_texts(
+        docs,
+        list(keep),
+        "n long, sig long, hot array<struct<token:bigint,texts:bigint>>, counted array<struct<token:bigint,classes:bigint>>",
+        work,
+    )
 
 
-def hot_tokens(hot: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens in one of ``HOT_SHARE`` texts, sorted. Texts have a bounded mean length, so at most ``HOT_SHARE`` times
-    that many tokens can be so frequent, whatever the number of texts; the list is broadcast."""
-    found = hot.where(F.col("texts") >= max(8, -(-rows // HOT_SHARE))).toPandas()
-    tokens = found["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], found["texts"].to_numpy(np.int64)[order]
+def orders(found: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``Orders`` needs, from stored ``classes``. Texts have a bounded mean length, so at most ``HOT_SHARE`` times that many tokens can be
+    in one of ``HOT_SHARE`` texts, whatever the number of texts; the map has a fixed size. Both are broadcast."""
+    hot = found.select(F.inline("hot")).groupBy("token").agg(F.sum("texts").alias("texts"))
+    hot = hot.where(F.col("texts") >= max(8, -(-rows // HOT_SHARE))).toPandas()
+    tokens = hot["token"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(tokens)
+    counted = found.select(F.inline("counted")).groupBy("token").agg(F.sum("classes").alias("classes"))
+    repeated = bit_map(counted.where("classes > 1"), "token")
+    return tokens[by], hot["texts"].to_numpy(np.int64)[by], repeated
 
 
 def _prefix_rows(docs: DataFrame, width: int, percent: int, hot) -> DataFrame:
     """``token, sig, n``: the prefix tokens of every class under the first order (again for each batch it is in)."""
 
     def work(texts, batch):
-        words = kept_in_worker("shingle words", dict)
-        sets = {signature(s): s for s in (shingles(t, width, words) for t in texts) if len(s)}
-        firsts = [prefix(s, percent, ORDERS[0], hot.value) for s in sets.values()]
+        sets = {signature(s): s for s in shingle_sets(texts, width) if len(s)}
+        known = Orders(*hot.value)
+        firsts = [known.prefix(s, percent, ORDERS[0]) for s in sets.values()]
         sizes = [len(f) for f in firsts]
         rows = pa.StructArray.from_arrays(
             [
@@ -153,15 +200,14 @@ def _sets(docs: DataFrame, width: int, percent: int, hot, wanted: DataFrame) ->
     )
 
     def work(texts, batch):
-        words = kept_in_worker("shingle words", dict)
-        sets = [shingles(text, width, words) for text in texts]
+        sets = shingle_sets(texts, width)
         sigs = np.array([signature(s) for s in sets], np.int64)
-        found, out = set(), []
+        known, found, out = Orders(*hot.value), set(), []
         for tokens, sig, wanted in zip(sets, sigs.tolist(), in_map(bits.value, sigs).tolist()):
             own = []
             if wanted and len(tokens) and sig not in found:
                 found.add(sig)
-                prefixes = [_signed(prefix(tokens, percent, order, hot.value)) for order in ORDERS[1:]]
+                prefixes = [_signed(known.prefix(tokens, percent, order)) for order in ORDERS[1:]]
                 own = [{"sig": sig, "n": len(tokens), "tokens": _signed(tokens), "prefixes": prefixes}]
             out.append(own)
         return [pa.array(out, kind)]
@@ -196,8 +242,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns (``doc_id`` among them), ``n_shingles`` and ``component_id`` for every row of ``docs``."""
     spark = docs.sparkSession
-    members, hot = classes(docs, width, keep)
-    hot = spark.sparkContext.broadcast(hot_tokens(hot, members.count()))
+    found = staged(classes(docs, width, keep), "shingle-classes")
+    members = found.select(*keep, "n", "sig")
+    hot = spark.sparkContext.broadcast(orders(found, members.count()))
     rows = staged(_prefix_rows(docs, width, percent, hot), "prefix-tokens")
 
     # Token groups of two classes or more; the smallest class of each is its hub.
