@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedtide.llm.chunks import ChunkCache
-from feedtide.llm.common import kept_in_worker, lists, map_texts
+from feedtide.llm.common import kept_in_worker, lists, map_texts, small_batches
 
 #: Moves kept by one worker before it starts anew.
 MOVES = 200_000
@@ -179,7 +179,7 @@ def encoder(ranks: bytes, pattern: str) -> ChunkCache:
         made = (transducer.encode(piece.encode()) for piece in pieces)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in made]
 
-    return ChunkCache(pattern, matches, 400_000)
+    return ChunkCache(pattern, matches, 300_000)
 
 
 class Utf8Stream:
@@ -257,6 +257,7 @@ def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     source = tokens.select("doc_id", "ids")
+    small_batches(tokens.sparkSession)
     return source.mapInArrow(each, f"doc_id {source.schema[0].dataType.simpleString()}, ids array<int>, text string")
 
 

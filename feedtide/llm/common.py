@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def kept_in_worker(key, make: Callable[[], object], most: int = 2):
+def kept_in_worker(key, make: Callable[[], object], most: int = 1):
     """What ``make`` returns, kept by ``key`` as long as the Python worker lives.
 
     Functions reach workers by value, so their module's variables start anew with every task; this does not.
@@ -53,6 +54,19 @@ def hash_order(*columns: str) -> list[Column]:
     return [F.xxhash64(*columns), *(F.col(c) for c in columns)]
 
 
+#: What an Arrow batch may hold: texts differ in length by a factor of thousands.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 * 1024 * 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, unless they are smaller already."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = re.sub("[bB]$", "", spark.conf.get(name))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 #: Bits of a map of hashes. Its size is fixed and it only spares work: an exact join follows wherever one is used.
 MAP_BITS = 26
 
@@ -85,15 +99,19 @@ def map_texts(
 
     ``keep`` names the input columns to carry, ``schema`` the new columns that ``work`` returns.
     """
-    source = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text_"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    small_batches(docs.sparkSession)
+    carried = text in keep
+    source = docs.select(*keep) if carried else docs.select(*keep, F.col(text).alias("text_"))
+    fields = source.schema.fields if carried else source.schema.fields[:-1]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    at, n = (keep.index(text) if carried else len(keep)), len(keep)
+    names = [part.split()[0].strip("`") for part in _fields(schema)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = work(batch.column(batch.num_columns - 1).to_pylist(), batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *names])
+            made = work([t or "" for t in batch.column(at).to_pylist()], batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=[*batch.schema.names[:n], *names])
 
-    names = [part.split()[0].strip("`") for part in _fields(schema)]
     return source.mapInArrow(each, f"{kept}, {schema}" if kept else schema)
 
 
