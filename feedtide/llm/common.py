@@ -88,6 +88,20 @@ def in_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (cells >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def maybe_in(rows: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
+    """``rows`` less most of those whose hash is not in the map: what is not wanted isn't shuffled for a join."""
+    small_batches(rows.sparkSession)
+    shared, at = rows.sparkSession.sparkContext.broadcast(bits), rows.columns.index(column)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(in_map(shared.value, batch.column(at).to_numpy(zero_copy_only=False))))
+            if kept.num_rows:
+                yield kept
+
+    return rows.mapInArrow(each, rows.schema)
+
+
 def map_texts(
     docs: DataFrame,
     keep: list[str],

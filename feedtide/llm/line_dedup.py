@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedtide.llm.common import bit_map, maybe_in
 from feedtide.session import staged
 
 WINDOW = 2
@@ -73,7 +74,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     # By digest, without the bytes: which can repeat at all. Full copies of a row have one place.
     twice = found.groupBy("digest").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("digest")
     twice = staged(twice, "repeated-digests")
-    again = staged(found.join(twice, "digest", "left_semi"), "repeated-chunks")
+    again = maybe_in(chunks(docs).withColumn("digest", F.xxhash64("chunk")), "digest", bit_map(twice, "digest"))
+    again = staged(again.join(twice, "digest", "left_semi").withColumn("place", key), "repeated-chunks")
     # By their bytes: the first place of each chunk that does repeat.
     firsts = again.groupBy("digest", "chunk").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b")
     firsts = firsts.withColumnRenamed("chunk", "same").withColumnRenamed("digest", "known")
