@@ -308,7 +308,7 @@ def _written(columns):
         path = fresh_dir(spark, "tf-idf")
         sinks.overwrite_terms(_own_feed_table(spark, sf_dir), path, columns)
         rest = [c for c in columns if c != "tfidf"]
-        return spark.read.parquet(path).select(*rest, _r9("tfidf"))
+        return sinks.read_terms(spark, path).select(*rest, _r9("tfidf"))
 
     return query
 
@@ -839,7 +839,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_rejects": landed
         + f"{_FETCHED} SELECT uri, title, reason FROM ("
         "SELECT DISTINCT run, feed_uri AS uri, NULL::varchar AS title, 'malformed_xml' AS reason FROM fetched WHERE cut "
-        "UNION ALL SELECT run, feed_uri, title, 'missing_feed_url' FROM fetched WHERE NOT cut AND unnamed "
+        "UNION ALL SELECT DISTINCT run, feed_uri, NULL, 'missing_feed_url' FROM fetched WHERE NOT cut AND unnamed "
         "UNION ALL SELECT run, feed_uri, title, 'missing_link' FROM fetched WHERE NOT cut AND NOT unnamed "
         "AND ((rss AND kind = 7) OR (NOT rss AND kind = 8)))",
         "stream_votes": events

@@ -66,13 +66,37 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def replace_path(spark: SparkSession, new: str, path: str) -> None:
-    """Put the finished folder ``new`` in the place of ``path``."""
-    delete_path(spark, path)
-    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (new, path))
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.rename(source, target):
-        raise OSError(f"could not move {new} to {path}")
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    return [f.getPath().getName() for f in files]
+
+
+def publish_version(spark: SparkSession, path: str, version: str) -> None:
+    """Make the finished folder ``version`` below ``path`` the table's current one.
+
+    The pointer is a new empty file whose name holds its number and the version, so it is
+    there or not, on any store, and the version before stays readable until it is.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    number = max((n for n, _ in _pointers(spark, path)), default=0) + 1
+    fs.create(fs_path(f"{path}/_current/{number:012d}-{version}"), False).close()
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder of the newest published version."""
+    found = _pointers(spark, path)
+    return f"{path}/{max(found)[1]}" if found else None
+
+
+def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    folder = f"{path}/_current"
+    if not path_exists(spark, folder):
+        return []
+    names = [n for n in child_names(spark, folder) if n[:12].isdigit()]
+    return [(int(n.partition("-")[0]), n.partition("-")[2]) for n in names]
 
 
 def drop_scratch(spark: SparkSession) -> None:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedtide.functions.text import path_key
 from feedtide.schemas import RSS_ITEM_COLUMNS
-from feedtide.session import replace_path
+from feedtide.session import child_names, current_version, delete_path, publish_version
 
 TERM_COLUMNS = ("word", "uri", "tfidf", "feedUrl")
 TERM_COLUMNS_WITHOUT_FEED = ("word", "uri", "tfidf")
@@ -23,12 +23,26 @@ def append_items(items: DataFrame, path: str) -> None:
 def overwrite_terms(rows: DataFrame, path: str, columns: tuple[str, ...] = TERM_COLUMNS) -> None:
     """Replace the scored-term table, creating it if needed.
 
-    The new table is written beside the old one and takes its place when it is
-    complete, so a failed run leaves the old one, and ``rows`` may read it.
+    A new version is written below ``path`` and then published, so a failed run
+    leaves the old one in place, and ``rows`` may read it. Older versions go,
+    but for the last one, which readers may still be at.
     """
-    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    rows.select(*columns).write.parquet(beside)
-    replace_path(rows.sparkSession, beside, path.rstrip("/"))
+    spark, path = rows.sparkSession, path.rstrip("/")
+    old = current_version(spark, path)
+    version = f"v-{uuid.uuid4().hex}"
+    rows.select(*columns).write.parquet(f"{path}/{version}")
+    publish_version(spark, path, version)
+    for name in child_names(spark, path):
+        if name.startswith("v-") and name != version and f"{path}/{name}" != old:
+            delete_path(spark, f"{path}/{name}")
+
+
+def read_terms(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a scored-term table."""
+    version = current_version(spark, path.rstrip("/"))
+    if version is None:
+        raise FileNotFoundError(f"no table has been published at {path}")
+    return spark.read.parquet(version)
 
 
 def with_path_keys(scores: DataFrame) -> DataFrame:

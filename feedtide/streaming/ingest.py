@@ -26,8 +26,9 @@ def new_entries(landed: DataFrame) -> DataFrame:
     however often it is seen: the item table has no key, and ``distinct_items``
     reduces it when it is read. So nothing is kept in state and nothing is lost.
     """
-    rows = feeds.item_rows(feeds.judged_entries(landed), "uri", "fetched_at", "reason")
-    return rows.withColumn("accepted", F.col("reason").isNull())
+    rows = feeds.item_rows(feeds.judged_entries(landed), "uri", "fetched_at", "reason", "rejected_title")
+    title = F.when(F.col("reason").isNull(), F.col("title")).otherwise(F.col("rejected_title"))
+    return rows.withColumn("title", title).drop("rejected_title").withColumn("accepted", F.col("reason").isNull())
 
 
 def start_append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

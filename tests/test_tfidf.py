@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedtide.operators import quality, tfidf
 from feedtide.plans import trends
-from feedtide.sinks.tables import TERM_COLUMNS_WITHOUT_FEED, overwrite_terms
+from feedtide.sinks.tables import TERM_COLUMNS_WITHOUT_FEED, overwrite_terms, read_terms
 from feedtide.sources.items import distinct_items, keyed_documents, scored_terms
 
 GOLDEN_ITEMS = [("1.txt", "abc def ghi", "url1.rss"), ("2.txt", "abc def", "url1.rss"), ("3.txt", "abc", "url2.rss")]
@@ -77,16 +77,16 @@ def test_job_writes_and_replaces(spark, tmp_path):
     path = str(tmp_path / "terms")
     trends.run(items(spark), path)
     trends.run(items(spark), path)
-    table = spark.read.parquet(path)
+    table = read_terms(spark, path)
     assert table.columns == ["word", "uri", "tfidf", "feedUrl"] and table.count() == 9
     assert scored_terms(table).count() == 9
     overwrite_terms(table, str(tmp_path / "three"), TERM_COLUMNS_WITHOUT_FEED)
-    assert spark.read.parquet(str(tmp_path / "three")).columns == ["word", "uri", "tfidf"]
+    assert read_terms(spark, str(tmp_path / "three")).columns == ["word", "uri", "tfidf"]
     overwrite_terms(table.where("word = 'abc'"), path)  # reads the table it replaces
-    assert spark.read.parquet(path).count() == 6
+    assert read_terms(spark, path).count() == 6
     with pytest.raises(Exception):
         overwrite_terms(table.select("word", "uri", "feedUrl", F.raise_error(F.lit("x")).cast("double").alias("tfidf")), path)
-    assert spark.read.parquet(path).count() == 6
+    assert read_terms(spark, path).count() == 6
 
 
 def test_views_of_the_term_table(spark):
