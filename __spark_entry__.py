@@ -347,6 +347,11 @@ def _votes_shape(rows):
     )
 
 
+def _readers(spark, sf_dir):
+    """Who is signed in: the users of all views. Their own votes are all they read."""
+    return _events(spark, sf_dir).where("event_type = 'view'").select("user_id").distinct()
+
+
 def _access_check(spark, sf_dir):
     """Each event as a request: its user (nobody on a view) asks for the rows of user k."""
     rows = _events(spark, sf_dir).select(
@@ -541,7 +546,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "duplicate_votes": lambda s, d: votes.duplicate_votes(_stored_votes(s, d)).select(
             "user_id", "uri", _us("uriCreatedAt"), "n_votes"
         ),
-        "voted_list": lambda s, d: _votes_shape(votes.voted_list(_item_votes(s, d))),
+        "voted_list": lambda s, d: _votes_shape(votes.voted_list(_item_votes(s, d), _readers(s, d))),
         "access_check": _access_check,
         "untimed_items": lambda s, d: timeline.untimed_items(_feed_items(s, d)).select("feed_uri", "title", "uri"),
         "timeline": lambda s, d: timeline.timeline(_user_items(s, d)).select("user_id", "feed_uri", "uri", _us("dateTime")),
@@ -820,7 +825,7 @@ def oracle_sql() -> dict[str, str]:
         "untitled_documents": "SELECT DISTINCT doc_id::varchar AS uri, 'null_title' AS reason FROM documents WHERE text IS NULL",
         "voted_list": events
         + 'SELECT user_id, doc_id, uri, title, state::bigint AS state, epoch_us(made) AS "uriCreatedAt" FROM ivotes '
-        "ORDER BY user_id, made, doc_id",
+        "WHERE user_id IN (SELECT user_id FROM ev WHERE event_type = 'view') ORDER BY user_id, made, doc_id",
         "access_check": events
         + "SELECT event_id, CASE WHEN event_type <> 'view' AND user_id = k::varchar THEN 1 ELSE 0 END::bigint AS allowed FROM ev",
         "timeline": events + 'SELECT user_id, feed_uri, uri, epoch_us(dt) AS "dateTime" FROM tl ORDER BY user_id, dt DESC, uri',

@@ -111,13 +111,22 @@ def fan_out_by_word(
 ) -> DataFrame:
     """(word, feedUrl, uri, tfidf): every score of a word, once per feed using the word.
 
-    The pairing is corpus-wide, not tied to the document's own feeds. Words held
-    by very many documents are salted over their documents.
+    The pairing is corpus-wide, not tied to the document's own feeds. Words that
+    make very many pairs are cut over their documents and feeds alike.
     """
     feeds = scored.select("word", F.col("firstFeed").alias("feedUrl")).distinct()
     rows = scored.select("word", "uri", "tfidf")
+    per_word = feeds.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
     return salted_join(
-        rows, feeds, ["word"], [F.col("uri")], frequencies, "n_docs", min_rows=min_hot_rows
+        rows,
+        feeds,
+        ["word"],
+        [F.col("uri")],
+        frequencies,
+        "n_docs",
+        right_spread=[F.col("feedUrl")],
+        right_sizes=per_word,
+        min_rows=min_hot_rows,
     ).select("word", "feedUrl", "uri", "tfidf")
 
 

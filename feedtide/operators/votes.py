@@ -184,17 +184,18 @@ def apply_votes(
     return with_states(votes, states.join(titles, names), key)
 
 
-def voted_list(votes: DataFrame, user_id: str | None = None) -> DataFrame:
-    """Votes in order of item time, of one user or of each user in turn."""
-    rows = votes if user_id is None else for_user(votes, user_id)
-    return rows.orderBy("user_id", "uriCreatedAt", "doc_id")
+def voted_list(votes: DataFrame, readers: str | DataFrame) -> DataFrame:
+    """Votes in order of item time: those of one reader, or of each of a table of readers (``user_id``) in turn."""
+    return for_user(votes, readers).orderBy("user_id", "uriCreatedAt", "doc_id")
 
 
-def for_user(rows: DataFrame, user_id: str) -> DataFrame:
-    """The rows a user may see: only their own."""
-    if not user_id:
+def for_user(rows: DataFrame, readers: str | DataFrame) -> DataFrame:
+    """The rows the signed-in readers may see: only their own. There is no read without a reader."""
+    if isinstance(readers, DataFrame):
+        return rows.join(readers.select("user_id").where("user_id is not null"), "user_id", "left_semi").select(*rows.columns)
+    if not readers:
         raise PermissionError("a user id is required")
-    return rows.where(F.col("user_id") == F.lit(user_id))
+    return rows.where(F.col("user_id") == F.lit(readers))
 
 
 def may_access(reader: Column, owner: Column) -> Column:

@@ -24,7 +24,9 @@ def start_live_timelines(
         touched = changed.select("user_id").distinct()
         subscriptions = session.read.schema(FEED_URIS).parquet(subscriptions_path)
         mine = subscriptions.join(touched, "user_id", "left_semi")
-        user_items(mine, items).write.mode("overwrite").parquet(f"{view_path}/batch={batch_id}")
+        # A user without items gets a row of nulls, so that an older timeline is superseded.
+        rebuilt = touched.join(user_items(mine, items), "user_id", "left")
+        rebuilt.write.mode("overwrite").parquet(f"{view_path}/batch={batch_id}")
 
     return (
         spark.readStream.schema(FEED_URIS)
@@ -40,4 +42,4 @@ def current_timelines(spark: SparkSession, view_path: str) -> DataFrame:
     """(user_id, feed_uri, item_type, title, uri, dateTime) of every user's latest rebuild."""
     view = spark.read.parquet(view_path)
     latest = view.groupBy("user_id").agg(F.max("batch").alias("batch"))
-    return view.join(latest, ["user_id", "batch"], "left_semi").drop("batch")
+    return view.join(latest, ["user_id", "batch"], "left_semi").where("feed_uri is not null").drop("batch")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from feedtide.operators import skew
 from feedtide.operators.skew import attach_per_key, hot_keys, salted_join
 
 
@@ -61,3 +62,19 @@ def test_right_salts_need_an_inner_join(sides):
     left, right = sides
     with pytest.raises(ValueError):
         salted_join(left, right, ["k"], [F.col("l")], sizes(left), "n", [F.col("r")], sizes(right), how="left")
+
+
+def test_a_key_hot_on_both_sides_is_cut_by_what_it_makes(spark):
+    """100 x 100 rows of one key, neither side large: with 500 rows a cell no task may make more than a few times that."""
+    left = spark.range(100).select(F.lit("hot").alias("k"), F.col("id").alias("l"))
+    right = spark.range(100).select(F.lit("hot").alias("k"), F.col("id").alias("r"))
+    grid = skew._salt_grid(sizes(left), sizes(right), ["k"], "n", 500).first()
+    assert grid["_left_salt"] * grid["_right_salt"] >= 20
+    joined = salted_join(left, right, ["k"], [F.col("l")], sizes(left), "n", [F.col("r")], sizes(right), min_rows=500)
+    assert joined.count() == 10_000
+    cells = skew._salted(left, F.broadcast(grid_frame(spark, grid)), ["k"], "_left_salt", [F.col("l")])
+    assert cells.groupBy("_left_salt").count().agg(F.max("count")).first()[0] <= 3 * 100 / grid["_left_salt"] + 5
+
+
+def grid_frame(spark, grid):
+    return spark.createDataFrame([("hot", grid["_left_salt"])], "k string, _left_salt int")

@@ -78,7 +78,9 @@ def test_scope_and_lists(spark):
     ]
     table = spark.createDataFrame(rows, schemas.VOTES)
     assert [r.doc_id for r in votes.voted_list(table, "u").collect()] == ["a", "z", "b"]
-    assert [r.doc_id for r in votes.voted_list(table).collect()] == ["a", "z", "b", "c"]
+    both = spark.createDataFrame([("v",), ("u",), ("u",), (None,)], "user_id string")
+    assert [r.doc_id for r in votes.voted_list(table, both).collect()] == ["a", "z", "b", "c"]
+    assert votes.voted_list(table, both.where("user_id = 'v'")).columns == table.columns
     assert [(r.uri, r.n_votes) for r in votes.duplicate_votes(table).collect()] == [("y", 2)]
     with pytest.raises(PermissionError):
         votes.for_user(table, "")
