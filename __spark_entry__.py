@@ -368,6 +368,27 @@ def _pca(spark, sf_dir):
     return points.select("uri", F.round(F.sqrt(norm), 3).alias("distance_from_mean"))
 
 
+def _two_columns(spark, sf_dir):
+    """Embeddings folded into a matrix of two columns, whose leading component SQL can state in closed form."""
+    half = lambda start: F.aggregate(
+        F.slice("embedding", start, 32).cast("array<double>"), F.lit(0.0), lambda acc, v: acc + v
+    )
+    rows = _read(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("uri"), F.create_map(F.lit("a"), half(1), F.lit("b"), half(33)).alias("m")
+    )
+    return rows.select("uri", F.explode("m").alias("word", "tfidf"))
+
+
+def _pca_two_columns(spark, sf_dir):
+    points = scoring.reduced_points(_two_columns(spark, sf_dir), n_components=1, fanned_out=False)
+    return points.select("uri", F.round(F.abs(F.col("x")[0]), 6).alias("distance_from_mean"))
+
+
+def _trend_scores_two_columns(spark, sf_dir):
+    scores = scoring.trend_scores(_two_columns(spark, sf_dir), n_components=1, fanned_out=False)
+    return scores.select("uri", F.round("trend_score", 6).alias("trend_score"))
+
+
 def _trend_scores(spark, sf_dir):
     inputs = _inputs(spark, sf_dir)
     scores = scoring.trend_scores(trends.score_terms(inputs), fanned_out=False)
@@ -519,6 +540,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tfidf_pca": _pca,
         "kde_bandwidth": _kde_bandwidth,
         "kde_score": _kde_score,
+        "pca_two_columns": _pca_two_columns,
+        "trend_scores_two_columns": _trend_scores_two_columns,
         "trend_scores": _trend_scores,
         # scores to targets
         "feed_scores": lambda s, d: _document_scores(s, d).select("feed_url", "uri", _r9("trend_score")),
@@ -691,8 +714,18 @@ stats AS (
 varying AS (SELECT * FROM stats WHERE std > 0)
 """
 
+_EMBEDDED = "pts AS (SELECT vec_id::varchar AS uri, embedding::double[] AS x FROM embeddings), "
+
+# Two standardized columns: the leading component is their sum, or their difference if they run against each other.
+_TWO_COLUMNS = """
+halves AS (SELECT vec_id::varchar AS uri, list_sum(embedding[1:32]::double[]) AS a, list_sum(embedding[33:64]::double[]) AS b
+           FROM embeddings),
+zs AS (SELECT uri, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS za, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS zb
+       FROM halves),
+pts AS (SELECT uri, [(za + (SELECT sign(avg(za * zb)) FROM zs) * zb) / sqrt(2)] AS x FROM zs),
+"""
+
 _PAIRS = """
-pts AS (SELECT vec_id::varchar AS uri, embedding::double[] AS x FROM embeddings),
 cnt AS (SELECT count(*) AS n, any_value(len(x)) AS d FROM pts),
 folded AS (
   SELECT *, CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1)
@@ -708,7 +741,16 @@ def oracle_sql() -> dict[str, str]:
     docs, events, landed = f"WITH {_DOCS} ", f"WITH {_EVENTS} ", f"WITH {_LANDED} "
     reader, merge, stats = f"WITH {_LANDED}, {_READER} ", f"WITH {_DOCS}, {_MERGE} ", f"WITH {_DOCS}, {_STATS} "
     own_feed = "FROM scored JOIN (SELECT DISTINCT link AS uri, feedUrl FROM items) USING (uri)"
-    pairs = f"WITH {_PAIRS} "
+    pairs = f"WITH {_EMBEDDED} {_PAIRS} "
+    folds = (
+        ", hs AS (SELECT pow(10.0::double, -1.0::double + 2.0::double * i / 19.0::double) AS h FROM range(20) r(i)), "
+        "lows AS (SELECT uri, fx, min(d2) AS low FROM pairs WHERE fx <> fy GROUP BY ALL), "
+        "held AS (SELECT fold AS fx, count(*) AS m FROM folded GROUP BY fold), "
+        "logs AS (SELECT p.uri, p.fx, h, -any_value(low) / (2 * h * h) + ln(sum(exp((low - d2) / (2 * h * h)))) AS lse "
+        "FROM pairs p JOIN lows ON p.uri = lows.uri, hs WHERE p.fx <> p.fy GROUP BY p.uri, p.fx, h), "
+        "graded AS (SELECT h, sum(lse - ln((SELECT n FROM cnt) - m) - (SELECT d FROM cnt) / 2 * ln(2 * pi() * h * h)) / 5 AS score "
+        "FROM logs JOIN held USING (fx) GROUP BY h) "
+    )
     item_columns = (
         "title, url AS link, "
         "CASE WHEN rss THEN strftime(ts, '%a, %-d %b %Y %H:%M:%S GMT') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') END AS \"pubDate\", "
@@ -788,14 +830,11 @@ def oracle_sql() -> dict[str, str]:
         "kde_score": pairs
         + "SELECT uri, round(ln(sum(exp(-d2 / (2 * 0.5 * 0.5)))) - ln((SELECT n FROM cnt)) "
         "- (SELECT d FROM cnt) / 2 * ln(2 * pi() * 0.5 * 0.5), 8) AS log_density FROM pairs GROUP BY uri",
-        "kde_bandwidth": pairs
-        + ", hs AS (SELECT pow(10.0::double, -1.0::double + 2.0::double * i / 19.0::double) AS h FROM range(20) r(i)), "
-        "lows AS (SELECT uri, fx, min(d2) AS low FROM pairs WHERE fx <> fy GROUP BY ALL), "
-        "held AS (SELECT fold AS fx, count(*) AS m FROM folded GROUP BY fold), "
-        "logs AS (SELECT p.uri, p.fx, h, -any_value(low) / (2 * h * h) + ln(sum(exp((low - d2) / (2 * h * h)))) AS lse "
-        "FROM pairs p JOIN lows ON p.uri = lows.uri, hs WHERE p.fx <> p.fy GROUP BY p.uri, p.fx, h) "
-        "SELECT round(h, 9) AS bandwidth, round(sum(lse - ln((SELECT n FROM cnt) - m) - (SELECT d FROM cnt) / 2 * ln(2 * pi() * h * h)) / 5, 5) AS score "
-        "FROM logs JOIN held USING (fx) GROUP BY h",
+        "kde_bandwidth": pairs + folds + "SELECT round(h, 9) AS bandwidth, round(score, 5) AS score FROM graded",
+        "pca_two_columns": f"WITH {_TWO_COLUMNS.rstrip().rstrip(',')} SELECT uri, round(abs(x[1]), 6) AS distance_from_mean FROM pts",
+        "trend_scores_two_columns": f"WITH {_TWO_COLUMNS} {_PAIRS} {folds}, best AS (SELECT h FROM graded ORDER BY score DESC, h LIMIT 1) "
+        "SELECT uri, round(ln(sum(exp(-d2 / (2 * h * h)))) - ln((SELECT n FROM cnt)) - ln(2 * pi() * h * h) / 2, 6) AS trend_score "
+        "FROM pairs, best GROUP BY uri, h",
         "feed_scores": merge + "SELECT feed_url, uri, round(trend_score, 9) AS trend_score FROM scores",
         "trend_score_merge": merge
         + "SELECT feed_key, uri_key, quality, round(coalesce(k.trend_score, t.trend_score), 9) AS trend_score "

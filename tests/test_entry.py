@@ -21,6 +21,8 @@ CHECKED = (
     "stream_votes",
     "refused_subscriptions",
     "matrix_blocks",
+    "pca_two_columns",
+    "trend_scores_two_columns",
     "timeline_page",
     "timeline_with_votes",
 )
