@@ -75,9 +75,9 @@ def bit_map(rows: DataFrame, column: str) -> np.ndarray:
     """A map of the leading bits of a column of 64-bit hashes; bits of one cell are or-ed before they are sent."""
     cell = F.shiftright(F.shiftrightunsigned(column, 64 - MAP_BITS), 6)
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - MAP_BITS}) & 63 AS int))")
-    cells = rows.select(cell.alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
+    cells = rows.select(cell.alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    bits[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
+    bits[cells["cell"].to_numpy()] = cells["bits"].to_numpy()
     return bits
 
 

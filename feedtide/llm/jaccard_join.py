@@ -160,12 +160,12 @@ def orders(found: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     """What ``Orders`` needs, from stored ``classes``. Texts have a bounded mean length, so at most ``HOT_SHARE`` times that many tokens can be
     in one of ``HOT_SHARE`` texts, whatever the number of texts; the map has a fixed size. Both are broadcast."""
     hot = found.select(F.inline("hot")).groupBy("token").agg(F.sum("texts").alias("texts"))
-    hot = hot.where(F.col("texts") >= max(8, -(-rows // HOT_SHARE))).toPandas()
-    tokens = hot["token"].to_numpy(np.int64).view(np.uint64)
+    hot = hot.where(F.col("texts") >= max(8, -(-rows // HOT_SHARE))).toArrow()
+    tokens = hot["token"].to_numpy().view(np.uint64)
     by = np.argsort(tokens)
     counted = found.select(F.inline("counted")).groupBy("token").agg(F.sum("classes").alias("classes"))
     repeated = bit_map(counted.where("classes > 1"), "token")
-    return tokens[by], hot["texts"].to_numpy(np.int64)[by], repeated
+    return tokens[by], hot["texts"].to_numpy()[by], repeated
 
 
 def _prefix_rows(docs: DataFrame, width: int, percent: int, hot) -> DataFrame:

@@ -53,10 +53,11 @@ def _induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, alphabet:
     A symbol's bucket is worked off as a block: what a block puts into its own bucket follows in the next block.
     """
     n = len(text)
+    text = text.astype(np.uint16)  # short integers are sorted by radix
     counts = np.bincount(text, minlength=alphabet)
     ends = np.cumsum(counts)
     starts = ends - counts
-    array = np.full(n, -1, np.int64)
+    array = np.full(n, -1, np.int32 if n < 1 << 31 else np.int64)
     # Seeds at the ends of their buckets, in their order.
     own = text[seeds]
     per = np.bincount(own, minlength=alphabet)
@@ -121,14 +122,13 @@ def suffix_array(text: np.ndarray, small: int = 512) -> np.ndarray:
     """
     n = len(text)
     alphabet = int(text.max()) + 1 if n else 1
+    small = min(small, 1 << 16)
     if n < 3 or alphabet > small:
         return _doubled(text)
     # A suffix is smaller than the next if its symbol is, or on equal symbols if the next is smaller than its next.
-    change = np.nonzero(text[1:] != text[:-1])[0]
-    next_change = np.full(n, n - 1, np.int64)
-    next_change[: n - 1] = change[np.minimum(np.searchsorted(change, np.arange(n - 1)), len(change) - 1)]
+    changes = text[1:] != text[:-1]  # the last symbol is unlike the one before, so each position has a change ahead
+    inner = np.nonzero(changes)[0][np.cumsum(changes) - changes]
     smaller = np.zeros(n, bool)
-    inner = next_change[: n - 1]
     smaller[: n - 1] = text[inner] < text[inner + 1]
     smaller[n - 1] = True
     leftmost = np.nonzero(smaller[1:] & ~smaller[:-1])[0] + 1
@@ -139,7 +139,7 @@ def suffix_array(text: np.ndarray, small: int = 512) -> np.ndarray:
     is_leftmost = np.zeros(n, bool)
     is_leftmost[leftmost] = True
     ordered = rough[is_leftmost[rough]]
-    place = np.searchsorted(leftmost, ordered)
+    place = (np.cumsum(is_leftmost) - 1)[ordered]
     stop = np.r_[leftmost[1:], n - 1]
     length = stop[place] - ordered + 1
     differs = np.ones(len(ordered), bool)
@@ -163,10 +163,10 @@ def _doubled(text: np.ndarray) -> np.ndarray:
     return suffix_ranks(text)[0]
 
 
-def permuted_prefixes(text: np.ndarray, array: np.ndarray, most: int) -> np.ndarray:
+def permuted_prefixes(text: np.ndarray, array: np.ndarray, most: int, among: np.ndarray | None = None) -> np.ndarray:
     """For each position, how many symbols its suffix shares with the one before it in the array, up to ``most``.
 
-    Positions are compared in text order, four symbols at a time, and leave when they differ.
+    With ``among`` only pairs whose positions both are marked are compared; others get 0. Positions are compared in text order, four symbols at a time, and leave when they differ.
     """
     n = len(text)
     shared = np.zeros(n, np.int64)
@@ -178,6 +178,8 @@ def permuted_prefixes(text: np.ndarray, array: np.ndarray, most: int) -> np.ndar
     four = padded[:-3] | padded[1:-2] << np.uint64(16) | padded[2:-1] << np.uint64(32) | padded[3:] << np.uint64(48)
     # The last symbol is unlike any other, so no two suffixes agree beyond it.
     at = np.nonzero(before >= 0)[0]
+    if among is not None:
+        at = at[among[at] & among[before[at]]]
     depth = 0
     while len(at) and depth < most:
         same = four[at + depth] == four[before[at] + depth]
@@ -206,11 +208,12 @@ def repeats_in_shard(contexts: list[bytes], order: np.ndarray, starts: np.ndarra
     joined[begins + lengths] = 1  # between contexts
     joined[-1] = 0
     array = suffix_array(joined)
-    shared = permuted_prefixes(joined, array, LENGTH)
     context = np.repeat(np.arange(len(contexts)), lengths + 1)
     offset = np.arange(len(context)) - begins[context]
     whole = np.zeros(len(joined), bool)
     whole[: len(context)] = offset + LENGTH <= lengths[context]
+    # A string's neighbour with as long a prefix is whole, too: neither holds a symbol between contexts.
+    shared = permuted_prefixes(joined, array, LENGTH, whole)
     # Runs of the array whose strings are equal: a run goes on where a suffix shares LENGTH bytes with the one before.
     goes_on = (shared[array] >= LENGTH) & whole[array]
     run = np.cumsum(~goes_on)
@@ -230,17 +233,30 @@ def repeats_in_shard(contexts: list[bytes], order: np.ndarray, starts: np.ndarra
 
 def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
     """Least or largest of each ``width`` neighbours; the result is shorter by ``width - 1``."""
-    pick, size, made = (np.minimum if least else np.maximum), 1, values
-    while 2 * size <= width:
-        made = pick(made[: len(made) - size], made[size:])
-        size *= 2
-    rest = width - size
-    return pick(made[: len(made) - rest], made[rest:]) if rest else made
+    pick, size, made = (np.minimum if least else np.maximum), 1, values.copy()
+    while size < width:
+        step = min(size, width - size)
+        made = pick(made[:-step], made[step:], out=made[:-step])
+        size += step
+    return made
 
 
 _TABLE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first powers of the hash's base and of its inverse, at least ``n`` of them."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        made = [np.full(max(2 * n, 1 << 18), base, np.uint64) for base in (_ODD, _INVERSE)]
+        for values in made:
+            values[0] = 1
+        _POWERS[:] = [np.cumprod(values) for values in made]
+    return _POWERS
+
+
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, place, hash) of the anchors of all texts."""
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -250,10 +266,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return none
     data = np.frombuffer(b"".join(texts), np.uint8)
     # Polynomial hashes of all windows from prefix sums, modulo 2^64.
-    up = np.full(total + 1, _ODD, np.uint64)
-    down = np.full(total + 1, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    up, down = np.cumprod(up), np.cumprod(down)
+    up, down = _powers(total)
     sums = np.zeros(total + 1, np.uint64)
     np.cumsum(_TABLE[data] * down[:total], out=sums[1:])
     hashes = (sums[GRAM:] - sums[:-GRAM]) * up[: total - GRAM + 1]
@@ -262,30 +275,29 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes ^= hashes >> np.uint64(32)
     hashes |= np.uint64(1)
     ends = np.cumsum(lengths)
-    text = np.repeat(np.arange(len(texts)), lengths)
-    starts = np.arange(total)
     least = _sliding(hashes, WINDOWS, True)  # of the string that starts there
-    least[starts[: len(least)] + LENGTH > ends[text[: len(least)]]] = 0  # it would cross into the next text
+    for end in ends.tolist():
+        least[max(0, end - LENGTH + 1) : end] = 0  # it would cross into the next text
     reach = _sliding(np.r_[np.zeros(WINDOWS - 1, np.uint64), least, np.zeros(WINDOWS - 1, np.uint64)], WINDOWS, False)
     place = np.nonzero(reach[: len(hashes)] == hashes)[0]
     if not len(place):
         return none
-    found = hashes[place]
+    found, text = hashes[place], np.searchsorted(ends, place, side="right")
     # Where a hash ties with its neighbours (periodic text), the first and last of each stretch do.
-    new = np.r_[True, (found[1:] != found[:-1]) | (text[place][1:] != text[place][:-1])]
+    new = np.r_[True, (found[1:] != found[:-1]) | (text[1:] != text[:-1])]
     begin = place[np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))]
     block = (place - begin) // (WINDOWS // 2)
     edge = np.r_[True, new[1:] | (block[1:] != block[:-1])]
     edge |= np.r_[edge[1:], True]
-    place, found = place[edge], found[edge]
+    place, found, text = place[edge], found[edge], text[edge]
     found = found * np.uint64(_ODD)  # least hashes have leading zeros
     found ^= found >> np.uint64(32)
     found *= np.uint64(0x94D049BB133111EB)
-    return text[place], place - (ends - lengths)[text[place]], found.view(np.int64)
+    return text, place - (ends - lengths)[text], found.view(np.int64)
 
 
-def _in_groups(texts: list[str], size: int = 1_000_000):
-    """Stretches of the texts' bytes of about ``size`` bytes, with the number of the first."""
+def _in_groups(texts: list[str], size: int = 150_000):
+    """Stretches of the texts' bytes of about ``size`` bytes, whose arrays stay near the core; and the first's number."""
     at = 0
     while at < len(texts):
         group, total, first = [], 0, at

@@ -31,7 +31,7 @@ def suffix_ranks(first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
 
     Symbols must tell documents apart, and the last symbol of each document must be unlike any other.
     """
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     rank = _dense(first[order], order)
     ranks, step = [rank], 1
     while True:
@@ -45,12 +45,13 @@ def suffix_ranks(first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
             return order, ranks
         rows = order[where]  # none is the last of its document, so rows + step stays within the array
         ahead = rank[np.minimum(rows + step, len(rank) - 1)]
-        again = np.lexsort((ahead, rank[rows]))
+        pairs = rank[rows] * len(rank) + ahead
+        again = np.argsort(pairs)
         order[where] = rows[again]
         # New ranks: the place of the first suffix of each class, so that untied ones keep theirs.
-        groups, ahead = rank[rows][again], ahead[again]
+        pairs = pairs[again]
         fresh = np.ones(len(where), bool)
-        fresh[1:] = (groups[1:] != groups[:-1]) | (ahead[1:] != ahead[:-1])
+        fresh[1:] = pairs[1:] != pairs[:-1]
         rank = rank.copy()
         rank[order[where]] = where[np.maximum.accumulate(np.where(fresh, np.arange(len(where)), 0))]
         ranks.append(rank)
