@@ -4,7 +4,8 @@ Two zstandard dictionaries are trained: one on windows of ordinary text, one on
 ordinary ones don't (words whose document counts differ by a likelihood-ratio test). A window that compresses better
 with the toxic dictionary speaks against its document. Since the dictionaries share their ordinary part, windows of
 ordinary text come out alike. Gains of all windows of a text are summed up in six numbers, a logistic model on
-labelled rows that no dictionary saw turns them into a score, and its threshold of best F1 is moved to 0.5.
+labelled rows that no dictionary saw turns them into a score, and the threshold of best F1 that leaves all but
+``MOST_CLEAN`` of the ordinary rows alone is moved to 0.5.
 
 Models learn from at most ``per_class`` labelled rows of each class, taken in hash order, and never from held-out rows
 (see ``common.held_out``). Label, language, source and doc_id are no inputs of a score.
@@ -42,6 +43,8 @@ DICTIONARY_BYTES = 8192
 EXTRA_EVIDENCE = 6.0
 MOST_WORDS = 200
 FEATURES = 6
+#: Part of the ordinary calibration rows that may be taken for toxic.
+MOST_CLEAN = 0.01
 
 
 def windows(text: str) -> list[bytes]:
@@ -176,10 +179,15 @@ def fit(rows: list[tuple[str, int]], seed: int = 1) -> Model | None:
     order = np.argsort(-logits, kind="stable")
     hits = np.cumsum(labels[order])
     f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
+    clean = np.cumsum(1 - labels[order]) / max(1, (1 - labels).sum())
     ends = np.r_[np.diff(logits[order]) != 0, True]  # a threshold takes all rows of one logit or none
-    best = int(np.argmax(np.where(ends, f1, -1)))
-    below = logits[order][best + 1] if best + 1 < len(order) else logits[order][best] - 1
-    weights[0] -= (logits[order][best] + below) / 2
+    able = ends & (clean <= MOST_CLEAN)
+    if able.any():
+        best = int(np.argmax(np.where(able, f1, -1)))
+        below = logits[order][best + 1] if best + 1 < len(order) else logits[order][best] - 1
+        weights[0] -= (logits[order][best] + below) / 2
+    else:
+        weights[0] -= logits.max() + 1
     return Model(core, model.toxic, tuple(float(w) for w in weights))
 
 
