@@ -61,7 +61,7 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
             found = texts[at].encode().lower().split()
             own = list(map(words.get, found))
             if None in own:
-                if len(words) > 300_000:
+                if len(words) > 150_000:
                     words.clear()
                 own = [words.get(w) or words.setdefault(w, xxhash.xxh64_intdigest(w) | 1) for w in found]
             codes += own

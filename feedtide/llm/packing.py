@@ -118,7 +118,7 @@ def chunk_encoder(content: str, pattern: str) -> ChunkCache:
         made = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
 
-    return ChunkCache(pattern, encode, 400_000)
+    return ChunkCache(pattern, encode, 200_000)
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
