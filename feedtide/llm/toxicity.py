@@ -53,10 +53,13 @@ def windows(text: str) -> list[bytes]:
 
 
 def _evidence(a: int, b: int, share: float) -> float:
-    """Likelihood-ratio statistic of a word in ``a`` toxic and ``b`` ordinary texts; 0 if it leans to ordinary ones."""
-    expected = share * (a + b)
-    if a <= 2 * expected:
+    """Likelihood-ratio statistic of a word in ``a`` toxic and ``b`` ordinary texts.
+
+    ``share`` is that of toxic texts among all. 0 if the word isn't twice as frequent in toxic ones as in ordinary ones.
+    """
+    if a * (1 - share) <= 2 * b * share:
         return 0.0
+    expected = share * (a + b)
     return 2 * (a * math.log(a / expected) + (b * math.log(b / (a + b - expected)) if b else 0.0))
 
 
