@@ -179,7 +179,7 @@ def encoder(ranks: bytes, pattern: str) -> ChunkCache:
         made = (transducer.encode(piece.encode()) for piece in pieces)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in made]
 
-    return ChunkCache(pattern, matches, 200_000)
+    return ChunkCache(pattern, matches, 250_000, 700_000)
 
 
 class Utf8Stream:

@@ -21,9 +21,9 @@ class ChunkCache:
     Chunks and matches met before are remembered, within a bound.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], entries: int):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], entries: int, matches: int | None = None):
         self.find = regex.compile(pattern).findall
-        self.encode_matches, self.entries = encode, entries
+        self.encode_matches, self.entries, self.most_matches = encode, entries, matches or entries
         self.chunks: dict[str, bytes] = {}
         self.matches: dict[str, bytes] = {}
 
@@ -31,7 +31,7 @@ class ChunkCache:
         """Ids of texts that are cut by the pattern alone."""
         found = list(map(self.find, parts))
         known = self.matches
-        if len(known) > self.entries:
+        if len(known) > self.most_matches:
             known.clear()
         new = list({m for own in found for m in own if m not in known})
         known.update(zip(new, self.encode_matches(new), strict=True))
