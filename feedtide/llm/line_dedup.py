@@ -13,14 +13,21 @@ Defined results: a null text stays null and an empty one stays empty; rows that
 documents of their own, of which the smaller digest comes first; full copies of a row are one document, and each gets its
 result; a null doc_id comes after all others. Blank lines are lines. Lines are what ``\\n`` separates. Other columns are
 carried by ``dedup``. An empty table gives an empty table.
+
+Chunks leave the lines of a passage standing that are chunks of their own, and its ends. ``dedup`` is held to that rule by
+its SQL twin. ``drop_repeated``, which has none, looks at ``passages`` instead: every two neighbouring lines, of which one
+has a word, and blank lines between. All lines of a passage of two lines or more that stood earlier are in such a pair, so
+the whole passage goes. A pair that shares a line with its own first occurrence stays with it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedtide.llm.common import bit_map, maybe_in
+from feedtide.llm.common import WORD, bit_map, maybe_in
 from feedtide.session import staged
 
 WINDOW = 2
@@ -60,38 +67,62 @@ def chunks(docs: DataFrame) -> DataFrame:
             (F.when(k == 0, 0).otherwise(F.get("ends", k - 1)) + 1).alias("first"), end.alias("last")
         ),
     )
-    long_ones = F.filter(spans, lambda s: s["last"] - s["first"] + 1 >= LEAST_LINES)
-    rows = rows.select("doc_id", "text_digest", "lines", F.inline(long_ones))
+    return _cut_out(rows, F.filter(spans, lambda s: s["last"] - s["first"] + 1 >= LEAST_LINES))
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """Columns as of ``chunks``: neighbouring lines of which one has a word, and runs of blank lines with the line after."""
+    lines = F.split("text", "\n", -1)
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("text_digest"), lines.alias("lines"))
+    n = F.size("lines")
+    worded = F.filter(F.sequence(F.lit(1), n), lambda i: F.get("lines", i - 1).rlike(WORD))
+    rows = rows.withColumn("stops", F.concat(F.array(F.lit(0)), worded, F.array(n + 1)))
+
+    def between(a: Column, k: Column) -> Column:
+        """Spans from a line with a word to the next such line."""
+        b = F.get("stops", k + 1)
+        pairs = [(a, a + 1, F.lit(True)), (b - 1, b, b - a >= 2), (a + 1, b, b - a >= 3)]
+        return F.array(*[F.struct(x.alias("first"), y.alias("last"), use.alias("use")) for x, y, use in pairs])
+
+    spans = F.flatten(F.transform(F.slice("stops", F.lit(1), F.size("stops") - 1), between))
+    real = F.filter(spans, lambda s: s["use"] & (s["first"] >= 1) & (s["last"] <= n))
+    return _cut_out(rows, F.transform(real, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))))
+
+
+def _cut_out(rows: DataFrame, spans: Column) -> DataFrame:
+    rows = rows.select("doc_id", "text_digest", "lines", F.inline(spans))
     chunk = F.array_join(F.slice("lines", F.col("first"), F.col("last") - F.col("first") + 1), "\n")
     return rows.select("doc_id", "text_digest", "first", "last", chunk.alias("chunk"))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_digest, first, last`` of every chunk to remove."""
+def repeated(docs: DataFrame, cut: Callable[[DataFrame], DataFrame] = chunks) -> DataFrame:
+    """``doc_id, text_digest, first, last`` of every chunk (as ``cut`` makes them) to remove."""
     key = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_digest", "first")
-    found = chunks(docs).withColumn("digest", F.xxhash64("chunk"))
+    found = cut(docs).withColumn("digest", F.xxhash64("chunk"))
     found = found.withColumn("place", key)
     # By digest, without the bytes: which can repeat at all. Full copies of a row have one place.
     twice = found.groupBy("digest").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("digest")
     twice = staged(twice, "repeated-digests")
-    again = maybe_in(chunks(docs).withColumn("digest", F.xxhash64("chunk")), "digest", bit_map(twice, "digest"))
+    again = maybe_in(cut(docs).withColumn("digest", F.xxhash64("chunk")), "digest", bit_map(twice, "digest"))
     again = staged(again.join(twice, "digest", "left_semi").withColumn("place", key), "repeated-chunks")
     # By their bytes: the first place of each chunk that does repeat.
     firsts = again.groupBy("digest", "chunk").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b")
     firsts = firsts.withColumnRenamed("chunk", "same").withColumnRenamed("digest", "known")
     met = again.join(firsts, (F.col("digest") == F.col("known")) & (F.col("chunk") == F.col("same")))
-    return met.where(F.col("place") != F.col("a")).select("doc_id", "text_digest", "first", "last").distinct()
+    within = F.col("doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("text_digest") == F.col("a.text_digest"))
+    met = met.where((F.col("place") != F.col("a")) & ~(within & (F.col("first") <= F.col("a.first") + F.col("last") - F.col("first"))))
+    return met.select("doc_id", "text_digest", "first", "last").distinct()
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, cut: Callable[[DataFrame], DataFrame] = chunks) -> DataFrame:
     """``docs`` with the repeated chunks cut out of ``text``, and ``n_lines``, ``n_removed`` (lines)."""
-    cut = repeated(docs).groupBy("doc_id", "text_digest").agg(
+    cut = repeated(docs, cut).groupBy("doc_id", "text_digest").agg(
         F.collect_list(F.struct("first", "last")).alias("cuts_")  # at most the chunks of one text
     )
     cut = cut.withColumnRenamed("doc_id", "cut_id_").withColumnRenamed("text_digest", "cut_digest_")
     same = F.col("doc_id").eqNullSafe(F.col("cut_id_")) & (F.md5("text") == F.col("cut_digest_"))
     lines = F.split("text", "\n", -1)
-    gone = F.flatten(F.transform("cuts_", lambda c: F.sequence(c["first"], c["last"])))
+    gone = F.array_distinct(F.flatten(F.transform("cuts_", lambda c: F.sequence(c["first"], c["last"]))))
     kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("gone_"), i + 1))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*columns).join(cut, same, "left").withColumn("gone_", gone)
@@ -106,8 +137,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeated(docs: DataFrame) -> DataFrame:
-    """``dedup`` with the columns of ``docs``; ``n_chars`` follows the text, and documents left without a word go."""
-    made = dedup(docs)
+    """``docs`` without repeated passages; ``n_chars`` follows the text, and documents left without a word go."""
+    made = dedup(docs, passages)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\\x20\\x09-\\x0D]")
     made = made.where(~emptied | F.col("text").isNull())
     if "n_chars" in docs.columns:

@@ -89,6 +89,24 @@ def test_line_dedup_finds_shifted_passages(spark, none):
     assert line_dedup.dedup(none).count() == 0 and line_dedup.drop_repeated(docs).columns == docs.columns
 
 
+def test_repeated_passages_go_whole(spark):
+    rng = random.Random(11)
+    line = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(9))
+    planted = [[line() for _ in range(n)] for n in (2, 2, 3, 3, 4, 7, 20)]
+    planted += [["gap " + line(), "", "", "", line()], [line(), "", line()]]
+    texts, want = [], {}
+    for i in range(40):
+        own, passage = [line() for _ in range(4)], planted[i % len(planted)]
+        texts.append((i, "\n".join([*own[:2], *passage, *own[2:]])))
+        want[i] = "\n".join([*own[:2], *(passage if i < len(planted) else []), *own[2:]])
+    texts += [(100 + i, t) for i, (_, t) in enumerate(texts)]  # exact copies
+    twins = line()
+    texts += [(200, "\n".join([twins] * 5)), (201, "one\n\n\n\ntwo"), (202, "three\n\n\n\nfour")]
+    want |= {200: f"{twins}\n{twins}", 201: texts[-2][1], 202: texts[-1][1]}
+    got = line_dedup.drop_repeated(_frame(spark, texts)).collect()
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(want)
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
