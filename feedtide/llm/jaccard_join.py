@@ -309,5 +309,10 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     rows = staged(rows.select(*docs.columns, "copies_"), "kept-rows")
     single = rows.where("copies_ = 1").select(*docs.columns)
     full = rows.where("copies_ > 1").select(*docs.columns)
-    worded = full.where(F.col("text").rlike(WORD)).dropDuplicates()
+    # Rows of one doc_id and text may differ in other columns: the smallest of all is the one.
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    parts = [x for i, c in enumerate(rest) for x in (F.col(c).isNull().alias(f"absent{i}"), F.col(c).alias(f"value{i}"))]
+    least = F.min(F.struct(F.lit(0).alias("any"), *parts)).alias("least_")
+    worded = full.where(F.col("text").rlike(WORD)).groupBy("doc_id", "text").agg(least)
+    worded = worded.select("doc_id", "text", *[F.col(f"least_.value{i}").alias(c) for i, c in enumerate(rest)])
     return single.unionByName(worded).unionByName(full.where(F.col("text").isNull() | ~F.col("text").rlike(WORD)))

@@ -178,6 +178,17 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(1, text + " x"), (2, "other words here"), (8, ""), (9, ""), (9, "")]
 
 
+def test_one_of_each_group_stays_whatever_the_source(spark):
+    text = "the same eight words stand in every source"
+    rows = [(d, text, s, "y") for d in (None, 4) for s in ("web", "books", "news", None)]
+    rows += [(None, text + " alone and again with other words", s, n) for s in ("web", "books") for n in ("y", "z")]
+    rows += [(None, None, "a", "y"), (None, None, "b", "y"), (9, "", "a", "y"), (9, "", "b", "y")]
+    kept = jaccard_join.drop_near_copies(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    texts = Counter(r.text for r in kept)
+    assert texts == {text: 1, text + " alone and again with other words": 1, None: 2, "": 2}
+    assert all(tuple(r) in rows for r in kept)
+
+
 def test_search_recall_and_scores(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 32))
