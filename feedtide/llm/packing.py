@@ -13,6 +13,7 @@ each row is packed for itself; ties are broken by doc_id, piece, and checksum; l
 
 from __future__ import annotations
 
+import json
 import zlib
 from dataclasses import dataclass
 
@@ -108,17 +109,32 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Run]:
     return plan
 
 
-def chunk_encoder(content: str, pattern: str) -> ChunkCache:
-    """The tokenizer of a file's content, behind a memory of the chunks it has met."""
-    from tokenizers import Tokenizer
+class TextEncoder:
+    """The tokenizer of a file's content, behind a memory of the chunks it has met.
 
-    tokenizer = Tokenizer.from_str(content)
+    The tokenizer cuts its added tokens out before anything else, so it gets texts that hold one whole.
+    """
+
+    def __init__(self, content: str, pattern: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(content)
+        self.cache = ChunkCache(pattern, self.whole, 200_000)
+        self.added = [t["content"] for t in json.loads(content).get("added_tokens") or [] if t["content"]]
 
-    def encode(parts: list[str]) -> list[bytes]:
-        made = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+    def whole(self, parts: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
 
-    return ChunkCache(pattern, encode, 200_000)
+    def ids(self, texts: list[str]) -> list[bytes]:
+        special = [i for i, text in enumerate(texts) if any(a in text for a in self.added)]
+        if not special:
+            return self.cache.ids(texts)
+        apart = set(special)
+        made = self.cache.ids(["" if i in apart else text for i, text in enumerate(texts)])
+        for i in special:  # one at a time: texts may be long
+            (made[i],) = self.whole([texts[i]])
+        return made
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
@@ -129,7 +145,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity
 
     def work(texts, batch):
         key = f"packing {zlib.crc32(content.value.encode())}"
-        encoder = kept_in_worker(key, lambda: chunk_encoder(content.value, PATTERN))
+        encoder = kept_in_worker(key, lambda: TextEncoder(content.value, PATTERN))
         counts, pieces = [], []
         for body in encoder.ids(texts):
             body += end

@@ -128,6 +128,17 @@ def test_packing(docs, none):
     assert packing.packed(none, JSON).count() == 0
 
 
+def test_added_tokens_keep_their_ids(spark):
+    library = Tokenizer.from_file(JSON)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y " + "the cat sat. " * 60, "<|endoftext| >", "a b"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in packing.tokenized_pieces(frame, JSON, 2, 64, with_ids=True).orderBy("doc_id", "piece").collect():
+        got[r.doc_id] = got.get(r.doc_id, []) + list(r.ids)
+    assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert [50256 in got[i] for i in range(5)] == [True, True, True, False, False]
+
+
 def test_pieces_can_carry_their_ids(docs):
     rows = packing.tokenized_pieces(docs, JSON, 2, 64, with_ids=True).collect()
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in rows)
