@@ -139,7 +139,7 @@ def dedup(docs: DataFrame, cut: Callable[[DataFrame], DataFrame] = chunks) -> Da
 def drop_repeated(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated passages; ``n_chars`` follows the text, and documents left without a word go."""
     made = dedup(docs, passages)
-    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\\x20\\x09-\\x0D]")
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(WORD)
     made = made.where(~emptied | F.col("text").isNull())
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

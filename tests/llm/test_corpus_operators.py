@@ -107,6 +107,14 @@ def test_repeated_passages_go_whole(spark):
     assert {r.doc_id: r.text for r in got} == want and len(got) == len(want)
 
 
+def test_wordless_remainders_go(spark):
+    passage = "first line of it\nsecond line of it\nthird line of it"
+    ends = ["", "\n\n", "\n \n\t", "\nSHOUT", "\n====", "\n:", "\n2", "\nword"]
+    docs = _frame(spark, [(0, passage), *[(i + 1, passage + end) for i, end in enumerate(ends)], (50, "\n"), (51, None)])
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated(docs).collect()}
+    assert got == {0: passage, 4: "SHOUT", 5: "====", 6: ":", 7: "2", 8: "word", 50: "\n", 51: None}
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
