@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from feedtide.llm import bpe, jaccard_join, line_dedup, one_bit_search, packing, repeated_bytes, repetition, secret_scan, sharding, toxicity
+from feedtide.llm import (
+    bpe, hard_negatives, jaccard_join, line_dedup, mixing, one_bit_search, packing, repeated_bytes, repetition, secret_scan,
+    sharding, toxicity, whitening,
+)
 from feedtide.llm.common import table
 
 #: Production parameters.
@@ -60,6 +63,21 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return repeated_bytes.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op12_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), every=50, positives=5, negatives=3, band=(50, 95))
+
+
+def op13_source_mixing(spark, sf_dir):
+    made = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return made.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
@@ -71,6 +89,9 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_one_bit_search": op9_one_bit_search,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_source_mixing": op13_source_mixing,
 }
 
 ORACLE_SQL = {
@@ -126,5 +147,52 @@ kept AS (
     ON n.doc_id IS NOT DISTINCT FROM r.doc_id AND n.digest = r.digest AND n.c = r.c GROUP BY n.doc_id, n.digest)
 SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, md5(k.text) AS text_md5, k.text
 FROM documents d LEFT JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND md5(d.text) = k.digest
+""",
+    "op12_hard_negatives": """
+WITH fine AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+    AND isfinite(list_sum(embedding::DOUBLE[]))),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, o.vec_id AS other_id, a.label = o.label AS same,
+    list_inner_product(a.v, o.v)::BIGINT AS score
+  FROM fine a JOIN fine o ON a.vec_id <> o.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+found AS (
+  SELECT p.*, n.other_id AS negative_id, n.score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.other_id) AS rank
+  FROM positives p JOIN pairs n USING (anchor_id)
+  WHERE NOT n.same AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 3
+""",
+    "op13_source_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5(concat_ws(':', 'mix', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))) AS digest FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM sized GROUP BY source),
+filled AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap, sum(weight) OVER () AS all_weights, 1.5::DOUBLE * sum(source_size) OVER () AS words,
+    coalesce(sum(2 * source_size) OVER below, 0) AS caps_below, coalesce(sum(weight) OVER below, 0) AS weights_below
+  FROM sources WINDOW below AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT arg_min((words - caps_below) / (all_weights - weights_below), weights_below) AS level
+  FROM filled WHERE cap >= (words - caps_below) / (all_weights - weights_below) * weight),
+targets AS (SELECT source, source_size, least(cap, level * weight) AS target FROM filled, level),
+planned AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets),
+placed AS (
+  SELECT doc_id, size, source_size, target, whole, floor(target - whole * source_size + 0.5)::BIGINT AS rest,
+    coalesce(sum(size) OVER (PARTITION BY s.source
+      ORDER BY ('0x' || substr(digest, 1, 15))::BIGINT, ('0x' || substr(digest, 16, 15))::BIGINT
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM sized s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, (whole * size + least(greatest(rest - before, 0), size))::BIGINT AS taken FROM placed
 """,
 }
