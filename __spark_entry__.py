@@ -22,7 +22,7 @@ from feedtide.functions.text import path_key  # noqa: E402
 from feedtide.operators import density, matrix, quality, tfidf, timeline, votes  # noqa: E402
 from feedtide.plans import scoring, trends  # noqa: E402
 from feedtide.session import fresh_dir, staged  # noqa: E402
-from feedtide.sinks import tables as sinks  # noqa: E402
+from feedtide.sinks import commits, tables as sinks  # noqa: E402
 from feedtide.sources import feeds  # noqa: E402
 from feedtide.sources.items import distinct_items, keyed_documents, scored_terms  # noqa: E402
 from feedtide.streaming import ingest as stream_ingest  # noqa: E402
@@ -313,6 +313,21 @@ def _written(columns):
     return query
 
 
+def _score_table(compacted: bool):
+    """The targets as a table, updated twice: by scores of 0, then by the right ones. Deltas, or folded into the base."""
+
+    def query(spark, sf_dir):
+        path, scores = fresh_dir(spark, "targets"), staged(_document_scores(spark, sf_dir), "document-scores")
+        sinks.publish_targets(_targets(spark, sf_dir), path)
+        for scored in (scores.withColumn("trend_score", F.lit(0.0)), scores):
+            sinks.update_scores(scored, path, compact_at=None)
+        if compacted:
+            commits.compact(spark, path)
+        return commits.read(spark, path).select("feed_key", "uri_key", "quality", _r9("trend_score"))
+
+    return query
+
+
 def _vote_states(spark, sf_dir):
     states = votes.vote_states(_actions(spark, sf_dir), _stored_votes(spark, sf_dir))
     return states.select(
@@ -441,7 +456,7 @@ def _stream_votes(spark, sf_dir):
     for part in (1, 0, 2):  # by a hash, so that most keys get actions from before their last one
         actions.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).write.mode("append").parquet(f"{base}/actions")
         stream = spark.readStream.schema(actions.schema).parquet(f"{base}/actions")
-        stream_votes.start_vote_log(stream, f"{base}/log", f"{base}/marks", stored).awaitTermination()
+        stream_votes.start_vote_log(stream, f"{base}/log", f"{base}/marks").awaitTermination()
     current = stream_votes.current_votes(stream_votes.change_log(spark, f"{base}/log"), stored)
     return _votes_shape(current)
 
@@ -548,6 +563,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "trend_score_merge": lambda s, d: sinks.merge_scores(_targets(s, d), _document_scores(s, d)).select(
             "feed_key", "uri_key", "quality", _r9("trend_score")
         ),
+        "score_table_deltas": _score_table(False),
+        "score_table_compacted": _score_table(True),
         "updated_scores": lambda s, d: sinks.updated_scores(_targets(s, d), _document_scores(s, d)).select("feed_key", "uri_key"),
         "skipped_scores": lambda s, d: sinks.skipped_scores(_targets(s, d), _document_scores(s, d)).select("feed_key", "uri_key"),
         "path_keys": lambda s, d: _read(s, d, "pages").select("page_id", path_key("url").alias("key")),
@@ -836,9 +853,11 @@ def oracle_sql() -> dict[str, str]:
         "SELECT uri, round(ln(sum(exp(-d2 / (2 * h * h)))) - ln((SELECT n FROM cnt)) - ln(2 * pi() * h * h) / 2, 6) AS trend_score "
         "FROM pairs, best GROUP BY uri, h",
         "feed_scores": merge + "SELECT feed_url, uri, round(trend_score, 9) AS trend_score FROM scores",
-        "trend_score_merge": merge
-        + "SELECT feed_key, uri_key, quality, round(coalesce(k.trend_score, t.trend_score), 9) AS trend_score "
-        "FROM targets t LEFT JOIN keyed k USING (feed_key, uri_key)",
+        **dict.fromkeys(
+            ("trend_score_merge", "score_table_deltas", "score_table_compacted"),
+            merge + "SELECT feed_key, uri_key, quality, round(coalesce(k.trend_score, t.trend_score), 9) AS trend_score "
+            "FROM targets t LEFT JOIN keyed k USING (feed_key, uri_key)",
+        ),
         "updated_scores": merge
         + "SELECT feed_key, uri_key FROM (SELECT replace(feed_url, '/', '_') AS feed_key, replace(uri, '/', '_') AS uri_key FROM scores) "
         "SEMI JOIN targets USING (feed_key, uri_key)",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 # Settings that hold on a laptop and on a cluster alike. Shuffle widths are left
@@ -73,30 +74,61 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in files]
 
 
-def publish_version(spark: SparkSession, path: str, version: str) -> None:
-    """Make the finished folder ``version`` below ``path`` the table's current one.
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) in the JVM."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files in a folder."""
+    fs, target = _file_system(spark, path)
+    return fs.getContentSummary(target).getLength()
 
-    The pointer is a new empty file whose name holds its number and the version, so it is
-    there or not, on any store, and the version before stays readable until it is.
-    """
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    number = max((n for n, _ in _pointers(spark, path)), default=0) + 1
-    fs.create(fs_path(f"{path}/_current/{number:012d}-{version}"), False).close()
 
+def modified_at(spark: SparkSession, path: str) -> float:
+    """When a folder or one of its files last changed, in seconds since 1970."""
+    fs, target = _file_system(spark, path)
+    times = [fs.getFileStatus(target).getModificationTime()]
+    times += [f.getModificationTime() for f in fs.listStatus(target)]
+    return max(times) / 1000
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """The folder of the newest published version."""
-    found = _pointers(spark, path)
-    return f"{path}/{max(found)[1]}" if found else None
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    fs, target = _file_system(spark, path)
+    stream = fs.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
-def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
-    folder = f"{path}/_current"
-    if not path_exists(spark, folder):
-        return []
-    names = [n for n in child_names(spark, folder) if n[:12].isdigit()]
-    return [(int(n.partition("-")[0]), n.partition("-")[2]) for n in names]
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file with this text, whole from its first moment; False if the path is taken.
+
+    Local files are linked into place, others renamed, which object stores and HDFS refuse where a file is. A store
+    whose rename replaces files can't be used by several writers at once.
+    """
+    fs, target = _file_system(spark, path)
+    fs.mkdirs(target.getParent())
+    draft = f"{path}.{uuid.uuid4().hex}"
+    _, draft_path = _file_system(spark, draft)
+    stream = fs.create(draft_path, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    try:
+        if fs.getScheme() == "file":
+            local = lambda p: spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+            spark._jvm.java.nio.file.Files.createLink(local(target), local(draft_path))
+            return True
+        return not fs.exists(target) and fs.rename(draft_path, target)
+    except Py4JJavaError:
+        if fs.exists(target):
+            return False
+        raise
+    finally:
+        fs.delete(draft_path, False)
 
 
 def drop_scratch(spark: SparkSession) -> None:

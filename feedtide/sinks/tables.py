@@ -1,17 +1,16 @@
-"""Table writers: append, overwrite, and the update-only score merge."""
+"""Table writers: append, overwrite, and the update-only score merge, whole or as a delta."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedtide.functions.text import path_key
 from feedtide.schemas import RSS_ITEM_COLUMNS
-from feedtide.session import child_names, current_version, delete_path, publish_version
+from feedtide.sinks import commits
 
 TERM_COLUMNS = ("word", "uri", "tfidf", "feedUrl")
+SCORE_KEY = ("feed_key", "uri_key")
 TERM_COLUMNS_WITHOUT_FEED = ("word", "uri", "tfidf")
 
 
@@ -20,29 +19,21 @@ def append_items(items: DataFrame, path: str) -> None:
     items.select(*RSS_ITEM_COLUMNS).write.mode("append").parquet(path)
 
 
-def overwrite_terms(rows: DataFrame, path: str, columns: tuple[str, ...] = TERM_COLUMNS) -> None:
+def overwrite_terms(
+    rows: DataFrame, path: str, columns: tuple[str, ...] = TERM_COLUMNS, older_than: float = commits.DAY
+) -> None:
     """Replace the scored-term table, creating it if needed.
 
-    A new version is written below ``path`` and then published, so a failed run
-    leaves the old one in place, and ``rows`` may read it. Older versions go,
-    but for the last one, which readers may still be at.
+    A new version is written below ``path`` and then committed, so a failed run leaves the old one in place, ``rows``
+    may read it, and of several writers none is lost: each has its own version, the last committed one is current.
+    Versions that have not been current for ``older_than`` seconds go.
     """
-    spark, path = rows.sparkSession, path.rstrip("/")
-    old = current_version(spark, path)
-    version = f"v-{uuid.uuid4().hex}"
-    rows.select(*columns).write.parquet(f"{path}/{version}")
-    publish_version(spark, path, version)
-    for name in child_names(spark, path):
-        if name.startswith("v-") and name != version and f"{path}/{name}" != old:
-            delete_path(spark, f"{path}/{name}")
+    commits.replace(rows.select(*columns), path, older_than=older_than)
 
 
-def read_terms(spark: SparkSession, path: str) -> DataFrame:
-    """The current version of a scored-term table."""
-    version = current_version(spark, path.rstrip("/"))
-    if version is None:
-        raise FileNotFoundError(f"no table has been published at {path}")
-    return spark.read.parquet(version)
+def read_terms(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The current version of a scored-term table, or an earlier one by number."""
+    return commits.read(spark, path, version)
 
 
 def with_path_keys(scores: DataFrame) -> DataFrame:
@@ -70,6 +61,29 @@ def merge_scores(targets: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
+def publish_targets(targets: DataFrame, path: str) -> None:
+    """Make ``targets`` the table at ``path`` that scores are merged into."""
+    commits.replace(targets, path, SCORE_KEY)
+
+
+def update_scores(scores: DataFrame, path: str, compact_at: float | None = 0.25) -> None:
+    """Merge scores into the table at ``path``: rows whose score changes are written, as a delta, and no others.
+
+    The result is that of ``merge_scores``. The few changed rows are found by a join and committed against the version
+    that was read, so an update by another writer is never overwritten with what stood before it.
+    """
+    spark = scores.sparkSession
+    new = one_score_per_key(scores).withColumnRenamed("trend_score", "_new_score")
+
+    def changes(targets: DataFrame) -> DataFrame:
+        columns = [c for c in targets.columns if c != "trend_score"]
+        old = F.col("trend_score") if "trend_score" in targets.columns else F.lit(None).cast("double")
+        met = targets.join(new, list(SCORE_KEY)).where(F.col("_new_score").isNotNull() & ~old.eqNullSafe(F.col("_new_score")))
+        return met.select(*columns, F.col("_new_score").alias("trend_score"))
+
+    commits.update(path, spark, SCORE_KEY, changes, compact_at=compact_at)
+
+
 def updated_scores(targets: DataFrame, scores: DataFrame) -> DataFrame:
     """Scores whose target row exists."""
     return with_path_keys(scores).join(targets, ["feed_key", "uri_key"], "left_semi")

@@ -1,117 +1,173 @@
-"""Vote actions as a stream: a change log, and the live voted list it stands for.
-
-Each micro-batch is folded with the same closed form as a batch of history, on
-top of the last logged state of the keys it touches, or of the stored vote of a
-key that has no log yet. Valid actions are kept. A key that gets an action from
-before the last one applied to it is folded anew from all its kept actions, so
-the stream ends where a batch over the whole history does. All of it is built-in
-column work, so a batch of many small keys and a batch of one huge key cost
-alike. A batch owns its partition of the log and replaces it when retried.
+"""Vote actions as a stream, folded in Spark's keyed state.
+
+The state after a history depends on its trailing run of equal actions only (``operators.votes``), so that run is all a
+key has to keep: its sign, its places in time, and the place of the last action against it, the cut. An action from
+before the cut can never count again, whenever it arrives. One of the run's sign joins the run; one against it that is
+newer than all of it starts a new run; one against it that falls inside the run moves the cut there. So actions may come
+in any order, and the stream ends where a batch over the whole history does.
+
+State lives in Spark's state store (RocksDB), one short value per key and the places of its run, which are appended one
+by one and read only when a late action cuts the run; that read streams through, so a run may have any length. A batch
+reads nothing but its own actions. Its changed keys become a keyed delta of the table of runs (``sinks.commits``),
+committed once per batch, and compacted there. What a run makes of the vote a user started from is told when the table
+is read: an even run withdraws, and the first run of a history counts the stored vote of its sign as one press.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from feedtide.operators.skew import salted_join
-from feedtide.operators.votes import KEY, folded_states, one_vote_per_key, valid_actions, with_states
-from feedtide.session import path_exists, staged
+from feedtide.operators.votes import KEY, one_vote_per_key, valid_actions, with_states
+from feedtide.sinks import commits
 
-CHANGES = (
-    "user_id string, uri string, uriCreatedAt timestamp, title string, state int, "
-    "ts timestamp, event_id long, late long, batch long"
+RUNS = (
+    "user_id string, uri string, uriCreatedAt timestamp, title string, sign int, run long, whole boolean, "
+    "ts timestamp, event_id long, late long"
 )
-KEPT = "user_id string, uri string, uriCreatedAt timestamp, title string, ts timestamp, event_id long, sign int, batch long"
-VOTES = "user_id string, doc_id string, uri string, title string, state int, uriCreatedAt timestamp"
-
-
-def _before(spark, path: str, schema: str, batch_id: int) -> DataFrame:
-    """Rows of earlier batches; the first batch finds no folder."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).where(F.col("batch") < batch_id)
-
-
-def latest_states(log: DataFrame) -> DataFrame:
-    """Last logged state of every key, with the place of the last action it took in."""
-    return log.groupBy(*KEY).agg(
-        F.max(F.struct("ts", "event_id")).alias("_place"), F.max_by("state", "batch").alias("old_state")
-    )
-
-
-def fold_batch(actions: DataFrame, log: DataFrame, kept: DataFrame, votes: DataFrame) -> DataFrame:
-    """New log rows for a batch of actions: state, title and number of late actions per key.
-
-    ``log`` and ``kept`` are the changes and valid actions of earlier batches,
-    ``votes`` the table the stream started from.
-    """
-    rows = valid_actions(actions)
-    sizes = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_actions"))
-    known = latest_states(log.join(sizes, list(KEY), "left_semi"))
-    placed = staged(
-        salted_join(rows, known, KEY, [F.col("event_id")], sizes, "n_actions", how="left").withColumn(
-            "is_late", F.coalesce(F.struct("ts", "event_id") <= F.col("_place"), F.lit(False))
-        ),
-        "vote-batch",
-    )
-    totals = staged(
-        placed.groupBy(*KEY).agg(
-            F.min("title").alias("title"), F.count_if("is_late").alias("late"), F.first("old_state").alias("old_state")
-        ),
-        "vote-totals",
-    )
-    stored = one_vote_per_key(votes).select(*KEY, F.col("state").alias("_stored"))
-    stored = stored.join(totals, list(KEY), "left_semi")
-    late = totals.where("late > 0").select(*KEY)
-    on_time = totals.where("late = 0").join(stored, list(KEY), "left")
-    starts = on_time.select(*KEY, F.coalesce("old_state", "_stored").alias("old_state")).where("old_state is not null")
-    columns = [*KEY, "title", "ts", "event_id", "sign"]
-    fresh = placed.select(*columns).join(late, list(KEY), "left_anti")
-    again = kept.select(*columns).unionByName(placed.select(*columns)).join(late, list(KEY), "left_semi")
-    states = folded_states(fresh, starts).unionByName(
-        folded_states(again, stored.withColumnRenamed("_stored", "old_state"))
-    )
-    return totals.drop("old_state").join(states.drop("old_state"), list(KEY)).select(
-        *KEY, "title", "state", "ts", "event_id", "late"
+_FOLDED = "user_id string, uri string, made long, title string, sign int, run long, whole boolean, at long, event_id long, late long"
+_HEAD = (
+    "sign int, run long, cut_at long, cut_id long, last_at long, last_id long, title string, late long, side int"
+)
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def _trailing_runs(chunk: int) -> StatefulProcessor:
+    """The keyed fold. At most ``chunk`` places of a run are in memory."""
+
+    class TrailingRuns(StatefulProcessor):
+        def init(self, handle):
+            self.head = handle.getValueState("head", _HEAD)
+            # The run's places are in one of two lists; a cut copies what is left of them to the other.
+            self.sides = [handle.getListState(name, "at long, event_id long") for name in ("even", "odd")]
+
+        def close(self):
+            pass
+
+        def handleInputRows(self, key, rows, timerValues):
+            head = self.head.get()
+            sign, run, cut, last, title, late, side = 0, 0, None, None, None, 0, 0
+            if head is not None:
+                sign, run, cut_at, cut_id, last_at, last_id, title, late, side = head
+                cut, last = None if cut_at is None else (cut_at, cut_id), (last_at, last_id)
+            known, fresh, new_run, moved = last, [], head is None, False
+
+            def flush():
+                nonlocal new_run
+                if new_run:
+                    self.sides[side].clear()
+                if fresh:
+                    self.sides[side].appendList(fresh)
+                fresh.clear()
+                new_run = False
+
+            for row in rows:
+                place = (row.at, row.event_id)
+                late += known is not None and place <= known
+                if row.title is not None and (title is None or row.title < title):
+                    title = row.title
+                if not sign:
+                    sign, run, last, fresh = row.sign, 1, place, [place]
+                elif cut is not None and place <= cut:
+                    continue
+                elif row.sign == sign:
+                    run, last = run + 1, max(last, place)
+                    fresh.append(place)
+                elif place > last:
+                    sign, run, cut, last, fresh, new_run, moved = row.sign, 1, last, place, [place], True, False
+                else:
+                    cut, moved = place, True
+                    fresh = [p for p in fresh if p > cut]
+                    run = len(fresh)  # and what the stored places give
+                if len(fresh) >= chunk:
+                    stored_too = moved and not new_run
+                    flush()
+                    moved = stored_too
+            if moved and not new_run:
+                run = len(fresh)
+                old, spare, part = self.sides[side], self.sides[1 - side], []
+                spare.clear()
+                for place in old.get():
+                    if tuple(place) > cut:
+                        part.append(tuple(place))
+                        run += 1
+                        if len(part) >= chunk:
+                            spare.appendList(part)
+                            part = []
+                if part:
+                    spare.appendList(part)
+                old.clear()
+                side = 1 - side
+            flush()
+            cut_at, cut_id = cut or (None, None)
+            self.head.update((sign, run, cut_at, cut_id, *last, title, late, side))
+            yield Row(
+                user_id=key[0], uri=key[1], made=key[2], title=title, sign=sign, run=run, whole=cut is None,
+                at=last[0], event_id=last[1], late=late,
+            )
+
+    return TrailingRuns()
+
+
+def trailing_runs(actions: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """The changed keys of every batch of a stream of actions, with their trailing run (columns ``RUNS``)."""
+    rows = valid_actions(actions).select(
+        "user_id", "uri", F.unix_micros("uriCreatedAt").alias("made"), "title", F.unix_micros("ts").alias("at"), "event_id", "sign"
     )
-
-
-def start_vote_log(
-    actions: DataFrame, log_path: str, checkpoint: str, votes: DataFrame | None = None
-) -> StreamingQuery:
-    """Fold a stream of actions into the change log, then stop. ``votes`` is the table it starts from."""
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        base = spark.createDataFrame([], VOTES) if votes is None else votes
-        log = _before(spark, f"{log_path}/changes", CHANGES, batch_id)
-        kept = _before(spark, f"{log_path}/actions", KEPT, batch_id)
-        new = staged(batch, "vote-actions")
-        fold_batch(new, log, kept, base).write.mode("overwrite").parquet(f"{log_path}/changes/batch={batch_id}")
-        valid_actions(new).write.mode("overwrite").parquet(f"{log_path}/actions/batch={batch_id}")
-
-    return (
-        actions.writeStream.foreachBatch(fold)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    folded = rows.groupBy("user_id", "uri", "made").transformWithState(
+        statefulProcessor=_trailing_runs(chunk), outputStructType=_FOLDED, outputMode="Update", timeMode="None"
     )
-
-
-def change_log(spark, log_path: str) -> DataFrame:
-    """All changes so far."""
-    return spark.read.schema(CHANGES).parquet(f"{log_path}/changes")
-
-
-def last_changes(log: DataFrame) -> DataFrame:
-    """The log with one row per key: its state after the newest batch that touched it."""
-    return log.groupBy(*KEY).agg(
-        F.min("title").alias("title"), F.max_by("state", F.col("batch")).alias("state"), F.sum("late").alias("late")
+    return folded.select(
+        "user_id", "uri", F.timestamp_micros("made").alias("uriCreatedAt"), "title", "sign", "run", "whole",
+        F.timestamp_micros("at").alias("ts"), "event_id", "late",
     )
 
 
-def current_votes(log: DataFrame, votes: DataFrame) -> DataFrame:
-    """The vote table after a change log, on top of the table the stream started from."""
-    return with_states(votes, last_changes(log))
+def start_vote_log(actions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Fold a stream of actions into the table of runs at ``path``, then stop."""
+    spark = actions.sparkSession
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        commits.upsert(batch, path, KEY, mark=(checkpoint, batch_id))
+
+    before = {name: spark.conf.get(name, None) for name in _STORE}
+    for name, value in _STORE.items():
+        spark.conf.set(name, value)
+    try:  # a query keeps the settings it was started with
+        return (
+            trailing_runs(actions)
+            .writeStream.foreachBatch(publish)
+            .outputMode("update")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def change_log(spark, path: str) -> DataFrame:
+    """One row a key that had an action: title, trailing run, its last place, and how many of its actions came late."""
+    return commits.read(spark, path)
+
+
+def run_states(runs: DataFrame, votes: DataFrame) -> DataFrame:
+    """(key, title, old_state, state) of every key of a table of runs, on top of the stored votes."""
+    starts = one_vote_per_key(votes).select(*KEY, F.col("state").alias("_stored"))
+    known = runs.join(starts, list(KEY), "left").withColumn("old_state", F.coalesce("_stored", F.lit(0)))
+    presses = F.col("run") + (F.col("whole") & (F.col("old_state") == F.col("sign"))).cast("int")
+    state = F.when(F.col("run") == 0, F.col("old_state")).when(presses % 2 == 1, F.col("sign")).otherwise(0)
+    return known.select(*KEY, "title", "old_state", state.cast("int").alias("state"))
+
+
+def current_votes(runs: DataFrame, votes: DataFrame) -> DataFrame:
+    """The vote table after a stream, on top of the table it started from."""
+    return with_states(votes, run_states(runs.where("run > 0"), votes))

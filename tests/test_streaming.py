@@ -61,7 +61,7 @@ def test_votes_stream_equals_batch(spark, tmp_path):
         late = upto
         spark.createDataFrame(part, schemas.VOTE_ACTIONS).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schemas.VOTE_ACTIONS).parquet(source)
-        vote_stream.start_vote_log(stream, log, marks, table).awaitTermination()
+        vote_stream.start_vote_log(stream, log, marks).awaitTermination()
         got = vote_stream.current_votes(vote_stream.change_log(spark, log), table)
         want = votes.apply_votes(table, spark.createDataFrame(rows[:upto], schemas.VOTE_ACTIONS))
         assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
