@@ -6,8 +6,9 @@ before the cut can never count again, whenever it arrives. One of the run's sign
 newer than all of it starts a new run; one against it that falls inside the run moves the cut there. So actions may come
 in any order, and the stream ends where a batch over the whole history does.
 
-State lives in Spark's state store (RocksDB), one short value per key and the places of its run, which are appended one
-by one and read only when a late action cuts the run; that read streams through, so a run may have any length. A batch
+State lives in Spark's state store (RocksDB): one short value per key, with the places of a short run. Those of a long run
+are appended to a list, which is read only when a late action cuts the run, and streamed through, so a run may have any
+length. A batch
 reads nothing but its own actions. Its changed keys become a keyed delta of the table of runs (``sinks.commits``),
 committed once per batch, and compacted there. What a run makes of the vote a user started from is told when the table
 is read: an even run withdraws, and the first run of a history counts the stored vote of its sign as one press.
@@ -28,7 +29,7 @@ RUNS = (
 )
 _FOLDED = "user_id string, uri string, made long, title string, sign int, run long, whole boolean, at long, event_id long, late long"
 _HEAD = (
-    "sign int, run long, cut_at long, cut_id long, last_at long, last_id long, title string, late long, side int"
+    "sign int, run long, cut_at long, cut_id long, last_at long, last_id long, title string, late long, side int, near array<long>"
 )
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -36,13 +37,13 @@ _STORE = {
 }
 
 
-def _trailing_runs(chunk: int) -> StatefulProcessor:
-    """The keyed fold. At most ``chunk`` places of a run are in memory."""
+def _trailing_runs(inline: int, chunk: int) -> StatefulProcessor:
+    """The keyed fold. Runs beyond ``inline`` places go to a list, of which at most ``chunk`` are in memory."""
 
     class TrailingRuns(StatefulProcessor):
         def init(self, handle):
             self.head = handle.getValueState("head", _HEAD)
-            # The run's places are in one of two lists; a cut copies what is left of them to the other.
+            # A long run's places are in one of two lists; a cut copies what is left of them to the other.
             self.sides = [handle.getListState(name, "at long, event_id long") for name in ("even", "odd")]
 
         def close(self):
@@ -50,76 +51,70 @@ def _trailing_runs(chunk: int) -> StatefulProcessor:
 
         def handleInputRows(self, key, rows, timerValues):
             head = self.head.get()
-            sign, run, cut, last, title, late, side = 0, 0, None, None, None, 0, 0
+            sign, run, cut, last, title, late, side, places = 0, 0, None, None, None, 0, -1, []
             if head is not None:
-                sign, run, cut_at, cut_id, last_at, last_id, title, late, side = head
+                sign, run, cut_at, cut_id, last_at, last_id, title, late, side, near = head
                 cut, last = None if cut_at is None else (cut_at, cut_id), (last_at, last_id)
-            known, fresh, new_run, moved = last, [], head is None, False
-
-            def flush():
-                nonlocal new_run
-                if new_run:
-                    self.sides[side].clear()
-                if fresh:
-                    self.sides[side].appendList(fresh)
-                fresh.clear()
-                new_run = False
-
+                places = list(zip(near[::2], near[1::2]))
+            known, moved = last, False  # moved: places in a list may lie before the cut
             for row in rows:
                 place = (row.at, row.event_id)
                 late += known is not None and place <= known
                 if row.title is not None and (title is None or row.title < title):
                     title = row.title
-                if not sign:
-                    sign, run, last, fresh = row.sign, 1, place, [place]
+                if not sign or place > last and row.sign != sign:
+                    if side >= 0:
+                        self.sides[side].clear()
+                    sign, run, cut, last, side, places, moved = row.sign, 1, last, place, -1, [place], False
                 elif cut is not None and place <= cut:
                     continue
                 elif row.sign == sign:
                     run, last = run + 1, max(last, place)
-                    fresh.append(place)
-                elif place > last:
-                    sign, run, cut, last, fresh, new_run, moved = row.sign, 1, last, place, [place], True, False
+                    places.append(place)
                 else:
-                    cut, moved = place, True
-                    fresh = [p for p in fresh if p > cut]
-                    run = len(fresh)  # and what the stored places give
-                if len(fresh) >= chunk:
-                    stored_too = moved and not new_run
-                    flush()
-                    moved = stored_too
-            if moved and not new_run:
-                run = len(fresh)
-                old, spare, part = self.sides[side], self.sides[1 - side], []
-                spare.clear()
-                for place in old.get():
-                    if tuple(place) > cut:
-                        part.append(tuple(place))
+                    cut, moved = place, side >= 0
+                    places = [p for p in places if p > cut]
+                    run = len(places)  # and what a list gives
+                if len(places) >= chunk:
+                    side = self._spill(side, places)
+            if moved:
+                spare, part, run = 1 - side, [], len(places)
+                for stored in self.sides[side].get():
+                    if tuple(stored) > cut:
+                        part.append(tuple(stored))
                         run += 1
-                        if len(part) >= chunk:
-                            spare.appendList(part)
-                            part = []
-                if part:
-                    spare.appendList(part)
-                old.clear()
-                side = 1 - side
-            flush()
+                    if len(part) >= chunk:
+                        self.sides[spare].appendList(part)
+                        part = []
+                self.sides[side].clear()
+                side = spare
+                places += part
+            if places and (side >= 0 or len(places) > inline):
+                side = self._spill(side, places)
             cut_at, cut_id = cut or (None, None)
-            self.head.update((sign, run, cut_at, cut_id, *last, title, late, side))
+            near = [n for p in places for n in p]
+            self.head.update((sign, run, cut_at, cut_id, *last, title, late, side, near))
             yield Row(
                 user_id=key[0], uri=key[1], made=key[2], title=title, sign=sign, run=run, whole=cut is None,
                 at=last[0], event_id=last[1], late=late,
             )
 
+        def _spill(self, side, places):
+            side = max(side, 0)
+            self.sides[side].appendList(list(places))
+            places.clear()
+            return side
+
     return TrailingRuns()
 
 
-def trailing_runs(actions: DataFrame, chunk: int = 10_000) -> DataFrame:
+def trailing_runs(actions: DataFrame, inline: int = 32, chunk: int = 10_000) -> DataFrame:
     """The changed keys of every batch of a stream of actions, with their trailing run (columns ``RUNS``)."""
     rows = valid_actions(actions).select(
         "user_id", "uri", F.unix_micros("uriCreatedAt").alias("made"), "title", F.unix_micros("ts").alias("at"), "event_id", "sign"
     )
     folded = rows.groupBy("user_id", "uri", "made").transformWithState(
-        statefulProcessor=_trailing_runs(chunk), outputStructType=_FOLDED, outputMode="Update", timeMode="None"
+        statefulProcessor=_trailing_runs(inline, chunk), outputStructType=_FOLDED, outputMode="Update", timeMode="None"
     )
     return folded.select(
         "user_id", "uri", F.timestamp_micros("made").alias("uriCreatedAt"), "title", "sign", "run", "whole",
@@ -127,8 +122,8 @@ def trailing_runs(actions: DataFrame, chunk: int = 10_000) -> DataFrame:
     )
 
 
-def start_vote_log(actions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Fold a stream of actions into the table of runs at ``path``, then stop."""
+def start_vote_log(actions: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
+    """Fold a stream of actions into the table of runs at ``path``, then stop. ``options`` are ``trailing_runs``'s."""
     spark = actions.sparkSession
 
     def publish(batch: DataFrame, batch_id: int) -> None:
@@ -139,7 +134,7 @@ def start_vote_log(actions: DataFrame, path: str, checkpoint: str) -> StreamingQ
         spark.conf.set(name, value)
     try:  # a query keeps the settings it was started with
         return (
-            trailing_runs(actions)
+            trailing_runs(actions, **options)
             .writeStream.foreachBatch(publish)
             .outputMode("update")
             .option("checkpointLocation", checkpoint)

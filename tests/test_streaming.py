@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from feedtide import schemas
 from feedtide.operators import timeline, votes
 from feedtide.sources import feeds
@@ -44,10 +46,11 @@ def test_ingest_runs_twice(spark, tmp_path):
     assert ingest.ingested_items(spark, table).count() == 9
 
 
-def test_votes_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("options", [{}, {"inline": 1, "chunk": 2}])
+def test_votes_stream_equals_batch(spark, tmp_path, options):
     rng = random.Random(7)
     rows = [
-        (f"u{rng.randrange(3)}", f"i{rng.randrange(4)}", "t", T0, rng.choice(["up", "down", "?"]),
+        (f"u{rng.randrange(3)}", f"i{rng.randrange(4)}", "t", T0, rng.choice(["up", "up", "up", "up", "down", "?"]),
          T0 + dt.timedelta(seconds=n // 3), n)
         for n in range(300)
     ]
@@ -61,7 +64,7 @@ def test_votes_stream_equals_batch(spark, tmp_path):
         late = upto
         spark.createDataFrame(part, schemas.VOTE_ACTIONS).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schemas.VOTE_ACTIONS).parquet(source)
-        vote_stream.start_vote_log(stream, log, marks).awaitTermination()
+        vote_stream.start_vote_log(stream, log, marks, **options).awaitTermination()
         got = vote_stream.current_votes(vote_stream.change_log(spark, log), table)
         want = votes.apply_votes(table, spark.createDataFrame(rows[:upto], schemas.VOTE_ACTIONS))
         assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
