@@ -131,6 +131,18 @@ def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
         fs.delete(draft_path, False)
 
 
+#: What an Arrow batch may hold where rows carry blocks of numbers.
+BATCH_BYTES = 8 * 1024 * 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of this session's Arrow batches, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete everything this application staged. Call it when the job is done with its results."""
     delete_path(spark, scratch_dir(spark))
