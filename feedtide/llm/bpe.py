@@ -27,7 +27,9 @@ from feedtide.llm.chunks import ChunkCache
 from feedtide.llm.common import kept_in_worker, lists, map_texts, small_batches
 
 #: Moves kept by one worker before it starts anew.
-MOVES = 200_000
+MOVES = 600_000
+#: What is live before the first byte and wherever a token must have ended: a start without tokens.
+_START = ((0, ()),)
 
 
 def read_ranks(path: str) -> bytes:
@@ -62,7 +64,9 @@ class Transducer:
         self.join: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self._compile(ranks)
-        self.apart: dict[tuple[int, int], bool] = {}
+        # Only what merges can make may come out.
+        self.token = {node: rank for node, rank in self.token.items() if rank in self.halves}
+        self.apart: dict[int, bool] = {}
         self._reset()
 
     def _compile(self, ranks: dict[bytes, int]) -> None:
@@ -104,19 +108,18 @@ class Transducer:
                 undone, right = right + 1, b
 
     def _may_follow(self, last: int, token: int) -> bool:
-        if token not in self.halves:
-            return False
         if last < 0:
             return True
-        known = self.apart.get((last, token))
+        pair = last << 32 | token
+        known = self.apart.get(pair)
         if known is None:
             if len(self.apart) > MOVES:
                 self.apart.clear()
-            known = self.apart[last, token] = self._stays(last, token)
+            known = self.apart[pair] = self._stays(last, token)
         return known
 
     def _reset(self) -> None:
-        start = (-1, ((0, ()),))
+        start = (-1, _START)
         self.numbers = {start: 0}
         self.states = [start]
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
@@ -137,15 +140,20 @@ class Transducer:
         if here is None:
             raise ValueError("the vocabulary lacks a single byte")
         # Chains form a tree; what the oldest start, the new end and all between share is decided.
-        shared = len(grown[0][1]) if grown else len(here)
-        for _, chain in (*grown, (0, here)):
-            while chain[:shared] != here[:shared]:
-                shared -= 1
-        out = here[:shared]
-        grown.append((0, here))
-        if shared:
-            last, grown = out[-1], [(node, chain[shared:]) for node, chain in grown]
-        key = (last, tuple(grown))
+        if not grown:
+            out, key = here, (here[-1], _START)
+        else:
+            shared = len(grown[0][1])
+            if shared:
+                for _, chain in grown:
+                    while chain[:shared] != here[:shared]:
+                        shared -= 1
+            grown.append((0, here))
+            out = here[:shared]
+            if shared:
+                key = (out[-1], tuple([(node, chain[shared:]) for node, chain in grown]))
+            else:
+                key = (last, tuple(grown))
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
@@ -179,7 +187,7 @@ def encoder(ranks: bytes, pattern: str) -> ChunkCache:
         made = (transducer.encode(piece.encode()) for piece in pieces)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in made]
 
-    return ChunkCache(pattern, matches, 250_000, 700_000)
+    return ChunkCache(pattern, matches, 160 * 1024 * 1024)
 
 
 class Utf8Stream:

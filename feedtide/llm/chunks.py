@@ -15,26 +15,62 @@ import regex
 _SPACE_BEFORE_WORD = re.compile(r" (?=\S)")
 
 
+class Memory:
+    """Ids of texts met before, within a bound of bytes: two generations, so that what is met often stays.
+
+    What is found in the old generation moves to the young one; when that is full it becomes the old one. Long texts are
+    hardly met again and are not kept.
+    """
+
+    LONGEST, ENTRY = 256, 200  # characters of a text that is kept; bytes an entry takes besides its text and ids
+
+    def __init__(self, most_bytes: int):
+        self.half, self.used = most_bytes // 2, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def put(self, texts: list[str], ids: list[bytes]) -> None:
+        if texts and max(map(len, texts)) > self.LONGEST:
+            kept = [(t, i) for t, i in zip(texts, ids) if len(t) <= self.LONGEST]
+            texts, ids = [t for t, _ in kept], [i for _, i in kept]
+        self.young.update(zip(texts, ids))
+        self.used += self.ENTRY * len(texts) + sum(map(len, texts)) + sum(map(len, ids))
+        if self.used > self.half:
+            self.old, self.young, self.used = self.young, {}, 0
+
+    def find(self, texts: set[str]) -> tuple[dict[str, bytes], list[str]]:
+        """What is known of these texts, and the texts that aren't."""
+        found = dict(zip(texts, map(self.young.get, texts)))
+        missing = [t for t, ids in found.items() if ids is None]
+        again = list(filter(self.old.__contains__, missing))
+        if again:
+            ids = list(map(self.old.__getitem__, again))
+            self.put(again, ids)
+            found.update(zip(again, ids))
+            missing = [t for t in missing if found[t] is None]
+        for t in missing:
+            del found[t]
+        return found, missing
+
+
 class ChunkCache:
     """Ids of texts as bytes of unsigned 32-bit integers. ``encode`` makes those of single matches of ``pattern``.
 
-    Chunks and matches met before are remembered, within a bound.
+    Chunks and matches met before are remembered, within a bound of bytes.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], entries: int, matches: int | None = None):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], most_bytes: int = 96 * 1024 * 1024):
         self.find = regex.compile(pattern).findall
-        self.encode_matches, self.entries, self.most_matches = encode, entries, matches or entries
-        self.chunks: dict[str, bytes] = {}
-        self.matches: dict[str, bytes] = {}
+        self.encode_matches = encode
+        self.chunks, self.matches = Memory(most_bytes // 2), Memory(most_bytes // 2)
 
     def encode(self, parts: list[str]) -> list[bytes]:
         """Ids of texts that are cut by the pattern alone."""
         found = list(map(self.find, parts))
-        known = self.matches
-        if len(known) > self.most_matches:
-            known.clear()
-        new = list({m for own in found for m in own if m not in known})
-        known.update(zip(new, self.encode_matches(new), strict=True))
+        known, new = self.matches.find({m for own in found for m in own})
+        made = self.encode_matches(new)
+        known.update(zip(new, made, strict=True))
+        self.matches.put(new, made)
         get = known.__getitem__
         return [get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for own in found]
 
@@ -56,29 +92,19 @@ class ChunkCache:
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > self.entries:
-            self.chunks.clear()
-        get = self.chunks.get
-        heads, bodies, new = [], [], set()
-        for text in texts:
-            parts = text.split(" ")
-            heads.append(parts[0])
-            body = list(map(get, parts))
-            body[0] = b""
-            # Where nothing is known yet, the chunk itself stands in for its ids.
-            for i in [i for i, ids in enumerate(body) if ids is None]:
-                body[i] = part = parts[i]
-                new.add(part)
-            bodies.append(body)
+        parts = [text.split(" ") for text in texts]
+        known, new = self.chunks.find({p for own in parts for p in own[1:]})
         # A part that is empty or starts with white space was cut at a space that starts no match.
         good = [p for p in new if p and not p[0].isspace()]
-        self.chunks.update(zip(good, self.encode([" " + p for p in good]), strict=True))
+        made = self.encode([" " + p for p in good])
+        known.update(zip(good, made, strict=True))
+        self.chunks.put(good, made)
+        get = known.__getitem__
         out = []
-        for text, head, body in zip(texts, self.encode(heads), bodies, strict=True):
+        for text, own, head in zip(texts, parts, self.encode([own[0] for own in parts]), strict=True):
             try:
-                body = [get(ids) if type(ids) is str else ids for ids in body] if new else body
-                out.append(head + b"".join(body))
-            except TypeError:  # a None among them
+                out.append(head + b"".join(map(get, own[1:])))
+            except KeyError:
                 first, *rest = _SPACE_BEFORE_WORD.split(text)
                 out.append(b"".join(self.encode([first, *(" " + r for r in rest)])))
         return out

@@ -14,6 +14,7 @@ each row is packed for itself; ties are broken by doc_id, piece, and checksum; l
 from __future__ import annotations
 
 import json
+import struct
 import zlib
 from dataclasses import dataclass
 
@@ -27,7 +28,6 @@ from feedtide.llm.common import kept_in_worker, lists, map_texts
 from feedtide.session import staged
 
 
-
 class RoomTree:
     """Segment tree over remaining capacities: how many open sequences have each, and the tightest fit."""
 
@@ -109,19 +109,33 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Run]:
     return plan
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE vocabularies write for each byte: printable ones stand for themselves."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class TextEncoder:
     """The tokenizer of a file's content, behind a memory of the chunks it has met.
 
-    The tokenizer cuts its added tokens out before anything else, so it gets texts that hold one whole.
+    A single match of the split pattern goes straight to the tokenizer's model, as letters for its bytes. The tokenizer
+    cuts its added tokens out before anything else, so it gets texts that hold one whole.
     """
 
     def __init__(self, content: str, pattern: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.cache = ChunkCache(pattern, self.whole, 200_000)
+        self.letters = _byte_letters()
+        self.cache = ChunkCache(pattern, self.matches)
         self.added = [t["content"] for t in json.loads(content).get("added_tokens") or [] if t["content"]]
 
+    def matches(self, parts: list[str]) -> list[bytes]:
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        made = (tokenize(p.encode().decode("latin-1").translate(letters)) for p in parts)
+        return [struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]) for tokens in made]
+
     def whole(self, parts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
