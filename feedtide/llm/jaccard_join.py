@@ -9,13 +9,17 @@ when 100 * intersection >= ``percent`` * union. Then each has a token of the oth
    classes in question are all that is shipped for it.
 3. The shingle sets of what is left are compared.
 
-All orders put tokens first that are known to be in one text only, and tokens that very many texts share last, which
-keeps common passages out of the prefixes; the others go by a hash of their own. See ``Orders`` for what is counted.
+All orders put tokens first that are known to be in one text only or few, and tokens that many texts share last, which
+keeps common passages out of the prefixes; within that they go by a hash of their own. See ``Orders`` for what is counted.
 Any fixed order is right, so neither the sample nor the size of its map can cost a link.
 
-Large groups. A group of m near copies has m² pairs, so pairs are looked for in two rounds. First every class is paired
-with the smallest class of one token group, and the links found give components. Then a token group yields only pairs
-of classes from different components. No link between components is lost, and within a component links tell nothing.
+Places. Two sets can share no more than their first common token and the shorter of what follows it in either, so a pair
+is looked at only where that may be enough.
+
+Large groups. A group of m near copies has m² pairs, so they are looked for in rounds. First every class is paired with
+one hub of its token groups that it isn't tied to yet, a new hub in each round, and the links found give components,
+until a round finds none or ``HUB_ROUNDS`` are over. Then a token group yields only pairs of classes from different
+components, all of them. No link between components is lost, and within a component links tell nothing.
 
 Defined results: a document without words is linked with nothing; with fewer than ``width`` words, all of them are one
 shingle. Rows may share a doc_id or have none: each row gets the component of its text, whose id is the smallest
@@ -37,6 +41,10 @@ from feedtide.session import staged
 HOT_SHARE = 1000
 #: One in so many tokens is counted exactly.
 SAMPLED = 4
+#: A counted token is alone, rare or frequent: in one text, up to so many, or more.
+LEVELS = (1, 8)
+#: Rounds in which classes meet one hub each, before all that may still link are paired.
+HUB_ROUNDS = 8
 #: Seeds of the orders: the first is joined on, the others filter its pairs.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _STEP = np.uint64(0x2545F4914F6CDD1D)
@@ -88,32 +96,39 @@ def signature(tokens: np.ndarray) -> int:
 
 
 class Orders:
-    """What the token orders know: the frequencies of hot tokens, and which sampled tokens are in more than one text.
+    """What the token orders know: the frequencies of hot tokens, and how many texts sampled tokens are in.
 
-    Tokens whose hash is a multiple of ``SAMPLED`` are counted one by one, so one that is not in the map of repeated
-    ones is in no other text. Such tokens come first, the hot ones last, most frequent ones at the very end.
+    Tokens whose hash is a multiple of ``SAMPLED`` are counted one by one; the maps tell which of them are in more than
+    ``LEVELS`` texts. One in no map is in no other text. Such tokens come first, then rare ones, those not counted, those
+    counted as frequent, and the hot ones last, most frequent ones at the very end.
     """
 
-    def __init__(self, known: np.ndarray, frequency: np.ndarray, repeated: np.ndarray):
-        self.known, self.frequency, self.repeated = known, frequency, repeated
+    def __init__(self, known: np.ndarray, frequency: np.ndarray, maps: list[np.ndarray]):
+        self.known, self.frequency, self.maps = known, frequency, maps
+
+    def heat(self, tokens: np.ndarray) -> np.ndarray:
+        """What tokens are sorted by: 0 if alone, 1 if rare, 2 if not counted, 3 if frequent, more if hot."""
+        counted = tokens % np.uint64(SAMPLED) == 0
+        levels = sum(in_map(bits, _signed(tokens)).astype(np.int64) for bits in self.maps)
+        heat = np.where(counted, np.array([0, 1, 3])[levels], 2)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, tokens), len(self.known) - 1)
+            heat = np.where(self.known[at] == tokens, self.frequency[at] + 3, heat)
+        return heat
 
-    def alone(self, tokens: np.ndarray) -> np.ndarray:
-        return (tokens % np.uint64(SAMPLED) == 0) & ~in_map(self.repeated, _signed(tokens))
+    def prefix(self, tokens: np.ndarray, percent: int, order: int) -> tuple[np.ndarray, int]:
+        """The first tokens under an order, but those that are in no other text, and the number of these.
 
-    def prefix(self, tokens: np.ndarray, percent: int, order: int) -> np.ndarray:
-        """The first tokens under an order, but those that are in no other text: they can't be shared."""
+        Tokens in no other text can't be shared; they come first, so a token's place is its place here plus their number.
+        """
         take = len(tokens) - -(-percent * len(tokens) // 100) + 1
-        alone = self.alone(tokens)
-        take -= int(alone.sum())
+        heat = self.heat(tokens)
+        alone = int((heat == 0).sum())
+        take -= alone
         if take <= 0:
-            return tokens[:0]
-        tokens = tokens[~alone]
-        key = _mixed(tokens ^ np.uint64(order))
-        if not len(self.known):
-            return tokens[np.argsort(key)[:take]]
-        at = np.minimum(np.searchsorted(self.known, tokens), len(self.known) - 1)
-        heat = np.where(self.known[at] == tokens, self.frequency[at], 0)
-        return tokens[np.lexsort((key, heat))[:take]]
+            return tokens[:0], alone
+        tokens, heat = tokens[heat > 0], heat[heat > 0]
+        return tokens[np.lexsort((_mixed(tokens ^ np.uint64(order)), heat))[:take]], alone
 
 
 def _signed(tokens: np.ndarray) -> np.ndarray:
@@ -156,37 +171,42 @@ def classes(docs: DataFrame, width: int, keep: tuple[str, ...]) -> DataFrame:
     )
 
 
-def orders(found: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def orders(found: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """What ``Orders`` needs, from stored ``classes``. Texts have a bounded mean length, so at most ``HOT_SHARE`` times that many tokens can be
-    in one of ``HOT_SHARE`` texts, whatever the number of texts; the map has a fixed size. Both are broadcast."""
+    in one of ``HOT_SHARE`` texts, whatever the number of texts; the maps have a fixed size. All are broadcast."""
     hot = found.select(F.inline("hot")).groupBy("token").agg(F.sum("texts").alias("texts"))
     hot = hot.where(F.col("texts") >= max(8, -(-rows // HOT_SHARE))).toArrow()
     tokens = hot["token"].to_numpy().view(np.uint64)
     by = np.argsort(tokens)
     counted = found.select(F.inline("counted")).groupBy("token").agg(F.sum("classes").alias("classes"))
-    repeated = bit_map(counted.where("classes > 1"), "token")
-    return tokens[by], hot["texts"].to_numpy()[by], repeated
+    counted = staged(counted.where("classes > 1"), "repeated-tokens")
+    maps = [bit_map(counted.where(F.col("classes") > level), "token") for level in LEVELS]
+    return tokens[by], hot["texts"].to_numpy()[by], maps
 
 
 def _prefix_rows(docs: DataFrame, width: int, percent: int, hot) -> DataFrame:
-    """``token, sig, n``: the prefix tokens of every class under the first order (again for each batch it is in)."""
+    """``token, sig, n, rest``: the prefix tokens of every class under the first order (again for each batch it is in).
+
+    ``rest`` counts the tokens that come after this one in its class."""
 
     def work(texts, batch):
         sets = {signature(s): s for s in shingle_sets(texts, width) if len(s)}
         known = Orders(*hot.value)
         firsts = [known.prefix(s, percent, ORDERS[0]) for s in sets.values()]
-        sizes = [len(f) for f in firsts]
+        sizes = [len(f) for f, _ in firsts]
+        rests = [len(s) - 1 - alone - np.arange(len(f)) for s, (f, alone) in zip(sets.values(), firsts)]
         rows = pa.StructArray.from_arrays(
             [
-                pa.array(_signed(np.concatenate([*firsts, np.zeros(0, np.uint64)]))),
+                pa.array(_signed(np.concatenate([*(f for f, _ in firsts), np.zeros(0, np.uint64)]))),
                 pa.array(np.repeat(np.array(list(sets), np.int64), sizes)),
                 pa.array(np.repeat(np.array([len(s) for s in sets.values()], np.int64), sizes)),
+                pa.array(np.concatenate([*rests, np.zeros(0, np.int64)])),
             ],
-            names=["token", "sig", "n"],
+            names=["token", "sig", "n", "rest"],
         )
         return [lists(rows, [len(rows)] + [0] * (len(texts) - 1))] if texts else [lists(rows, [])]
 
-    made = map_texts(docs, [], "rows array<struct<token:bigint,sig:bigint,n:bigint>>", work)
+    made = map_texts(docs, [], "rows array<struct<token:bigint,sig:bigint,n:bigint,rest:bigint>>", work)
     return made.select(F.inline("rows"))
 
 
@@ -207,7 +227,7 @@ def _sets(docs: DataFrame, width: int, percent: int, hot, wanted: DataFrame) ->
             own = []
             if wanted and len(tokens) and sig not in found:
                 found.add(sig)
-                prefixes = [_signed(known.prefix(tokens, percent, order)) for order in ORDERS[1:]]
+                prefixes = [_signed(known.prefix(tokens, percent, order)[0]) for order in ORDERS[1:]]
                 own = [{"sig": sig, "n": len(tokens), "tokens": _signed(tokens), "prefixes": prefixes}]
             out.append(own)
         return [pa.array(out, kind)]
@@ -223,6 +243,16 @@ def _similar_size(a: str, b: str, percent: int):
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
+def _may_overlap(n1: str, rest1: str, n2: str, rest2: str, percent: int):
+    """Whether two sets whose first shared token leaves them these many tokens may share enough.
+
+    They share that token and what is left of the shorter rest at most, and need percent / (100 + percent) of both sizes.
+    Of the tokens that two sets share in their prefixes, at least the first one passes. The token must be among the
+    smaller set's first that leave room for as much, too, which this bound implies.
+    """
+    return ((100 + percent) * (1 + F.least(rest1, rest2))) >= (percent * (F.col(n1) + F.col(n2)))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links among ``pairs`` (``a``, ``b``)."""
 
@@ -247,35 +277,53 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[s
     hot = spark.sparkContext.broadcast(orders(found, members.count()))
     rows = staged(_prefix_rows(docs, width, percent, hot), "prefix-tokens")
 
-    # Token groups of two classes or more; the smallest class of each is its hub.
-    hubs = rows.groupBy("token").agg(F.min(F.struct("sig", "n")).alias("h"), F.max("sig").alias("top"))
-    hubs = hubs.where(F.col("h.sig") != F.col("top")).select("token", F.col("h.sig").alias("hub"), F.col("h.n").alias("hub_n"))
-    tied = staged(rows.join(hubs, "token").distinct(), "shared-prefix-tokens")
+    # Token groups of two classes or more.
+    shared = rows.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("top")).where("low <> top")
+    tied = staged(rows.distinct().join(shared.select("token"), "token", "left_semi"), "shared-prefix-tokens")
     sets = staged(_sets(docs, width, percent, hot, tied), "shingle-sets")
 
-    # First round: each class with the hub it shares most tokens with.
-    stars = tied.where((F.col("sig") != F.col("hub")) & _similar_size("n", "hub_n", percent))
-    stars = stars.groupBy("sig", "hub").agg(F.count("*").alias("shared"))
-    stars = stars.groupBy("sig").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
-    links = staged(_verified(stars.select(F.col("sig").alias("a"), F.col("hub").alias("b")), sets, percent), "links")
-    groups = connected(links)
-
-    # Second round: pairs of classes of different components.
+    # First rounds: in each token group every class meets one hub, another one in each round, if they aren't tied yet.
+    links = spark.createDataFrame([], "a long, b long")
+    groups = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for turn in range(HUB_ROUNDS):
+        own = groups.select(F.col("node").alias("sig"), "component")
+        known = tied.join(own, "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
+        known = staged(known, "tokens-by-component")
+        parted = known.groupBy("token").agg(
+            F.min("c").alias("x"), F.max("c").alias("y"),
+            F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("by"), "sig", "n", "rest", "c")).alias("h"),
+        )
+        parted = parted.where("x <> y").select(
+            "token", F.col("h.sig").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.rest").alias("hub_rest"), F.col("h.c").alias("hub_c")
+        )
+        met = known.join(parted, "token").where(F.col("c") != F.col("hub_c"))
+        met = met.where(_similar_size("n", "hub_n", percent) & _may_overlap("n", "rest", "hub_n", "hub_rest", percent))
+        # Of all hubs it meets, each class takes the one it shares most tokens with.
+        stars = met.groupBy("sig", "hub").agg(F.count("*").alias("shared"))
+        stars = stars.groupBy("sig").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
+        new = staged(_verified(stars.select(F.col("sig").alias("a"), F.col("hub").alias("b")), sets, percent), "links")
+        if new.isEmpty():
+            break
+        groups = connected(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
+
+    # Last round: all pairs of classes of different components that share a token and may overlap enough.
     own = groups.select(F.col("node").alias("sig"), "component")
-    tied = tied.join(own, "sig", "left").select("token", "sig", "n", F.coalesce("component", "sig").alias("c"))
+    tied = tied.join(own, "sig", "left").select("token", "sig", "n", "rest", F.coalesce("component", "sig").alias("c"))
     tied = staged(tied, "tokens-by-component")
-    kinds = tied.groupBy("token", "c").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    kinds = tied.groupBy("token", "c").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
     mixed = kinds.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("token")
     kinds = staged(kinds.join(mixed, "token", "left_semi"), "mixed-tokens")
-    left = kinds.select("token", F.col("c").alias("c1"), F.col("low").alias("low1"), F.col("high").alias("high1"))
-    right = kinds.select("token", F.col("c").alias("c2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    met = left.join(right, "token").where("c1 < c2").where(
-        f"100 * high1 >= {percent} * low2 AND 100 * high2 >= {percent} * low1"
+    side = lambda i: kinds.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("c", "low", "high", "rest")])
+    met = side(1).join(side(2), "token").where("c1 < c2").where(
+        F.expr(f"100 * high1 >= {percent} * low2 AND 100 * high2 >= {percent} * low1")
+        & _may_overlap("low1", "rest1", "low2", "rest2", percent)
     )
     met = met.select("token", "c1", "c2")
-    first = tied.select("token", F.col("c").alias("c1"), F.col("sig").alias("a"), F.col("n").alias("n1"))
-    second = tied.select("token", F.col("c").alias("c2"), F.col("sig").alias("b"), F.col("n").alias("n2"))
-    pairs = met.join(first, ["token", "c1"]).join(second, ["token", "c2"]).where(_similar_size("n1", "n2", percent))
+    part = lambda i, name: tied.select(
+        "token", F.col("c").alias(f"c{i}"), F.col("sig").alias(name), F.col("n").alias(f"n{i}"), F.col("rest").alias(f"rest{i}")
+    )
+    pairs = met.join(part(1, "a"), ["token", "c1"]).join(part(2, "b"), ["token", "c2"])
+    pairs = pairs.where(_similar_size("n1", "n2", percent) & _may_overlap("n1", "rest1", "n2", "rest2", percent))
     pairs = staged(pairs.select("a", "b").distinct(), "candidate-pairs")
     more = _verified(pairs, sets, percent)
     groups = connected(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
