@@ -27,7 +27,7 @@ from feedtide.llm.chunks import ChunkCache
 from feedtide.llm.common import kept_in_worker, lists, map_texts, small_batches
 
 #: Moves kept by one worker before it starts anew.
-MOVES = 600_000
+MOVES = 250_000
 #: What is live before the first byte and wherever a token must have ended: a start without tokens.
 _START = ((0, ()),)
 
@@ -187,7 +187,7 @@ def encoder(ranks: bytes, pattern: str) -> ChunkCache:
         made = (transducer.encode(piece.encode()) for piece in pieces)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in made]
 
-    return ChunkCache(pattern, matches, 160 * 1024 * 1024)
+    return ChunkCache(pattern, matches, 112 * 1024 * 1024)
 
 
 class Utf8Stream:

@@ -59,7 +59,7 @@ class ChunkCache:
     Chunks and matches met before are remembered, within a bound of bytes.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], most_bytes: int = 96 * 1024 * 1024):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], most_bytes: int = 64 * 1024 * 1024):
         self.find = regex.compile(pattern).findall
         self.encode_matches = encode
         self.chunks, self.matches = Memory(most_bytes // 2), Memory(most_bytes // 2)
