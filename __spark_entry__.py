@@ -22,7 +22,7 @@ from feedtide.functions.text import path_key  # noqa: E402
 from feedtide.operators import density, matrix, quality, tfidf, timeline, votes  # noqa: E402
 from feedtide.plans import scoring, trends  # noqa: E402
 from feedtide.session import fresh_dir, staged  # noqa: E402
-from feedtide.sinks import commits, tables as sinks  # noqa: E402
+from feedtide.sinks import commits, layout, tables as sinks  # noqa: E402
 from feedtide.sources import feeds  # noqa: E402
 from feedtide.sources.items import distinct_items, keyed_documents, scored_terms  # noqa: E402
 from feedtide.streaming import ingest as stream_ingest  # noqa: E402
@@ -356,6 +356,26 @@ def _timeline_with_votes(spark, sf_dir):
     )
 
 
+def _by_user(rows: DataFrame, label: str, *then: str) -> DataFrame:
+    """A table written in user buckets."""
+    layout.co_located(rows.sparkSession)
+    return layout.write_by_user(rows, fresh_dir(rows.sparkSession, label), then)
+
+
+def _voted_list_by_user(spark, sf_dir):
+    """The votes as a per-user table; its readers are dealt to its buckets."""
+    return _votes_shape(votes.voted_list(_by_user(_item_votes(spark, sf_dir), "votes", "uriCreatedAt"), _readers(spark, sf_dir)))
+
+
+def _timeline_with_votes_by_user(spark, sf_dir):
+    """Timelines and votes as per-user tables, which meet bucket by bucket."""
+    rows = _by_user(_user_items(spark, sf_dir), "timelines", "dateTime")
+    met = timeline.with_votes(rows, _by_user(_item_votes(spark, sf_dir), "votes", "uriCreatedAt"))
+    return met.select(
+        "user_id", "feed_uri", "uri", "title", F.col("state").cast("long").alias("state"), "doc_id", _us("dateTime")
+    )
+
+
 def _votes_shape(rows):
     return rows.select(
         "user_id", "doc_id", "uri", "title", F.col("state").cast("long").alias("state"), _us("uriCreatedAt")
@@ -462,14 +482,17 @@ def _stream_votes(spark, sf_dir):
 
 
 def _stream_timelines(spark, sf_dir):
-    """Subscriptions streamed in; the timelines of the users they touch are rebuilt."""
+    """Subscriptions and items streamed in, in three runs: both sides bring rows that meet what came before."""
     base = fresh_dir(spark, "stream-timelines")
-    _feed_uris(spark, sf_dir).write.parquet(f"{base}/feed_uris")
-    items = _feed_items(spark, sf_dir)
-    stream_timeline.start_live_timelines(
-        spark, f"{base}/feed_uris", items, f"{base}/view", f"{base}/marks"
-    ).awaitTermination()
-    return stream_timeline.current_timelines(spark, f"{base}/view").select("user_id", "feed_uri", "uri", _us("dateTime"))
+    sides = {"subscriptions": _feed_uris(spark, sf_dir), "items": _feed_items(spark, sf_dir)}
+    for parts in ({"subscriptions": (0,), "items": (1, 2)}, {"subscriptions": (1,), "items": (0,)}, {"subscriptions": (2,), "items": ()}):
+        for name, rows in sides.items():
+            part = F.pmod(F.xxhash64("feed_id" if name == "subscriptions" else "uri"), F.lit(3))
+            rows.where(part.isin(*parts[name])).write.mode("append").parquet(f"{base}/{name}")
+        stream_timeline.start_live_timelines(
+            spark, f"{base}/subscriptions", f"{base}/items", f"{base}/timelines", f"{base}/marks"
+        ).awaitTermination()
+    return stream_timeline.current_timelines(spark, f"{base}/timelines").select("user_id", "feed_uri", "uri", _us("dateTime"))
 
 
 def _uri_terms(spark, sf_dir):
@@ -587,6 +610,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "user_id", "uri", _us("uriCreatedAt"), "n_votes"
         ),
         "voted_list": lambda s, d: _votes_shape(votes.voted_list(_item_votes(s, d), _readers(s, d))),
+        "voted_list_by_user": _voted_list_by_user,
+        "timeline_with_votes_by_user": _timeline_with_votes_by_user,
         "access_check": _access_check,
         "untimed_items": lambda s, d: timeline.untimed_items(_feed_items(s, d)).select("feed_uri", "title", "uri"),
         "timeline": lambda s, d: timeline.timeline(_user_items(s, d)).select("user_id", "feed_uri", "uri", _us("dateTime")),
@@ -881,9 +906,11 @@ def oracle_sql() -> dict[str, str]:
         + 'SELECT user_id, uri, epoch_us(made) AS "uriCreatedAt", count(*) AS n_votes FROM svotes GROUP BY ALL HAVING count(*) > 1',
         "untimed_items": events + "SELECT feed_uri, title, uri FROM fitems WHERE dt IS NULL",
         "untitled_documents": "SELECT DISTINCT doc_id::varchar AS uri, 'null_title' AS reason FROM documents WHERE text IS NULL",
-        "voted_list": events
-        + 'SELECT user_id, doc_id, uri, title, state::bigint AS state, epoch_us(made) AS "uriCreatedAt" FROM ivotes '
-        "WHERE user_id IN (SELECT user_id FROM ev WHERE event_type = 'view') ORDER BY user_id, made, doc_id",
+        **dict.fromkeys(
+            ("voted_list", "voted_list_by_user"),
+            events + 'SELECT user_id, doc_id, uri, title, state::bigint AS state, epoch_us(made) AS "uriCreatedAt" FROM ivotes '
+            "WHERE user_id IN (SELECT user_id FROM ev WHERE event_type = 'view') ORDER BY user_id, made, doc_id",
+        ),
         "access_check": events
         + "SELECT event_id, CASE WHEN event_type <> 'view' AND user_id = k::varchar THEN 1 ELSE 0 END::bigint AS allowed FROM ev",
         "timeline": events + 'SELECT user_id, feed_uri, uri, epoch_us(dt) AS "dateTime" FROM tl ORDER BY user_id, dt DESC, uri',
@@ -893,9 +920,11 @@ def oracle_sql() -> dict[str, str]:
         "votes_since_oldest_item": events
         + 'SELECT v.user_id, v.doc_id, v.uri, v.title, v.state::bigint AS state, epoch_us(v.made) AS "uriCreatedAt" '
         "FROM ivotes v JOIN (SELECT user_id, min(dt) AS oldest FROM tl GROUP BY user_id) o ON v.user_id = o.user_id WHERE v.made >= o.oldest",
-        "timeline_with_votes": events
-        + "SELECT t.user_id, t.feed_uri, t.uri, coalesce(v.title, t.title) AS title, coalesce(v.state, 0)::bigint AS state, "
-        'v.doc_id, epoch_us(t.dt) AS "dateTime" FROM tl t LEFT JOIN ivotes v ON t.user_id = v.user_id AND t.uri = v.uri AND t.dt = v.made',
+        **dict.fromkeys(
+            ("timeline_with_votes", "timeline_with_votes_by_user"),
+            events + "SELECT t.user_id, t.feed_uri, t.uri, coalesce(v.title, t.title) AS title, coalesce(v.state, 0)::bigint AS state, "
+            'v.doc_id, epoch_us(t.dt) AS "dateTime" FROM tl t LEFT JOIN ivotes v ON t.user_id = v.user_id AND t.uri = v.uri AND t.dt = v.made',
+        ),
         "stream_ingest": landed
         + f"{_FETCHED} SELECT url AS link, title, self_url AS \"feedUrl\", strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') AS \"isoDate\", "
         f"CASE WHEN rss THEN CASE WHEN changed THEN 'new ' ELSE '' END || lang END AS creator FROM fetched WHERE {usable}",

@@ -8,6 +8,9 @@ and tries again on top of it. Folders have random names and are never changed, s
 A delta holds whole rows of some keys, and replaces or (``_gone``) deletes them. Readers join the base against the keys
 of the deltas, which is a map-side join as long as the deltas are small, and a later delta wins over an earlier one.
 Once the deltas hold more than a share of the base's bytes they are folded into a new base.
+
+A table without keys can be appended to: parts are added to its base, and folded into it when there are many. It may be
+cut into hash slots, which are Parquet partitions, so that readers of a few keys open the files of few slots.
 """
 
 from __future__ import annotations
@@ -21,10 +24,13 @@ from dataclasses import asdict, dataclass, field, replace as changed
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from feedtide.session import child_names, delete_path, folder_bytes, modified_at, path_exists, put_if_absent, read_text
 
-GONE = "_gone"
+GONE, SLOT = "_gone", "_slot"
+#: Hash slots of a table, and parts that one may have before they are folded.
+SLOTS, MOST_PARTS = 64, 32
 DAY = 24 * 3600.0
 ATTEMPTS = 100
 
@@ -40,9 +46,11 @@ class Version:
     number: int = 0
     base: str | None = None
     deltas: tuple[str, ...] = ()
+    parts: tuple[str, ...] = ()
     keys: tuple[str, ...] = ()
     marks: dict[str, int] = field(default_factory=dict)
     at: float = 0.0
+    schema: str | None = None  # of a table that is appended to: a part may be empty
 
 
 def _entries(spark: SparkSession, path: str) -> list[int]:
@@ -64,7 +72,7 @@ def version(spark: SparkSession, path: str, number: int | None = None) -> Versio
         if not number:
             return Version()
     said = json.loads(read_text(spark, _entry(path, number)))
-    return Version(**{**said, "deltas": tuple(said["deltas"]), "keys": tuple(said["keys"])})
+    return Version(**{k: tuple(v) if isinstance(v, list) else v for k, v in said.items()})
 
 
 def commit(spark: SparkSession, path: str, change: Callable[[Version], Version | None]) -> Version:
@@ -84,9 +92,15 @@ def commit(spark: SparkSession, path: str, change: Callable[[Version], Version |
     raise Conflict(f"{path}: {ATTEMPTS} other commits came first")
 
 
+def slot(column: str | Column, slots: int = SLOTS) -> Column:
+    """The hash slot of a key."""
+    return F.pmod(F.xxhash64(column), F.lit(slots)).cast("int")
+
+
 def _write(rows: DataFrame, path: str, kind: str) -> str:
     name = f"{kind}-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{path}/{name}")
+    cut = [SLOT] if SLOT in rows.columns else []
+    rows.write.partitionBy(*cut).parquet(f"{path}/{name}")
     return name
 
 
@@ -117,7 +131,7 @@ def upsert(
     ``mark`` (name, batch) makes a stream's batch count once, however often it is tried.
     """
     spark, path = rows.sparkSession, path.rstrip("/")
-    if mark and version(spark, path).marks.get(mark[0], -1) >= mark[1]:
+    if taken_in(spark, path, mark):
         return version(spark, path)
     if GONE not in rows.columns:
         rows = rows.withColumn(GONE, F.lit(False))
@@ -140,6 +154,30 @@ def upsert(
     return new
 
 
+def append(rows: DataFrame, path: str, mark: tuple[str, int] | None = None, most_parts: int = MOST_PARTS) -> Version:
+    """Add rows to a table without keys. A column ``_slot`` cuts it into partitions. ``mark`` as in ``upsert``."""
+    spark, path = rows.sparkSession, path.rstrip("/")
+    if taken_in(spark, path, mark):
+        return version(spark, path)
+    part = _write(rows, path, "part")
+
+    def add(last: Version) -> Version | None:
+        if last.keys:
+            raise ValueError(f"{path} is keyed by {last.keys}")
+        if mark and last.marks.get(mark[0], -1) >= mark[1]:
+            return None
+        marks = last.marks | ({mark[0]: mark[1]} if mark else {})
+        return changed(last, parts=(*last.parts, part), marks=marks, schema=last.schema or rows.schema.json())
+
+    new = commit(spark, path, add)
+    return compact(spark, path) if len(new.parts) > most_parts else new
+
+
+def taken_in(spark: SparkSession, path: str, mark: tuple[str, int] | None) -> bool:
+    """Whether a stream's batch is in the table already."""
+    return mark is not None and version(spark, path).marks.get(mark[0], -1) >= mark[1]
+
+
 def update(path: str, spark: SparkSession, keys: Sequence[str], rows_of: Callable[[DataFrame], DataFrame], **options) -> Version:
     """Publish ``rows_of`` the current table as a delta; computed anew if another writer publishes meanwhile."""
     for _ in range(ATTEMPTS):
@@ -170,9 +208,11 @@ def read(spark: SparkSession, path: str, of: Version | int | None = None) -> Dat
     """The rows of a version, the newest one if not said."""
     path = path.rstrip("/")
     of = of if isinstance(of, Version) else version(spark, path, of)
-    if of.base is None and not of.deltas:
+    if of.base is None and not of.deltas and not of.parts:
         raise FileNotFoundError(f"no table has been published at {path}")
-    base = None if of.base is None else spark.read.parquet(f"{path}/{of.base}")
+    reader = spark.read.schema(StructType.fromJson(json.loads(of.schema))) if of.schema else spark.read
+    whole = [reader.parquet(f"{path}/{f}") for f in ([of.base] if of.base else []) + list(of.parts)]
+    base = functools.reduce(lambda a, b: a.unionByName(b), whole) if whole else None
     if not of.deltas:
         return base
     newest = _newest(spark, path, of)
@@ -199,14 +239,15 @@ def compact(spark: SparkSession, path: str) -> Version:
     """Fold the deltas of the newest version into a new base. Deltas that others add meanwhile stay on top of it."""
     path = path.rstrip("/")
     seen = version(spark, path)
-    if not seen.deltas:
+    if not seen.deltas and not seen.parts:
         return seen
     base = _write(read(spark, path, seen), path, "base")
 
     def fold(last: Version) -> Version | None:
-        if last.base != seen.base or last.deltas[: len(seen.deltas)] != seen.deltas:
+        n, m = len(seen.deltas), len(seen.parts)
+        if last.base != seen.base or last.deltas[:n] != seen.deltas or last.parts[:m] != seen.parts:
             return None  # another base was published: it stands
-        return changed(last, base=base, deltas=last.deltas[len(seen.deltas) :])
+        return changed(last, base=base, deltas=last.deltas[n:], parts=last.parts[m:])
 
     new = commit(spark, path, fold)
     if new.base != base:
@@ -225,10 +266,10 @@ def clean(spark: SparkSession, path: str, older_than: float = DAY) -> list[str]:
     versions = [version(spark, path, n) for n in numbers]
     ended = [v.at for v in versions[1:]] + [float("inf")]  # when the next one came
     kept = [v for v, end in zip(versions, ended) if end > oldest]
-    named = {name for v in kept for name in (v.base, *v.deltas)}
+    named = {name for v in kept for name in (v.base, *v.deltas, *v.parts)}
     gone = []
     for name in child_names(spark, path):
-        if name.startswith(("base-", "delta-")) and name not in named and modified_at(spark, f"{path}/{name}") < oldest:
+        if name.startswith(("base-", "delta-", "part-")) and name not in named and modified_at(spark, f"{path}/{name}") < oldest:
             delete_path(spark, f"{path}/{name}")
             gone.append(name)
     for v in versions:

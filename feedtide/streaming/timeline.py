@@ -1,4 +1,17 @@
-"""Live timelines: whenever a user's subscriptions change, their timeline is rebuilt."""
+"""Live timelines, kept up to date by what changes on either side.
+
+A timeline row is a subscription meeting an item of its feed. A micro-batch brings new subscriptions, new items, or
+both, and adds exactly the rows that they make:
+
+    new subscriptions x items known before,  and  all subscriptions x new items.
+
+What is known before is kept in two tables cut into hash slots of the feed, and a batch opens only the slots of the feeds
+it brings, so it reads what grows with the change, not with the history. Its rows are appended to the view, which is cut
+into hash slots of the user; parts are folded when they are many (``sinks.commits``).
+
+A batch is committed to the view first and to the two tables after it, each once whatever is tried again, so a batch that
+fails in between is finished by its next attempt and no row is made twice.
+"""
 
 from __future__ import annotations
 
@@ -7,39 +20,69 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from feedtide.operators.timeline import user_items
-from feedtide.schemas import FEED_URIS
+from feedtide.schemas import FEED_ITEMS, FEED_URIS
+from feedtide.session import staged
+from feedtide.sinks import commits
+
+TABLES = ("subscriptions", "items")
+
+
+def _known(spark: SparkSession, path: str, like: DataFrame, slots: list[int]) -> DataFrame:
+    """Earlier rows of the feeds of some slots."""
+    if not commits.version(spark, path).number:
+        return like.limit(0)
+    return commits.read(spark, path).where(F.col(commits.SLOT).isin(slots)).select(*like.columns)
+
+
+def add_changes(subscriptions: DataFrame, items: DataFrame, path: str, mark: tuple[str, int]) -> None:
+    """Bring the timelines at ``path`` up to date with new subscriptions and new items, once for each ``mark``."""
+    spark = subscriptions.sparkSession
+    new = {
+        "subscriptions": staged(subscriptions.where("uri is not null"), "new-subscriptions"),
+        "items": staged(items.where("dateTime is not null and feed_uri is not null"), "new-items"),
+    }
+    by_feed = {"subscriptions": commits.slot("uri"), "items": commits.slot("feed_uri")}
+    view = f"{path}/view"
+    if not commits.taken_in(spark, view, mark):
+        touched = {n: [r[0] for r in new[n].select(by_feed[n]).distinct().collect()] for n in TABLES}  # a bounded number of slots
+        old_items = _known(spark, f"{path}/items", new["items"], touched["subscriptions"])
+        old_subscriptions = _known(spark, f"{path}/subscriptions", new["subscriptions"], touched["items"])
+        made = user_items(new["subscriptions"], old_items).unionByName(
+            user_items(old_subscriptions.unionByName(new["subscriptions"]), new["items"])
+        )
+        cut = made.withColumn(commits.SLOT, commits.slot("user_id"))
+        commits.append(cut.repartition(commits.SLOT, F.xxhash64("uri") % 8), view, mark)
+    for name in TABLES:
+        commits.append(new[name].withColumn(commits.SLOT, by_feed[name]), f"{path}/{name}", mark)
 
 
 def start_live_timelines(
-    spark: SparkSession, subscriptions_path: str, items: DataFrame, view_path: str, checkpoint: str
+    spark: SparkSession, subscriptions_path: str, items_path: str, path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Rebuild the timelines of the users each micro-batch touches, and no others.
+    """Take in what has come to the folders of subscriptions and items, then stop. Timelines and their state are at ``path``."""
 
-    A batch writes its own ``batch`` partition, replacing it when the batch is
-    retried, so a user's current timeline is the one of their latest batch.
-    """
+    def side(schema, folder: str, is_item: bool) -> DataFrame:
+        columns = [F.col(c).alias(f"{'item' if is_item else 'sub'}_{c}") for c in schema.names]
+        return spark.readStream.schema(schema).parquet(folder).select(F.lit(is_item).alias("is_item"), *columns)
 
-    def rebuild(changed: DataFrame, batch_id: int) -> None:
-        session = changed.sparkSession
-        touched = changed.select("user_id").distinct()
-        subscriptions = session.read.schema(FEED_URIS).parquet(subscriptions_path)
-        mine = subscriptions.join(touched, "user_id", "left_semi")
-        # A user without items gets a row of nulls, so that an older timeline is superseded.
-        rebuilt = touched.join(user_items(mine, items), "user_id", "left")
-        rebuilt.write.mode("overwrite").parquet(f"{view_path}/batch={batch_id}")
+    def add(batch: DataFrame, batch_id: int) -> None:
+        rows = staged(batch, "timeline-changes")
+        pick = lambda schema, prefix: [F.col(f"{prefix}_{c}").alias(c) for c in schema.names]
+        subscriptions = rows.where("not is_item").select(*pick(FEED_URIS, "sub"))
+        add_changes(subscriptions, rows.where("is_item").select(*pick(FEED_ITEMS, "item")), path, (checkpoint, batch_id))
 
+    changes = side(FEED_URIS, subscriptions_path, False).unionByName(side(FEED_ITEMS, items_path, True), allowMissingColumns=True)
     return (
-        spark.readStream.schema(FEED_URIS)
-        .parquet(subscriptions_path)
-        .writeStream.foreachBatch(rebuild)
+        changes.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def current_timelines(spark: SparkSession, view_path: str) -> DataFrame:
-    """(user_id, feed_uri, item_type, title, uri, dateTime) of every user's latest rebuild."""
-    view = spark.read.parquet(view_path)
-    latest = view.groupBy("user_id").agg(F.max("batch").alias("batch"))
-    return view.join(latest, ["user_id", "batch"], "left_semi").where("feed_uri is not null").drop("batch")
+def current_timelines(spark: SparkSession, path: str, user: str | None = None) -> DataFrame:
+    """(user_id, feed_uri, item_type, title, uri, dateTime) of all users, or of one, whose slot alone is read."""
+    rows = commits.read(spark, f"{path}/view")
+    if user is not None:
+        rows = rows.where((F.col(commits.SLOT) == commits.slot(F.lit(user))) & (F.col("user_id") == user))
+    return rows.drop(commits.SLOT)

@@ -19,6 +19,12 @@ CHECKED = (
     "vote_table",
     "stream_ingest",
     "stream_votes",
+    "stream_timelines",
+    "score_table_deltas",
+    "score_table_compacted",
+    "voted_list_by_user",
+    "timeline_with_votes_by_user",
+    "kde_score",
     "refused_subscriptions",
     "matrix_blocks",
     "pca_two_columns",

@@ -8,8 +8,9 @@ import pytest
 from feedtide import schemas
 from feedtide.operators import timeline, votes
 from feedtide.sources import feeds
-from feedtide.streaming import ingest, votes as vote_stream
-from feedtide.streaming.timeline import current_timelines, start_live_timelines
+from feedtide.sinks import commits
+from feedtide.streaming import ingest, timeline as live, votes as vote_stream
+from feedtide.streaming.timeline import add_changes, current_timelines, start_live_timelines
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -73,13 +74,47 @@ def test_votes_stream_equals_batch(spark, tmp_path, options):
 
 
 def test_live_timelines(spark, tmp_path):
-    items = spark.createDataFrame([(f"f{i}", feeds.RSS, f"t{i}", f"http://{i}", T0) for i in range(3)], schemas.FEED_ITEMS)
-    source, view, marks = (str(tmp_path / n) for n in ("subs", "view", "marks"))
-    steps = ([("u", "1", None, "f0", T0), ("v", "2", None, "f1", T0)], [("u", "3", None, "f2", T0)])
-    for step in steps:
-        spark.createDataFrame(step, schemas.FEED_URIS).coalesce(1).write.mode("append").parquet(source)
-        start_live_timelines(spark, source, items, view, marks).awaitTermination()
-    got = current_timelines(spark, view)
-    want = timeline.user_items(spark.read.parquet(source), items)
-    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
-    assert got.count() == 3
+    """New items reach old subscribers, and new subscribers old items; a batch tried again adds nothing."""
+    item = lambda feed, n: (f"f{feed}", feeds.RSS, f"t{n}", f"http://{n}", T0 + dt.timedelta(hours=n))
+    steps = [
+        ([("u", "1", None, "f0", T0), ("v", "2", None, "f1", T0)], [item(0, 0), item(2, 1)]),
+        ([("u", "3", None, "f2", T0), ("w", "4", None, None, T0)], []),
+        ([], [item(1, 2), item(0, 3), ("f0", feeds.RSS, "untimed", "http://x", None)]),
+        ([("v", "5", None, "f0", T0), ("u", "1", None, "f0", T0)], [item(0, 4)]),
+    ]
+    subs, items, view, marks = (str(tmp_path / n) for n in ("subs", "items", "view", "marks"))
+    spark.createDataFrame([], schemas.FEED_URIS).write.parquet(subs)
+    spark.createDataFrame([], schemas.FEED_ITEMS).write.parquet(items)
+    for new_subs, new_items in steps:
+        spark.createDataFrame(new_subs, schemas.FEED_URIS).coalesce(1).write.mode("append").parquet(subs)
+        spark.createDataFrame(new_items, schemas.FEED_ITEMS).coalesce(1).write.mode("append").parquet(items)
+        start_live_timelines(spark, subs, items, view, marks).awaitTermination()
+        got = current_timelines(spark, view)
+        want = timeline.user_items(spark.read.parquet(subs), spark.read.parquet(items))
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    rows = got.count()
+    assert rows == 11
+    last = spark.createDataFrame(steps[-1][0], schemas.FEED_URIS), spark.createDataFrame(steps[-1][1], schemas.FEED_ITEMS)
+    done = commits.version(spark, f"{view}/view").marks[marks]
+    add_changes(*last, view, (marks, done))
+    assert current_timelines(spark, view).count() == rows
+    mine = current_timelines(spark, view, "v")
+    assert {r.user_id for r in mine.collect()} == {"v"} and mine.count() == 4
+    plan = mine._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_slot" in plan  # one slot of users is read
+
+
+def test_a_batch_reads_the_slots_it_touches(spark, tmp_path):
+    view = str(tmp_path / "view")
+    subs = spark.createDataFrame([(f"u{i}", str(i), None, f"f{i}", T0) for i in range(200)], schemas.FEED_URIS)
+    items = spark.createDataFrame([(f"f{i}", feeds.RSS, "t", f"http://{i}", T0) for i in range(200)], schemas.FEED_ITEMS)
+    add_changes(subs, items, view, ("m", 0))
+    one = spark.createDataFrame([("f7", feeds.RSS, "new", "http://new", T0)], schemas.FEED_ITEMS)
+    slots = [r[0] for r in one.select(commits.slot("feed_uri")).collect()]
+    known = live._known(spark, f"{view}/subscriptions", subs, slots)
+    assert 0 < len(known.inputFiles()) and known.count() < 20
+    add_changes(subs.limit(0), one, view, ("m", 1))
+    assert current_timelines(spark, view, "u7").count() == 2 and current_timelines(spark, view).count() == 201
+    for batch in range(2, 5):
+        commits.append(commits.read(spark, f"{view}/items").limit(0), f"{view}/items", ("m", batch), most_parts=3)
+    assert len(commits.version(spark, f"{view}/items").parts) <= 3 and commits.read(spark, f"{view}/items").count() == 201
