@@ -18,7 +18,7 @@ is looked at only where that may be enough.
 
 Large groups. A group of m near copies has m² pairs, so they are looked for in rounds. First every class is paired with
 one hub of its token groups that it isn't tied to yet, a new hub in each round, and the links found give components,
-until a round finds none or ``HUB_ROUNDS`` are over. Then a token group yields only pairs of classes from different
+until a round finds few or ``HUB_ROUNDS`` are over. Then a token group yields only pairs of classes from different
 components, all of them. No link between components is lost, and within a component links tell nothing.
 
 Defined results: a document without words is linked with nothing; with fewer than ``width`` words, all of them are one
@@ -43,8 +43,9 @@ HOT_SHARE = 1000
 SAMPLED = 4
 #: A counted token is alone, rare or frequent: in one text, up to so many, or more.
 LEVELS = (1, 8)
-#: Rounds in which classes meet one hub each, before all that may still link are paired.
-HUB_ROUNDS = 8
+#: Rounds in which classes meet one hub each, before all that may still link are paired; the last is one in which no more
+#: than one in ``FEW_LINKS`` pairs links. They only spare work.
+HUB_ROUNDS, FEW_LINKS = 8, 10
 #: Seeds of the orders: the first is joined on, the others filter its pairs.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _STEP = np.uint64(0x2545F4914F6CDD1D)
@@ -301,10 +302,11 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[s
         # Of all hubs it meets, each class takes the one it shares most tokens with.
         stars = met.groupBy("sig", "hub").agg(F.count("*").alias("shared"))
         stars = stars.groupBy("sig").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
-        new = staged(_verified(stars.select(F.col("sig").alias("a"), F.col("hub").alias("b")), sets, percent), "links")
-        if new.isEmpty():
-            break
+        stars = staged(stars.select(F.col("sig").alias("a"), F.col("hub").alias("b")), "hub-pairs")
+        new = staged(_verified(stars, sets, percent), "links")
         groups = connected(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
+        if FEW_LINKS * new.count() <= stars.count():
+            break
 
     # Last round: all pairs of classes of different components that share a token and may overlap enough.
     own = groups.select(F.col("node").alias("sig"), "component")
