@@ -12,7 +12,8 @@ task's work and returns k rows a query, whose best k are found by an aggregate.
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither as queries
 nor as candidates; nor do rows without a vec_id or with another dimension than the queries'. Rows that share a vec_id
 are one candidate each; a query never finds rows of its own vec_id. Ties go to the smaller vec_id. Cosines are summed
-dimension by dimension in double precision, so equal vectors give equal scores.
+dimension by dimension in double precision, so equal vectors give equal scores; vectors of components beyond 1e70, or all
+below 1e-70, are scaled by a power of two first, so any finite vector has its cosine.
 """
 
 from __future__ import annotations
@@ -33,7 +34,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
-    return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine & some)
+    rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine & some)
+    # Squares of very large or small components leave the range of doubles. A power of two changes no cosine and no digit.
+    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
+    far = F.when(largest > 1e70, F.lit(2.0**-600)).when(largest < 1e-70, F.lit(2.0**600))
+    near = F.pow(F.lit(2.0), -F.floor(F.log2(largest * far)).cast("double"))  # takes the largest to between 1 and 2
+    scaled = F.when(far.isNotNull(), F.transform("embedding", lambda x: x * far * near)).otherwise(F.col("embedding"))
+    return rows.withColumn("embedding", scaled)
 
 
 def rotation(dimensions: int, seed: int = 11) -> np.ndarray:

@@ -202,9 +202,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model |
     for label in (0, 1):
         own = known.where(F.col("toxic") == label).orderBy(*hash_order("doc_id")).limit(per_class)
         chosen = own if chosen is None else chosen.unionByName(own)
-    # At most 2 * per_class ids, hence a broadcast.
+    # At most 2 * per_class ids, hence a broadcast; of texts that share a doc_id, the one of the least hash.
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return fit([(r.text, int(r.toxic)) for r in texts.limit(3 * per_class).collect()])
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return fit([(r.text, int(r.toxic)) for r in texts.collect()])
 
 
 def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

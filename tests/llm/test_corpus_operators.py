@@ -254,6 +254,17 @@ def _plain_byte_dedup(texts):
     return Counter((d, *out[d, t]) for d, t in texts)
 
 
+def test_search_of_extreme_vectors(spark):
+    rows = [(0, [1e-200, 1e-200]), (1, [1e200, 1.0]), (2, [3.0, 4.0]), (3, [5e-324, 0.0]), (4, [-1e308, 1e308]), (5, [0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in one_bit_search.nearest(frame, frame, k=5).collect()}
+    want = {0: (1, 1), 1: (1, 1e-200), 2: (3, 4), 3: (1, 0), 4: (-1, 1)}
+    assert set(got) == {(a, b) for a in want for b in want if a != b}
+    for (a, b), score in got.items():
+        (x, y), (u, v) = want[a], want[b]
+        assert score == pytest.approx((x * u + y * v) / (np.hypot(x, y) * np.hypot(u, v)), abs=1e-12)
+
+
 @pytest.mark.parametrize("most", [2048, 3])
 def test_byte_dedup(spark, none, most, monkeypatch):
     monkeypatch.setattr(repeated_bytes, "MOST_IN_SHARD", most)
