@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import sys
 import types
@@ -54,6 +55,21 @@ def hash_order(*columns: str) -> list[Column]:
     return [F.xxhash64(*columns), *(F.col(c) for c in columns)]
 
 
+def columns_apart(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage over documents that returns the columns it gets: others than its own are numbered while it runs.
+
+    So no extra column can clash with a name the stage uses, nor be changed by it.
+    """
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        names = [c if c in ("doc_id", "text", "n_chars") else f"extra{i}_" for i, c in enumerate(docs.columns)]
+        made = stage(docs.toDF(*names), *args, **options)
+        return made.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+
+    return run
+
+
 #: What an Arrow batch may hold: texts differ in length by a factor of thousands.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 * 1024 * 1024
 

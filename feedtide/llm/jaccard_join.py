@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedtide.llm.common import WORD, bit_map, in_map, kept_in_worker, lists, map_texts, row_key
+from feedtide.llm.common import WORD, bit_map, columns_apart, in_map, kept_in_worker, lists, map_texts, row_key
 from feedtide.llm.components import connected
 from feedtide.session import staged
 
@@ -345,6 +345,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[s
     )
 
 
+@columns_apart
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: the one of the smallest doc_id. Texts without words all stay."""
     keyed = docs.withColumn("row_", row_key())

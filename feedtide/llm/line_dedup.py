@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedtide.llm.common import WORD, bit_map, maybe_in
+from feedtide.llm.common import WORD, bit_map, columns_apart, maybe_in
 from feedtide.session import staged
 
 WINDOW = 2
@@ -136,6 +136,7 @@ def dedup(docs: DataFrame, cut: Callable[[DataFrame], DataFrame] = chunks) -> Da
     )
 
 
+@columns_apart
 def drop_repeated(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated passages; ``n_chars`` follows the text, and documents left without a word go."""
     made = dedup(docs, passages)

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedtide.llm.common import hash_order, held_out, kept_in_worker, map_texts
+from feedtide.llm.common import columns_apart, hash_order, held_out, kept_in_worker, map_texts
 
 WINDOW_WORDS = 6
 #: Optimal parsing and matches from 3 bytes on: windows are short, and so are words.
@@ -230,6 +230,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+@columns_apart
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with their columns."""
     columns = docs.columns

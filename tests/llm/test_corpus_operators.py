@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from feedtide.llm import jaccard_join, line_dedup, one_bit_search, queries, repeated_bytes, sharding
+from feedtide.llm import jaccard_join, line_dedup, one_bit_search, queries, repeated_bytes, secret_scan, sharding, toxicity
 from feedtide.llm.components import connected
 
 DATA = Path("/root/testdata/sf0.001")
@@ -280,6 +280,25 @@ def test_byte_dedup(spark, none, most, monkeypatch):
     assert repeated_bytes.without_repeats(none).count() == 0
 
 
+def test_stages_keep_clashing_columns(spark):
+    """Extra columns named like the stages' own come back as they were."""
+    names = ["score", "text_", "was_null_", "copies_", "same_", "row_", "cuts_", "cut_id_", "n_lines", "n_removed", "gone_", "sig"]
+    passage = "\n".join(f"line {k} of a passage that comes back" for k in range(6))
+    texts = [passage, f"own words here\n{passage}", "password = hunter2hunter2", None, "", "plain text of its own", passage]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"{n} string" for n in names]]))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    stages = (
+        lambda d: toxicity.drop_toxic(d, labels), line_dedup.drop_repeated, jaccard_join.drop_near_copies,
+        lambda d: secret_scan.redact(d, None),
+    )
+    for stage in stages:
+        made = stage(docs)
+        assert made.columns == docs.columns
+        for row in made.collect():
+            assert [row[n] for n in names] == [f"{n}{row.doc_id}" for n in names]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     sizes = [docs.count()]
