@@ -5,9 +5,8 @@ when 100 * intersection >= ``percent`` * union. Then each has a token of the oth
 ``n - ceil(percent * n / 100) + 1`` tokens, under any order of all tokens. Several orders are used:
 
 1. Under the first order, classes that share a prefix token are found by an equi-join on the token.
-2. Of the pairs found, only those stay that also share a prefix token under each of the other orders. Prefixes of the
-   classes in question are all that is shipped for it.
-3. The shingle sets of what is left are compared.
+2. Of the pairs found, only those stay that also share a prefix token under each of the other orders.
+3. The shingle sets of what is left are compared, in the same pass.
 
 All orders put tokens first that are known to be in one text only or few, and tokens that many texts share last, which
 keeps common passages out of the prefixes; within that they go by a hash of their own. See ``Orders`` for what is counted.
@@ -257,17 +256,16 @@ def _may_overlap(n1: str, rest1: str, n2: str, rest2: str, percent: int):
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links among ``pairs`` (``a``, ``b``)."""
 
-    def of(side: str, column: str) -> DataFrame:
-        return sets.select(F.col("sig").alias(side), F.col(column).alias(f"{column}_{side}"))
+    def of(side: str) -> DataFrame:
+        return sets.select(F.col("sig").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("prefixes", "tokens")])
 
-    near = pairs.join(of("a", "prefixes"), "a").join(of("b", "prefixes"), "b")
+    # Few pairs fail an order once places have been compared, so what a pair needs is sent once.
+    near = pairs.join(of("a"), "a").join(of("b"), "b")
     for i in range(len(ORDERS) - 1):
         near = near.where(F.arrays_overlap(F.get("prefixes_a", F.lit(i)), F.get("prefixes_b", F.lit(i))))
-    near = staged(near.select("a", "b"), "filtered-pairs")
-    both = near.join(of("a", "tokens"), "a").join(of("b", "tokens"), "b")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
     union = F.size("tokens_a") + F.size("tokens_b") - shared
-    return both.where(100 * shared >= percent * union).select("a", "b")
+    return near.where(100 * shared >= percent * union).select("a", "b")
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
