@@ -440,11 +440,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, row_, low, high``: byte spans to remove, overlapping ones among them. ``docs`` has ``row_``."""
     twice = _anchor_hashes(docs).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     twice = staged(twice, "repeated-hashes")
-    again = staged(_anchors_in(docs, twice, False).withColumn("where_", _order("place")), "repeated-anchors")
+    again = staged(_anchors_in(docs, twice, False), "repeated-anchors")
+    again = again.select("hash", "around", _order("place").alias("where_"), "low", "high")
     firsts = again.groupBy("hash", "around").agg(F.min("where_").alias("first"))
     firsts = staged(firsts, "first-surroundings")
     copies = again.join(firsts, ["hash", "around"]).where(F.col("where_") != F.col("first"))
-    copies = copies.where(f"high - low >= {LENGTH}").select("doc_id", "row_", "low", "high")
+    copies = copies.where(f"high - low >= {LENGTH}").select("where_.doc_id", "where_.row_", "low", "high")
 
     kinds = firsts.groupBy("hash").agg(F.count("*").alias("kinds")).where("kinds > 1")
     kinds = staged(kinds, "surroundings-by-hash")
