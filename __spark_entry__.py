@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from feedtide.functions.text import path_key  # noqa: E402
-from feedtide.operators import density, matrix, quality, tfidf, timeline, votes  # noqa: E402
+from feedtide.operators import density, factors, matrix, quality, tfidf, timeline, votes  # noqa: E402
 from feedtide.plans import scoring, trends  # noqa: E402
 from feedtide.session import fresh_dir, staged  # noqa: E402
-from feedtide.sinks import commits, layout, tables as sinks  # noqa: E402
+from feedtide.sinks import commits, layout, tables as sinks, zones  # noqa: E402
 from feedtide.sources import feeds  # noqa: E402
 from feedtide.sources.items import distinct_items, keyed_documents, scored_terms  # noqa: E402
 from feedtide.streaming import ingest as stream_ingest  # noqa: E402
@@ -376,6 +376,27 @@ def _timeline_with_votes_by_user(spark, sf_dir):
     )
 
 
+def _votes_since_oldest_item_by_zone(spark, sf_dir):
+    """The votes as a table cut by user and time, of which only parts that the timelines reach are opened."""
+    path = fresh_dir(spark, "votes-by-zone")
+    zones.write_by_zone(_item_votes(spark, sf_dir), path, "uriCreatedAt")
+    return _votes_shape(
+        timeline.stored_votes_since_oldest_item(_feed_uris(spark, sf_dir), _feed_items(spark, sf_dir), path)
+    )
+
+
+def _fan_out_feed_totals(spark, sf_dir):
+    rows = factors.feed_totals(factors.factorise(_scores(spark, sf_dir)))
+    return rows.select(
+        "feedUrl", "n_words", "n_rows", F.round("tfidf_sum", 6).alias("tfidf_sum"), _r9("tfidf_min"), _r9("tfidf_max")
+    )
+
+
+def _fan_out_document_totals(spark, sf_dir):
+    rows = factors.document_totals(factors.factorise(_scores(spark, sf_dir)))
+    return rows.select("uri", "n_words", "n_rows", F.round("tfidf_sum", 6).alias("tfidf_sum"))
+
+
 def _votes_shape(rows):
     return rows.select(
         "user_id", "doc_id", "uri", "title", F.col("state").cast("long").alias("state"), _us("uriCreatedAt")
@@ -449,7 +470,17 @@ def _stream_rejects(spark, sf_dir):
     return stream_ingest.rejected_entries(spark, _streamed(spark, sf_dir)).select("uri", "title", "reason")
 
 
-def _streamed(spark, sf_dir) -> str:
+def _stream_ingest_distinct(spark, sf_dir):
+    """Each different entry of ``_streamed`` once, in however many runs it was fetched."""
+    rows = stream_ingest.ingested_items(spark, _streamed(spark, sf_dir, repeats=False))
+    return rows.select("link", "title", "feedUrl", "isoDate", "creator")
+
+
+def _stream_rejects_distinct(spark, sf_dir):
+    return stream_ingest.rejected_entries(spark, _streamed(spark, sf_dir, repeats=False)).select("uri", "title", "reason")
+
+
+def _streamed(spark, sf_dir, repeats: bool = True) -> str:
     """Landed feeds streamed in, in three runs over one checkpoint: a half; then that half again with another creator,
     and the other half; then one feed more that was fetched long before all others."""
     base = fresh_dir(spark, "stream-ingest")
@@ -465,7 +496,7 @@ def _streamed(spark, sf_dir) -> str:
     )
     for run in runs:
         run.write.mode("append").parquet(f"{base}/landed")
-        stream_ingest.refresh(spark, f"{base}/landed", f"{base}/entries", f"{base}/marks")
+        stream_ingest.refresh(spark, f"{base}/landed", f"{base}/entries", f"{base}/marks", repeats)
     return f"{base}/entries"
 
 
@@ -554,6 +585,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "word_feeds": lambda s, d: tfidf.word_feeds(_counts(s, d), _attributes(s, d)),
         "tfidf_by_word_feed": lambda s, d: trends.terms_by_feed(_inputs(s, d)).select("word", "uri", "feedUrl", _r9("tfidf")),
         "tfidf_by_document_feed": lambda s, d: _own_feed_table(s, d).select("word", "uri", "feedUrl", _r9("tfidf")),
+        "fan_out_feed_totals": _fan_out_feed_totals,
+        "fan_out_document_totals": _fan_out_document_totals,
         "tfidf_table": _written(sinks.TERM_COLUMNS),
         "tfidf_table_without_feed": _written(sinks.TERM_COLUMNS_WITHOUT_FEED),
         "vocabulary": lambda s, d: tfidf.vocabulary(_counts(s, d)),
@@ -621,10 +654,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "votes_since_oldest_item": lambda s, d: _votes_shape(
             timeline.votes_since_oldest_item(_feed_uris(s, d), _feed_items(s, d), _item_votes(s, d))
         ),
+        "votes_since_oldest_item_by_zone": _votes_since_oldest_item_by_zone,
         "timeline_with_votes": _timeline_with_votes,
         # streams
         "stream_ingest": _stream_ingest,
         "stream_rejects": _stream_rejects,
+        "stream_ingest_distinct": _stream_ingest_distinct,
+        "stream_rejects_distinct": _stream_rejects_distinct,
         "stream_votes": _stream_votes,
         "stream_timelines": _stream_timelines,
     }
@@ -719,6 +755,8 @@ f AS (SELECT *, n % 2 = 0 AS rss, (n + chunk) % 11 = 5 AS cut, (n + chunk) % 7 =
         'http://feeds.example/' || source AS self_url, 'http://docs.example/' || doc_id AS url FROM src)
 """
 
+_FAN_OUT = "scored JOIN (SELECT DISTINCT word, feedUrl FROM counts JOIN docfeeds USING (uri)) USING (word)"
+
 _FETCHED = """
 , fetched AS (
   SELECT *, 1 AS run, false AS changed FROM f WHERE chunk % 2 = 1
@@ -847,6 +885,13 @@ def oracle_sql() -> dict[str, str]:
         "tfidf_by_word_feed": docs
         + 'SELECT word, uri, feedUrl AS "feedUrl", round(tfidf, 9) AS tfidf FROM scored '
         "JOIN (SELECT DISTINCT word, feedUrl FROM counts JOIN docfeeds USING (uri)) USING (word)",
+        "fan_out_feed_totals": docs
+        + 'SELECT feedUrl AS "feedUrl", count(DISTINCT word) AS n_words, count(*) AS n_rows, round(sum(tfidf), 6) AS tfidf_sum, '
+        "round(min(tfidf), 9) AS tfidf_min, round(max(tfidf), 9) AS tfidf_max "
+        f"FROM {_FAN_OUT} GROUP BY feedUrl",
+        "fan_out_document_totals": docs
+        + "SELECT uri, count(DISTINCT word) AS n_words, count(*) AS n_rows, round(sum(tfidf), 6) AS tfidf_sum "
+        f"FROM {_FAN_OUT} GROUP BY uri",
         "tfidf_by_document_feed": docs + f'SELECT word, uri, feedUrl AS "feedUrl", round(tfidf, 9) AS tfidf {own_feed}',
         "tfidf_table": docs + f'SELECT word, uri, feedUrl AS "feedUrl", round(tfidf, 9) AS tfidf {own_feed}',
         "tfidf_table_without_feed": docs + f"SELECT word, uri, round(tfidf, 9) AS tfidf {own_feed}",
@@ -917,9 +962,11 @@ def oracle_sql() -> dict[str, str]:
         "timeline_page": events
         + "SELECT * FROM (SELECT user_id, uri, row_number() OVER (PARTITION BY user_id ORDER BY dt DESC, uri, feed_uri) AS rank FROM tl) "
         "WHERE rank <= 20",
-        "votes_since_oldest_item": events
-        + 'SELECT v.user_id, v.doc_id, v.uri, v.title, v.state::bigint AS state, epoch_us(v.made) AS "uriCreatedAt" '
-        "FROM ivotes v JOIN (SELECT user_id, min(dt) AS oldest FROM tl GROUP BY user_id) o ON v.user_id = o.user_id WHERE v.made >= o.oldest",
+        **dict.fromkeys(
+            ("votes_since_oldest_item", "votes_since_oldest_item_by_zone"),
+            events + 'SELECT v.user_id, v.doc_id, v.uri, v.title, v.state::bigint AS state, epoch_us(v.made) AS "uriCreatedAt" '
+            "FROM ivotes v JOIN (SELECT user_id, min(dt) AS oldest FROM tl GROUP BY user_id) o ON v.user_id = o.user_id WHERE v.made >= o.oldest",
+        ),
         **dict.fromkeys(
             ("timeline_with_votes", "timeline_with_votes_by_user"),
             events + "SELECT t.user_id, t.feed_uri, t.uri, coalesce(v.title, t.title) AS title, coalesce(v.state, 0)::bigint AS state, "
@@ -934,6 +981,15 @@ def oracle_sql() -> dict[str, str]:
         "UNION ALL SELECT DISTINCT run, feed_uri, NULL, 'missing_feed_url' FROM fetched WHERE NOT cut AND unnamed "
         "UNION ALL SELECT run, feed_uri, title, 'missing_link' FROM fetched WHERE NOT cut AND NOT unnamed "
         "AND ((rss AND kind = 7) OR (NOT rss AND kind = 8)))",
+        "stream_ingest_distinct": landed
+        + f"{_FETCHED} SELECT DISTINCT url AS link, title, self_url AS \"feedUrl\", strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') AS \"isoDate\", "
+        f"CASE WHEN rss THEN CASE WHEN changed THEN 'new ' ELSE '' END || lang END AS creator FROM fetched WHERE {usable}",
+        "stream_rejects_distinct": landed
+        + f"{_FETCHED} SELECT uri, title, reason FROM ("
+        "SELECT DISTINCT '' AS entry, false AS edited, feed_uri AS uri, NULL::varchar AS title, 'malformed_xml' AS reason FROM fetched WHERE cut "
+        "UNION ALL SELECT DISTINCT '', rss AND changed, feed_uri, NULL, 'missing_feed_url' FROM fetched WHERE NOT cut AND unnamed "
+        "UNION ALL SELECT DISTINCT url, rss AND changed, feed_uri, title, 'missing_link' FROM fetched WHERE NOT cut AND NOT unnamed "
+        "AND ((rss AND kind = 7) OR (NOT rss AND kind = 8)))",
         "stream_votes": events
         + 'SELECT user_id, doc_id, uri, title, state::bigint AS state, epoch_us(made) AS "uriCreatedAt" FROM vtable',
         "stream_timelines": events + 'SELECT user_id, feed_uri, uri, epoch_us(dt) AS "dateTime" FROM tl',

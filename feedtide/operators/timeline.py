@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from feedtide.operators.skew import attach_per_key, salted_join
 from feedtide.operators.votes import one_vote_per_key
+from feedtide.session import staged
+from feedtide.sinks import zones
 
 
 def untimed_items(items: DataFrame) -> DataFrame:
@@ -85,26 +87,41 @@ def timeline_page(
     )
 
 
-def votes_since_oldest_item(
-    feed_uris: DataFrame, items: DataFrame, votes: DataFrame, min_hot_rows: int | None = None
-) -> DataFrame:
-    """Votes whose item is not older than the oldest item of the user's timeline.
+def oldest_items(feed_uris: DataFrame, items: DataFrame) -> DataFrame:
+    """(user_id, _oldest): the oldest item time of every user's timeline.
 
-    The oldest item of a user is the oldest of their feeds' oldest items, so the
-    timeline itself need not be built.
+    It is the oldest of their feeds' oldest items, so the timeline itself need not be built.
     """
     first_times = items.groupBy("feed_uri").agg(F.min("dateTime").alias("_first"))
     subscriptions = feed_uris.select("user_id", F.col("uri").alias("feed_uri")).distinct()
-    oldest = subscriptions.join(first_times, "feed_uri").groupBy("user_id").agg(F.min("_first").alias("_oldest"))
+    return subscriptions.join(first_times, "feed_uri").groupBy("user_id").agg(F.min("_first").alias("_oldest"))
+
+
+def _not_before(votes: DataFrame, oldest: DataFrame, min_hot_rows: int | None) -> DataFrame:
     sizes = votes.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n_votes"))
-    bounds = oldest.join(sizes, "user_id")
     return (
-        attach_per_key(votes, bounds, ["user_id"], "_n_votes", min_hot_rows)
+        attach_per_key(votes, oldest.join(sizes, "user_id"), ["user_id"], "_n_votes", min_hot_rows)
         .where(F.col("uriCreatedAt") >= F.col("_oldest"))
         .select(*votes.columns)
     )
 
 
+def votes_since_oldest_item(
+    feed_uris: DataFrame, items: DataFrame, votes: DataFrame, min_hot_rows: int | None = None
+) -> DataFrame:
+    """Votes whose item is not older than the oldest item of the user's timeline."""
+    return _not_before(votes, oldest_items(feed_uris, items), min_hot_rows)
+
+
+def stored_votes_since_oldest_item(
+    feed_uris: DataFrame, items: DataFrame, path: str, min_hot_rows: int | None = None
+) -> DataFrame:
+    """``votes_since_oldest_item`` of a table written by ``sinks.zones``: parts that are too old are not opened."""
+    spark = feed_uris.sparkSession
+    oldest = staged(oldest_items(feed_uris, items), "oldest-items")
+    return _not_before(zones.since(spark, path, oldest, "_oldest"), oldest, min_hot_rows)
+
+
 def with_votes(rows: DataFrame, votes: DataFrame) -> DataFrame:
     """Add ``state`` and ``doc_id`` of the user's vote on exactly this item and time.
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedtide.schemas import ENTRIES, RAW_FEEDS, RSS_ITEM_COLUMNS
 from feedtide.sources import feeds
+from feedtide.streaming.votes import state_in_rocksdb
 
 
 def landed_stream(spark: SparkSession, path: str, files_per_trigger: int = 1_000) -> DataFrame:
@@ -31,6 +32,22 @@ def new_entries(landed: DataFrame) -> DataFrame:
     return rows.withColumn("title", title).drop("rejected_title").withColumn("accepted", F.col("reason").isNull())
 
 
+#: Columns that say when an entry was seen, not what it is.
+_SEEN = ("fetched_at",)
+
+
+def first_seen(entries: DataFrame) -> DataFrame:
+    """A stream of entries less those that are equal to an earlier one of the same document in every byte of every column.
+
+    Exact, and for good: there is no watermark, so a repeat is told however late it comes, and an entry that differs in any
+    column (null and empty differ too) is never taken for one. Spark's keyed state holds one SHA-256 digest for each
+    different entry, about 60 bytes in RocksDB before compression: 6 GB for 10^8 entries, spread over the shuffle
+    partitions by the digest itself, so that a document with very many entries is not one task's.
+    """
+    told = F.to_json(F.struct(*[c for c in entries.columns if c not in _SEEN]), {"ignoreNullFields": "false"})
+    return entries.withColumn("_entry", F.unhex(F.sha2(told, 256))).dropDuplicates(["_entry"]).drop("_entry")
+
+
 def start_append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream of entries to its table, processing what is there and then stopping."""
     return (
@@ -44,12 +61,16 @@ def start_append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def refresh(spark: SparkSession, landed_path: str, table_path: str, checkpoint: str) -> None:
+def refresh(spark: SparkSession, landed_path: str, table_path: str, checkpoint: str, repeats: bool = True) -> None:
     """One periodic run: append what is new, then stop.
 
-    Safe to call again after a failure: the checkpoint knows what is done.
+    Safe to call again after a failure: the checkpoint knows what is done. Without ``repeats``, entries seen before are
+    left out (``first_seen``); a checkpoint is of one kind or the other.
     """
-    start_append(new_entries(landed_stream(spark, landed_path)), table_path, checkpoint).awaitTermination()
+    rows = new_entries(landed_stream(spark, landed_path))
+    with state_in_rocksdb(spark):
+        query = start_append(rows if repeats else first_seen(rows), table_path, checkpoint)
+    query.awaitTermination()
 
 
 def ingested_items(spark: SparkSession, table_path: str) -> DataFrame:

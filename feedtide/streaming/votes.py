@@ -16,7 +16,10 @@ is read: an even run withdraws, and the first run of a history counts the stored
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -37,6 +40,22 @@ _STORE = {
 }
 
 
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB; a query keeps the settings it was started with."""
+    before = {name: spark.conf.get(name, None) for name in _STORE}
+    for name, value in _STORE.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def _trailing_runs(inline: int, chunk: int) -> StatefulProcessor:
     """The keyed fold. Runs beyond ``inline`` places go to a list, of which at most ``chunk`` are in memory."""
 
@@ -129,10 +148,7 @@ def start_vote_log(actions: DataFrame, path: str, checkpoint: str, **options) ->
     def publish(batch: DataFrame, batch_id: int) -> None:
         commits.upsert(batch, path, KEY, mark=(checkpoint, batch_id))
 
-    before = {name: spark.conf.get(name, None) for name in _STORE}
-    for name, value in _STORE.items():
-        spark.conf.set(name, value)
-    try:  # a query keeps the settings it was started with
+    with state_in_rocksdb(spark):
         return (
             trailing_runs(actions, **options)
             .writeStream.foreachBatch(publish)
@@ -141,12 +157,6 @@ def start_vote_log(actions: DataFrame, path: str, checkpoint: str, **options) ->
             .trigger(availableNow=True)
             .start()
         )
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
 
 
 def change_log(spark, path: str) -> DataFrame:

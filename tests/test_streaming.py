@@ -47,6 +47,26 @@ def test_ingest_runs_twice(spark, tmp_path):
     assert ingest.ingested_items(spark, table).count() == 9
 
 
+def test_ingest_without_repeats(spark, tmp_path):
+    landed, table, marks = (str(tmp_path / n) for n in ("landed", "entries", "marks"))
+    edited = document(2).replace("<title>t1", "<title>edited")
+    batches = [
+        [("a", document(3)), ("a", document(3)), ("b", document(1)), ("broken", "<rss><channel>")],
+        [("a", document(3)), ("broken", "<rss><channel>")],
+        [("a", edited), ("a", document(4))],
+    ]
+    counts = []
+    for day, rows in enumerate(batches):  # the last one is older than all others
+        at = T0 + dt.timedelta(days=day if day < 2 else -400)
+        spark.createDataFrame([(*r, at) for r in rows], schemas.RAW_FEEDS).write.mode("append").parquet(landed)
+        ingest.refresh(spark, landed, table, marks, repeats=False)
+        counts.append(ingest.ingested_items(spark, table).count())
+    assert counts == [4, 4, 6]
+    assert ingest.ingested_items(spark, table).where("title = 'edited'").count() == 1
+    rejects = ingest.rejected_entries(spark, table)
+    assert sorted(r.uri for r in rejects.collect()) == ["a", "b", "broken"]
+
+
 @pytest.mark.parametrize("options", [{}, {"inline": 1, "chunk": 2}])
 def test_votes_stream_equals_batch(spark, tmp_path, options):
     rng = random.Random(7)
