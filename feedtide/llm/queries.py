@@ -123,28 +123,33 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
 WHERE rank <= 5
 """,
-    "op3_line_dedup": """
-WITH texts AS (SELECT DISTINCT doc_id, text, md5(text) AS digest FROM documents WHERE text IS NOT NULL),
-lines AS (
-  SELECT doc_id, digest, unnest(string_split(text, chr(10))) AS line,
-    generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM texts),
-hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM lines),
-ended AS (
-  SELECT *, i = n OR (lag(h, 1, 0::BIGINT) OVER w % 1000003 * 31 + h) % 1000003 % 3 = 0 AS ends
-  FROM hashed WINDOW w AS (PARTITION BY doc_id, digest ORDER BY i)),
-numbered AS (
-  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id, digest ORDER BY i
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ended),
-chunks AS (
-  SELECT doc_id, digest, c, min(i) AS first, string_agg(line, chr(10) ORDER BY i) AS chunk
-  FROM numbered GROUP BY ALL HAVING count(*) >= 2),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id IS NULL, doc_id, digest, first) AS place FROM chunks),
+    "op3_line_dedup": r"""
+WITH texts AS (
+  SELECT DISTINCT doc_id, md5(text) AS digest, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+numbered AS (SELECT doc_id, digest, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM texts),
+stops AS (
+  SELECT doc_id, digest, i FROM numbered WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  UNION ALL SELECT doc_id, digest, unnest([0, len(lines) + 1]) FROM texts),
+gaps AS (SELECT doc_id, digest, i AS a, lead(i) OVER (PARTITION BY doc_id, digest ORDER BY i) AS b FROM stops),
+spans AS (
+  SELECT doc_id, digest, a AS first, a + 1 AS last FROM gaps WHERE b IS NOT NULL
+  UNION SELECT doc_id, digest, b - 1, b FROM gaps WHERE b - a >= 2
+  UNION SELECT doc_id, digest, a + 1, b FROM gaps WHERE b - a >= 3),
+pieces AS (
+  SELECT s.*, array_to_string(lines[first:last], chr(10)) AS piece
+  FROM spans s JOIN texts t ON s.doc_id IS NOT DISTINCT FROM t.doc_id AND s.digest = t.digest
+  WHERE first >= 1 AND last <= len(lines)),
+placed AS (
+  SELECT *, first_value({'d': doc_id, 'g': digest, 'f': first}) OVER (
+    PARTITION BY piece ORDER BY doc_id IS NULL, doc_id, digest, first) AS a FROM pieces),
+gone AS (
+  SELECT DISTINCT doc_id, digest, unnest(range(first, last + 1)) AS i FROM placed
+  WHERE doc_id IS DISTINCT FROM a.d OR digest <> a.g OR first > a.f + last - first),
 kept AS (
-  SELECT n.doc_id, n.digest, count(*) AS n_lines, count(*) FILTER (r.c IS NOT NULL) AS n_removed,
-    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (r.c IS NULL), '') AS text
-  FROM numbered n LEFT JOIN (SELECT * FROM ranked WHERE place > 1) r
-    ON n.doc_id IS NOT DISTINCT FROM r.doc_id AND n.digest = r.digest AND n.c = r.c GROUP BY n.doc_id, n.digest)
+  SELECT n.doc_id, n.digest, count(*) AS n_lines, count(g.i) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY n.i) FILTER (g.i IS NULL), '') AS text
+  FROM numbered n LEFT JOIN gone g ON n.doc_id IS NOT DISTINCT FROM g.doc_id AND n.digest = g.digest AND n.i = g.i
+  GROUP BY n.doc_id, n.digest)
 SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, md5(k.text) AS text_md5, k.text
 FROM documents d LEFT JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND md5(d.text) = k.digest
 """,
