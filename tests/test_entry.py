@@ -31,6 +31,11 @@ CHECKED = (
     "trend_scores_two_columns",
     "timeline_page",
     "timeline_with_votes",
+    "votes_since_oldest_item_by_zone",
+    "fan_out_feed_totals",
+    "fan_out_document_totals",
+    "stream_ingest_distinct",
+    "stream_rejects_distinct",
 )
 
 
