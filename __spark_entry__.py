@@ -23,7 +23,7 @@ from feedtide.operators import density, factors, matrix, quality, tfidf, timelin
 from feedtide.plans import scoring, trends  # noqa: E402
 from feedtide.session import fresh_dir, staged  # noqa: E402
 from feedtide.sinks import commits, layout, tables as sinks, zones  # noqa: E402
-from feedtide.sources import feeds  # noqa: E402
+from feedtide.sources import feeds, large_feeds  # noqa: E402
 from feedtide.sources.items import distinct_items, keyed_documents, scored_terms  # noqa: E402
 from feedtide.streaming import ingest as stream_ingest  # noqa: E402
 from feedtide.streaming import timeline as stream_timeline  # noqa: E402
@@ -278,6 +278,26 @@ def _ingest_append(spark, sf_dir):
     return spark.read.parquet(path).groupBy("link", "feedUrl").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _landed_files(spark: SparkSession, sf_dir: str) -> list[large_feeds.LargeFeeds]:
+    """The landed feeds as files, one each, read by dialect."""
+    base, landed = fresh_dir(spark, "landed-files"), _landed(spark, sf_dir)
+    is_rss, found = F.col("xml").contains("<rss "), []
+    for name, dialect, own in (("rss", feeds.RSS, is_rss), ("atom", feeds.ATOM, ~is_rss)):
+        landed.where(own).select("xml").write.option("maxRecordsPerFile", 1).text(f"{base}/{name}")
+        found.append(large_feeds.read(spark, f"{base}/{name}", dialect))
+    return found
+
+
+def _rss_items_from_files(spark, sf_dir):
+    rss, atom = _landed_files(spark, sf_dir)
+    return large_feeds.rss_items(rss).unionByName(large_feeds.rss_items(atom))
+
+
+def _file_quarantine(spark, sf_dir):
+    rss, atom = _landed_files(spark, sf_dir)
+    return large_feeds.quarantine(rss).unionByName(large_feeds.quarantine(atom)).select("title", "reason")
+
+
 def _requests(landed: DataFrame) -> DataFrame:
     """Every landed feed is requested once, by the user named like its run; every third user asks for a lost one too."""
     user = F.regexp_extract("uri", r"(\d+)$", 1)
@@ -556,6 +576,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "new_subscriptions": _new_subscriptions,
         "refused_subscriptions": _refused_subscriptions,
         "rss_items_from_xml": lambda s, d: feeds.rss_items(_landed(s, d)),
+        "rss_items_from_files": _rss_items_from_files,
+        "file_quarantine": _file_quarantine,
         "item_quarantine": lambda s, d: feeds.quarantine(_landed(s, d)),
         "title_terms": lambda s, d: feeds.title_term_counts(_items(s, d)).select("link", "feedUrl", "term", "n"),
         "ingest_append": _ingest_append,
@@ -852,6 +874,12 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT DISTINCT 'u' || chunk AS user_id, feed_uri AS uri, 'not_a_feed' AS reason FROM f WHERE cut "
         "UNION ALL SELECT DISTINCT 'u' || chunk, feed_uri || '/gone', 'not_landed' FROM f WHERE chunk % 3 = 0",
         "rss_items_from_xml": landed + f"SELECT {item_columns} FROM f WHERE {usable}",
+        "rss_items_from_files": landed + f"SELECT {item_columns} FROM f WHERE {usable}",
+        "file_quarantine": landed
+        + "SELECT title, reason FROM (SELECT DISTINCT feed_uri, NULL::varchar AS title, 'malformed_xml' AS reason FROM f WHERE cut "
+        "UNION ALL SELECT DISTINCT feed_uri, NULL, 'missing_feed_url' FROM f WHERE NOT cut AND unnamed "
+        "UNION ALL SELECT feed_uri, title, 'missing_link' FROM f WHERE NOT cut AND NOT unnamed "
+        "AND ((rss AND kind = 7) OR (NOT rss AND kind = 8)))",
         "item_quarantine": landed
         + "SELECT DISTINCT feed_uri AS uri, NULL::varchar AS title, 'malformed_xml' AS reason FROM f WHERE cut "
         "UNION ALL SELECT DISTINCT feed_uri, NULL, 'missing_feed_url' FROM f WHERE NOT cut AND unnamed "

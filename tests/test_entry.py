@@ -36,6 +36,8 @@ CHECKED = (
     "fan_out_document_totals",
     "stream_ingest_distinct",
     "stream_rejects_distinct",
+    "rss_items_from_files",
+    "file_quarantine",
 )
 
 
