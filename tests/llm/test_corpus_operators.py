@@ -144,6 +144,12 @@ def test_line_dedup_equals_brute_force(spark):
         assert got == {d: (want[d], len(gone[d])) for d in want}
 
 
+def test_line_dedup_of_very_long_texts(spark):
+    long = "\n".join(f"line {i} of a text of more than a megabyte, and its words" for i in range(20_000))
+    got = {r.doc_id: r for r in line_dedup.dedup(_frame(spark, [(0, long), (1, f"own line\n{long}"), (2, "x" * 1_000_000)])).collect()}
+    assert (got[0].text, got[1].text, got[1].n_removed, got[2].n_removed) == (long, "own line", 20_000, 0)
+
+
 def test_chunks_are_found_wherever_they_stand(spark):
     """The first cut alone: a long passage loses what lies between its first and last end, whatever was put before it."""
     passage = [f"line {i} of a passage" for i in range(60)]
