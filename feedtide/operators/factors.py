@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedtide.operators.skew import attach_per_key, salted_join
+from feedtide.operators.tfidf import HOT_WORD_ROWS
 from feedtide.session import staged
 
 
@@ -76,7 +77,8 @@ def feed_totals(factors: Factors, min_hot_rows: int | None = None) -> DataFrame:
 def document_totals(factors: Factors, min_hot_rows: int | None = None) -> DataFrame:
     """(uri, n_words, n_rows, tfidf_sum) over the fan-out's rows of every document."""
     widths = factors.words.select("word", "n_feeds", "n_docs")
-    met = attach_per_key(factors.scores, widths, ["word"], "n_docs", min_hot_rows, stage=False)
+    hot = HOT_WORD_ROWS if min_hot_rows is None else min_hot_rows
+    met = attach_per_key(factors.scores, widths, ["word"], "n_docs", hot, stage=False)
     return met.groupBy("uri").agg(
         F.count(F.lit(1)).alias("n_words"),
         F.sum("n_feeds").alias("n_rows"),

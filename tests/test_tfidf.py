@@ -59,6 +59,26 @@ def test_pooling_of_one_link(spark):
     assert {(r.uri, r.feedUrl) for r in by_doc.collect()} == {("a", "f1"), ("a", "f2"), ("b", "f3")}
 
 
+def test_counts_and_scores_are_not_shuffled_by_document(spark):
+    """Texts are, by document alone; scores then know the length and feeds of their document."""
+    rows = items(spark, [(f"l{i}", f"a b c{i}", f"f{i % 3}") for i in range(40)] + [("l1", "d", None), ("l1", "d", "f9")])
+    inputs = trends.term_inputs(rows)
+    scored = trends.score_terms(inputs)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(n#" not in plan and "min(feedUrl#" not in plan  # neither is told again, nor joined
+    assert {r.n_feeds for r in scored.where("uri = 'l1'").collect()} == {3}
+    own = trends.terms_by_feed(inputs, "document")
+    assert {r.feedUrl for r in own.where("uri = 'l1'").collect()} == {"f1", "f9", None}
+    assert own.where("uri <> 'l1'").count() == 3 * 39
+
+
+def test_documents_of_many_texts_are_counted_alike(spark):
+    rows = [("a", f"x y{i % 4} x", f"f{i % 2}") for i in range(30)] + [("a", None, None), ("b", "x", "f"), ("c", "", "f")]
+    docs = keyed_documents(items(spark, rows))
+    few, many = (sorted(map(tuple, tfidf.pooled_counts(docs, hot).collect())) for hot in (10_000, 5))
+    assert few == many and ("a", "x", 8, 12, "f0", 3) in few and ("b", "x", 1, 1, "f", 1) in few and len(few) == 3
+
+
 def test_words(spark):
     rows = [("a", "Don't café \u212a日本 ''' A1b", "f")]  # the third word starts with the Kelvin sign
     docs = keyed_documents(items(spark, rows))
