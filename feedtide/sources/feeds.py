@@ -218,13 +218,15 @@ def title_term_counts(items: DataFrame) -> DataFrame:
     """(link, feedUrl, item, term, n): case-sensitive term counts per item title.
 
     ``item`` is a digest of the title, since one link may carry several titles;
-    repeated ingests of one item are counted once.
+    repeated ingests of one item are counted once. Titles are shuffled by item, so
+    their terms need not be.
     """
     item = F.sha2(F.coalesce("title", F.lit("")), 256).alias("item")
     return (
-        items.select("link", "feedUrl", "title")
+        items.select("link", "feedUrl", "title", item)
+        .repartition("link", "feedUrl", "item")
         .distinct()
-        .select("link", "feedUrl", item, F.explode(title_terms("title")).alias("term"))
+        .select("link", "feedUrl", "item", F.explode(title_terms("title")).alias("term"))
         .groupBy("link", "feedUrl", "item", "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -122,3 +122,13 @@ def test_title_terms(spark):
     items = spark.createDataFrame(rows, "link string, title string, feedUrl string")
     got = {r.term: r.n for r in feeds.title_term_counts(items).collect()}
     assert got == {"The": 1, "the_cat": 1, "42": 1, "the": 1, "Ca": 1, "t": 1}
+
+
+def test_terms_are_not_shuffled(spark):
+    """Titles are shuffled by item once; what they hold is counted in the same task, null and repeated titles as before."""
+    rows = [("l", "a A b1 a", "f"), ("l", "a A b1 a", "f"), ("l", None, "f"), ("l", "a", "g"), (None, "a", None)]
+    counts = feeds.title_term_counts(spark.createDataFrame(rows, "link string, title string, feedUrl string"))
+    plan = counts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = sorted((r.link or "", r.feedUrl or "", r.term, r.n) for r in counts.collect())
+    assert got == [("", "", "a", 1), ("l", "f", "A", 1), ("l", "f", "a", 2), ("l", "f", "b1", 1), ("l", "g", "a", 1)]
