@@ -291,6 +291,45 @@ def test_secret_network_finds_what_patterns_miss(spark, none):
     assert secret_scan.scan(none, secret_scan.learn(none)).count() == 0
 
 
+def test_secret_network_learns_from_all_findings_of_a_table(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+
+    def string(n, letters):
+        return "".join(rng.choice(list(letters), n))
+
+    def word(n):
+        return string(n, "aeioulnrst")
+
+    # Keys of a hundredth of the texts look unlike the others, so a sample would hardly hold them.
+    letters, rows = ["abcdef0123456789"] * 99 + ["GHJKMNPQ"], []
+    for i in range(2000):
+        filler = f"{word(6)} {word(18)}.{word(5)} {word(4)}"
+        rows.append((i, f'{filler} token = "{string(40, letters[i % 100])}" {filler}' if i % 2 else filler))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(secret_scan, "BLOCK", 1000)
+    made, blocks_of = [], secret_scan._blocks
+    monkeypatch.setattr(secret_scan, "_blocks", lambda *a: made.append(blocks_of(*a)) or made[-1])
+    nets = [secret_scan.learn(docs) for _ in range(2)]
+    blocks = [list(secret_scan._unpacked(b.toArrow().to_batches())) for b in made]
+    middle = slice(secret_scan.BEFORE, secret_scan.BEFORE + secret_scan.VALUE)
+    found = secret_scan.labelled_candidates(docs).distinct().collect()
+    wanted = {tuple(secret_scan.symbols([r.window])[0][middle]) for r in found}
+    assert len(found) == 4000 and sum(r.is_secret for r in found) == 1000
+    for own in blocks:
+        codes = np.concatenate([b[1] for b in own])
+        kept, labels = np.concatenate([b[3] for b in own]), np.concatenate([b[2] for b in own])
+        assert len(own) == 4 and len(codes) == 4000 and {tuple(c[middle]) for c in codes} == wanted
+        assert kept.sum() == 1000 and kept[labels == 1].sum() == 250
+    assert all(np.array_equal(getattr(nets[0], n), getattr(nets[1], n)) for n in secret_scan.LEARNT)
+    assert nets[0].calibration == nets[1].calibration and nets[0].threshold == nets[1].threshold
+    # The threshold is the one of all kept secrets, and 98 in 100 of them reach it.
+    kept = np.concatenate([b[1][(b[2] == 1) & b[3]] for b in blocks[0]])
+    likely = np.sort(nets[0].probability(kept))
+    assert abs(likely[5] - nets[0].threshold) < 1e-9 and (likely >= nets[0].threshold - 1e-9).sum() == 245
+    bare = [f"{word(6)} {string(34, '0123456789abcdefghjkmnpq')} {word(4)}" for _ in range(50)]
+    assert sum(any(k == 3 for _, k, _ in own) for own in secret_scan.findings(bare, nets[0])) >= 35
+
+
 def test_secret_candidates_are_read_whole():
     rng = np.random.default_rng(2)
     for n in (16, 48, 49, 72, 73, 200, 1001):
