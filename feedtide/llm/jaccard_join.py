@@ -15,6 +15,10 @@ Any fixed order is right, so neither the sample nor the size of its map can cost
 Places. Two sets can share no more than their first common token and the shorter of what follows it in either, so a pair
 is looked at only where that may be enough.
 
+Sketches. A sketch tells of each of 512 parts of all tokens whether a set has an odd number there. Where two sketches differ,
+one set has a token that the other lacks, so sets whose sketches differ in more places than links allow don't link. A group
+of sketches has the places in which all agree, which bounds how near any of its sets can come to any of another group.
+
 Large groups. A group of m near copies has m² pairs, so they are looked for in rounds. First every class is paired with
 one hub of its token groups that it isn't tied to yet, a new hub in each round, and the links found give components,
 until a round finds few or ``HUB_ROUNDS`` are over. Then a token group yields only pairs of classes from different
@@ -48,6 +52,8 @@ HUB_ROUNDS, FEW_LINKS = 8, 10
 #: Seeds of the orders: the first is joined on, the others filter its pairs.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _STEP = np.uint64(0x2545F4914F6CDD1D)
+#: 64-bit words of a sketch.
+SKETCH = 8
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -95,6 +101,12 @@ def signature(tokens: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """One bit for each part of the tokens: whether the set has an odd number of them."""
+    odd = np.bincount((tokens >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class Orders:
     """What the token orders know: the frequencies of hot tokens, and how many texts sampled tokens are in.
 
@@ -211,11 +223,17 @@ def _prefix_rows(docs: DataFrame, width: int, percent: int, hot) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int, percent: int, hot, wanted: DataFrame) -> DataFrame:
-    """``sig, n, tokens, prefixes`` of the classes in ``wanted``: the whole set, and its prefixes under further orders."""
+    """``sig, n, tokens, prefixes, sketch`` of the classes in ``wanted``: the whole set, and its prefixes under further orders."""
     bits = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "sig"))
     kind = pa.list_(
         pa.struct(
-            [("sig", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("prefixes", pa.list_(pa.list_(pa.int64())))]
+            [
+                ("sig", pa.int64()),
+                ("n", pa.int64()),
+                ("tokens", pa.list_(pa.int64())),
+                ("prefixes", pa.list_(pa.list_(pa.int64()))),
+                ("sketch", pa.list_(pa.int64())),
+            ]
         )
     )
 
@@ -228,13 +246,14 @@ def _sets(docs: DataFrame, width: int, percent: int, hot, wanted: DataFrame) ->
             if wanted and len(tokens) and sig not in found:
                 found.add(sig)
                 prefixes = [_signed(known.prefix(tokens, percent, order)[0]) for order in ORDERS[1:]]
-                own = [{"sig": sig, "n": len(tokens), "tokens": _signed(tokens), "prefixes": prefixes}]
+                own = [
+                    {"sig": sig, "n": len(tokens), "tokens": _signed(tokens), "prefixes": prefixes, "sketch": sketch(tokens)}
+                ]
             out.append(own)
         return [pa.array(out, kind)]
 
-    made = map_texts(
-        docs, [], "found array<struct<sig:bigint,n:bigint,tokens:array<bigint>,prefixes:array<array<bigint>>>>", work
-    )
+    fields = "sig:bigint,n:bigint,tokens:array<bigint>,prefixes:array<array<bigint>>,sketch:array<bigint>"
+    made = map_texts(docs, [], f"found array<struct<{fields}>>", work)
     made = made.select(F.inline("found")).join(wanted.select("sig").distinct(), "sig", "left_semi")
     return made.dropDuplicates(["sig"])
 
@@ -253,6 +272,13 @@ def _may_overlap(n1: str, rest1: str, n2: str, rest2: str, percent: int):
     return ((100 + percent) * (1 + F.least(rest1, rest2))) >= (percent * (F.col(n1) + F.col(n2)))
 
 
+def _near_sketches(n1: str, n2: str, percent: int):
+    """Whether sets of two groups may link: places in which all of one group differ from all of the other are tokens that
+    one of the two lacks, and of both sets' tokens these are (100 - percent) / (100 + percent) at most."""
+    apart = " + ".join(f"bit_count((all1[{i}] & ~any2[{i}]) | (all2[{i}] & ~any1[{i}]))" for i in range(SKETCH))
+    return F.expr(f"{100 + percent} * ({apart}) <= {100 - percent} * ({n1} + {n2})")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links among ``pairs`` (``a``, ``b``)."""
 
@@ -310,20 +336,33 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[s
     own = groups.select(F.col("node").alias("sig"), "component")
     tied = tied.join(own, "sig", "left").select("token", "sig", "n", "rest", F.coalesce("component", "sig").alias("c"))
     tied = staged(tied, "tokens-by-component")
-    kinds = tied.groupBy("token", "c").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
-    mixed = kinds.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("token")
-    kinds = staged(kinds.join(mixed, "token", "left_semi"), "mixed-tokens")
-    side = lambda i: kinds.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("c", "low", "high", "rest")])
+    mixed = tied.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("token")
+    sketches = sets.select("sig", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+    tied = staged(tied.join(mixed, "token", "left_semi").join(sketches, "sig"), "mixed-tokens")
+    words = [f"s{i}" for i in range(SKETCH)]
+    kinds = tied.groupBy("token", "c").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"),
+        *[F.bit_and(w).alias(f"all_{w}") for w in words], *[F.bit_or(w).alias(f"any_{w}") for w in words],
+    )
+    kinds = staged(
+        kinds.select("token", "c", "low", "high", "rest", *[F.array(*[f"{k}_{w}" for w in words]).alias(k) for k in ("all", "any")]),
+        "token-components",
+    )
+    side = lambda i: kinds.select("token", *[F.col(c).alias(f"{c}{i}") for c in kinds.columns[1:]])
     met = side(1).join(side(2), "token").where("c1 < c2").where(
         F.expr(f"100 * high1 >= {percent} * low2 AND 100 * high2 >= {percent} * low1")
         & _may_overlap("low1", "rest1", "low2", "rest2", percent)
+        & _near_sketches("high1", "high2", percent)
     )
     met = met.select("token", "c1", "c2")
     part = lambda i, name: tied.select(
-        "token", F.col("c").alias(f"c{i}"), F.col("sig").alias(name), F.col("n").alias(f"n{i}"), F.col("rest").alias(f"rest{i}")
-    )
+        "token", F.col("c").alias(f"c{i}"), F.col("sig").alias(name), F.col("n").alias(f"n{i}"), F.col("rest").alias(f"rest{i}"),
+        *[F.array(*words).alias(f"{k}{i}") for k in ("all", "any")],
+    )
     pairs = met.join(part(1, "a"), ["token", "c1"]).join(part(2, "b"), ["token", "c2"])
-    pairs = pairs.where(_similar_size("n1", "n2", percent) & _may_overlap("n1", "rest1", "n2", "rest2", percent))
+    pairs = pairs.where(
+        _similar_size("n1", "n2", percent) & _may_overlap("n1", "rest1", "n2", "rest2", percent) & _near_sketches("n1", "n2", percent)
+    )
     pairs = staged(pairs.select("a", "b").distinct(), "candidate-pairs")
     more = _verified(pairs, sets, percent)
     groups = connected(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))

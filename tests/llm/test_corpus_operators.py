@@ -230,6 +230,31 @@ def test_jaccard_components(spark, none, width, percent):
     assert jaccard_join.components(none).count() == 0
 
 
+def test_near_copies_that_do_not_link_are_hardly_paired(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base, texts = [word() for _ in range(200)], []
+    for i in range(150):  # 0.78 alike, but for a few that link
+        edited = list(base)
+        for at in rng.sample(range(200), 1 if i < 4 else 3):
+            edited[at] = word()
+        texts.append((i, " ".join(edited)))
+    counts, staged = {}, jaccard_join.staged
+
+    def counted(df, label):
+        made = staged(df, label)
+        counts[label] = made.count()
+        return made
+
+    monkeypatch.setattr(jaccard_join, "staged", counted)
+    got = jaccard_join.components(_frame(spark, texts), 4, 85)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == _plain_components(texts, 4, 85)
+    few = counts["candidate-pairs"]
+    monkeypatch.setattr(jaccard_join, "_near_sketches", lambda *a: jaccard_join.F.lit(True))
+    jaccard_join.components(_frame(spark, texts), 4, 85)
+    assert 4 * few < counts["candidate-pairs"], few
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(60))
     docs = _frame(spark, [(3, text), (1, text + " x"), (1, text + " x"), (2, "other words here"), (9, None), (9, None), (8, "")])
