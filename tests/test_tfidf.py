@@ -5,7 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from feedtide.operators import quality, tfidf
+import __spark_entry__
+from feedtide.operators import matrix, quality, tfidf
 from feedtide.plans import trends
 from feedtide.sinks.tables import TERM_COLUMNS_WITHOUT_FEED, overwrite_terms, read_terms
 from feedtide.sources.items import distinct_items, keyed_documents, scored_terms
@@ -127,3 +128,17 @@ def test_views_of_the_term_table(spark):
 def test_path_keys(spark):
     frame = spark.createDataFrame([("a/b",), ("a_b",), ("c",)], "uri string")
     assert [tuple(r) for r in quality.key_collisions(frame, "uri").collect()] == [("a_b", 2)]
+
+
+def test_cells_need_no_fan_out(spark, monkeypatch):
+    rows = [*GOLDEN_ITEMS, ("4.txt", "abc jkl", None), ("1.txt", "abc def ghi", "url2.rss"), ("1.txt", "more", "url2.rss")]
+    inputs = trends.term_inputs(items(spark, rows))
+    own = as_dict(matrix.score_cells(trends.score_terms(inputs)), "uri", "word")
+    for scope in ("word", "document"):
+        assert own == as_dict(matrix.cells(trends.terms_by_feed(inputs, scope)), "uri", "word")
+
+    def refused(*args):
+        raise AssertionError("fanned out")
+
+    monkeypatch.setattr(tfidf, "fan_out_by_word", refused)
+    assert __spark_entry__.queries()["matrix_cells"](spark, "/root/testdata/sf0.001").count() == 46_670
