@@ -15,7 +15,6 @@ a ``doc_id`` may be null; no text is too long (a document is one row); an empty
 from __future__ import annotations
 
 import base64
-import struct
 import zlib
 
 import numpy as np
@@ -23,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedtide.llm.chunks import ChunkCache
+from feedtide.llm.chunks import ChunkCache, packed_ids
 from feedtide.llm.common import kept_in_worker, lists, map_texts, small_batches
 
 #: Moves kept by one worker before it starts anew.
 MOVES = 250_000
+#: So many first bytes of a pretoken are made in one move.
+HEAD = 5
 #: What is live before the first byte and wherever a token must have ended: a start without tokens.
 _START = ((0, ()),)
 
@@ -47,25 +48,26 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.child: dict[int, int] = {}  # node * 256 + byte to node
-        self.token: dict[int, int] = {}
-        self.inside = {0}  # nodes that can be gone on from
-        nodes = 1
+        self.rows: list[dict[int, int] | None] = [{}]  # of each node: byte to node; none where a token can't go on
+        self.token = [-1]
         for word, rank in ranks.items():
             node = 0
             for byte in word:
-                self.inside.add(node)
-                follow = self.child.get(node << 8 | byte)
+                row = self.rows[node]
+                if row is None:
+                    row = self.rows[node] = {}
+                follow = row.get(byte)
                 if follow is None:
-                    follow = self.child[node << 8 | byte] = nodes
-                    nodes += 1
+                    follow = row[byte] = len(self.rows)
+                    self.rows.append(None)
+                    self.token.append(-1)
                 node = follow
             self.token[node] = rank
         self.join: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self._compile(ranks)
         # Only what merges can make may come out.
-        self.token = {node: rank for node, rank in self.token.items() if rank in self.halves}
+        self.token = [rank if rank in self.halves else -1 for rank in self.token]
         self.apart: dict[int, bool] = {}
         self._reset()
 
@@ -123,19 +125,20 @@ class Transducer:
         self.numbers = {start: 0}
         self.states = [start]
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.heads: dict[bytes, tuple[int, list[int]]] = {}  # where the first bytes of pretokens lead
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         last, live = self.states[state]
-        grown, here, child, inside = [], None, self.child.get, self.inside
+        grown, here, rows, tokens = [], None, self.rows, self.token
         for node, chain in live:
-            follow = child(node << 8 | byte)
+            follow = rows[node].get(byte)
             if follow is None:
                 continue
-            if follow in inside:
+            if rows[follow] is not None:
                 grown.append((follow, chain))
             if here is None:
-                token = self.token.get(follow)
-                if token is not None and self._may_follow(chain[-1] if chain else last, token):
+                token = tokens[follow]
+                if token >= 0 and self._may_follow(chain[-1] if chain else last, token):
                     here = (*chain, token)
         if here is None:
             raise ValueError("the vocabulary lacks a single byte")
@@ -150,10 +153,12 @@ class Transducer:
                         shared -= 1
             grown.append((0, here))
             out = here[:shared]
-            if shared:
-                key = (out[-1], tuple([(node, chain[shared:]) for node, chain in grown]))
-            else:
-                key = (last, tuple(grown))
+            # Only the oldest start can be without tokens; where none is, the last token tells nothing.
+            if len(grown[0][1]) > shared:
+                last = -1
+            elif shared:
+                last = out[-1]
+            key = (last, tuple([(node, chain[shared:]) for node, chain in grown] if shared else grown))
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
@@ -165,9 +170,18 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.moves) > MOVES:
+        if len(self.moves) > MOVES or len(self.heads) > MOVES:
             self._reset()
-        moves, state, ids = self.moves, 0, []
+        head = piece[:HEAD]
+        known = self.heads.get(head)
+        if known is None:
+            known = self.heads[head] = self._run(0, head)
+        state, ids = self._run(known[0], piece[HEAD:])
+        return [*known[1], *ids, *self.states[state][1][-1][1]]
+
+    def _run(self, state: int, piece: bytes) -> tuple[int, list[int]]:
+        """Where the bytes lead from a state, and what is emitted on the way."""
+        moves, ids = self.moves, []
         for byte in piece:
             key = state << 8 | byte
             step = moves.get(key)
@@ -176,7 +190,7 @@ class Transducer:
             state, out = step
             if out:
                 ids += out
-        return ids + list(self.states[state][1][-1][1])
+        return state, ids
 
 
 def encoder(ranks: bytes, pattern: str) -> ChunkCache:
@@ -184,10 +198,9 @@ def encoder(ranks: bytes, pattern: str) -> ChunkCache:
     transducer = Transducer(parse_ranks(ranks))
 
     def matches(pieces: list[str]) -> list[bytes]:
-        made = (transducer.encode(piece.encode()) for piece in pieces)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in made]
+        return packed_ids(transducer.encode(piece.encode()) for piece in pieces)
 
-    return ChunkCache(pattern, matches, 112 * 1024 * 1024)
+    return ChunkCache(pattern, matches, 104 * 1024 * 1024)
 
 
 class Utf8Stream:

@@ -8,18 +8,31 @@ from __future__ import annotations
 
 import gc
 import re
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterable
 
 import regex
 
 _SPACE_BEFORE_WORD = re.compile(r" (?=\S)")
+#: What often ends a word; at the end of a chunk each is a match of its own.
+_ENDINGS = frozenset(".,;:!?)")
+
+
+def packed_ids(found: Iterable[list[int]]) -> list[bytes]:
+    """Lists of ids, each as unsigned 32-bit integers of this machine (as numpy and struct's "<" see them: little-endian)."""
+    flat, ends = array("I"), [0]
+    for ids in found:
+        flat.extend(ids)
+        ends.append(4 * len(flat))
+    data = flat.tobytes()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
 class Memory:
     """Ids of texts met before, within a bound of bytes: two generations, so that what is met often stays.
 
-    What is found in the old generation moves to the young one; when that is full it becomes the old one. Long texts are
-    hardly met again and are not kept.
+    What is found in the old generation moves to the young one; when that is full it becomes the old one at the next turn.
+    Long texts are hardly met again and are not kept beyond a turn.
     """
 
     LONGEST, ENTRY = 256, 200  # characters of a text that is kept; bytes an entry takes besides its text and ids
@@ -28,50 +41,56 @@ class Memory:
         self.half, self.used = most_bytes // 2, 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.passing: list[str] = []
 
-    def put(self, texts: list[str], ids: list[bytes]) -> None:
-        if texts and max(map(len, texts)) > self.LONGEST:
-            kept = [(t, i) for t, i in zip(texts, ids) if len(t) <= self.LONGEST]
-            texts, ids = [t for t, _ in kept], [i for _, i in kept]
-        self.young.update(zip(texts, ids))
-        self.used += self.ENTRY * len(texts) + sum(map(len, texts)) + sum(map(len, ids))
+    def turn(self) -> None:
+        for text in self.passing:
+            del self.young[text]
+        self.passing = []
         if self.used > self.half:
             self.old, self.young, self.used = self.young, {}, 0
 
-    def find(self, texts: set[str]) -> tuple[dict[str, bytes], list[str]]:
-        """What is known of these texts, and the texts that aren't."""
-        found = dict(zip(texts, map(self.young.get, texts)))
-        missing = [t for t, ids in found.items() if ids is None]
-        again = list(filter(self.old.__contains__, missing))
-        if again:
-            ids = list(map(self.old.__getitem__, again))
-            self.put(again, ids)
-            found.update(zip(again, ids))
-            missing = [t for t in missing if found[t] is None]
-        for t in missing:
-            del found[t]
-        return found, missing
+    def put(self, texts: list[str], ids: list[bytes], keep: bool = True) -> None:
+        """Different texts that aren't known, until the next turn or for longer."""
+        self.young.update(zip(texts, ids, strict=True))
+        if not keep:
+            self.passing += texts
+        elif texts and max(map(len, texts)) > self.LONGEST:
+            self.passing += (gone := [t for t in texts if len(t) > self.LONGEST])
+            kept = len(texts) - len(gone)
+            self.used += self.ENTRY * kept + sum(len(t) + len(i) for t, i in zip(texts, ids) if len(t) <= self.LONGEST)
+        else:
+            self.used += self.ENTRY * len(texts) + sum(map(len, texts)) + sum(map(len, ids))
+
+    def unmet(self, texts: set[str]) -> set[str]:
+        """The texts that aren't known. The others are in ``young`` until the next turn."""
+        new = texts.difference(self.young)
+        again = list(filter(self.old.__contains__, new))
+        self.put(again, list(map(self.old.__getitem__, again)))
+        new.difference_update(again)
+        return new
 
 
 class ChunkCache:
     """Ids of texts as bytes of unsigned 32-bit integers. ``encode`` makes those of single matches of ``pattern``.
 
-    Chunks and matches met before are remembered, within a bound of bytes.
+    Chunks and matches met before are remembered, within a bound of bytes. A space and letters are one match, as the pattern
+    says, so most chunks need not be searched for matches; a word with a mark behind is told from the word.
     """
 
     def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], most_bytes: int = 64 * 1024 * 1024):
         self.find = regex.compile(pattern).findall
         self.encode_matches = encode
-        self.chunks, self.matches = Memory(most_bytes // 2), Memory(most_bytes // 2)
+        self.chunks, self.matches = Memory(most_bytes // 8 * 7), Memory(most_bytes // 8)
+        self.endings: dict[str, bytes] = {}
 
     def encode(self, parts: list[str]) -> list[bytes]:
         """Ids of texts that are cut by the pattern alone."""
         found = list(map(self.find, parts))
-        known, new = self.matches.find({m for own in found for m in own})
-        made = self.encode_matches(new)
-        known.update(zip(new, made, strict=True))
-        self.matches.put(new, made)
-        get = known.__getitem__
+        self.matches.turn()
+        new = list(self.matches.unmet(set().union(*found)))
+        self.matches.put(new, self.encode_matches(new))
+        get = self.matches.young.__getitem__
         return [get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for own in found]
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -93,13 +112,24 @@ class ChunkCache:
 
     def _some(self, texts: list[str]) -> list[bytes]:
         parts = [text.split(" ") for text in texts]
-        known, new = self.chunks.find({p for own in parts for p in own[1:]})
-        # A part that is empty or starts with white space was cut at a space that starts no match.
-        good = [p for p in new if p and not p[0].isspace()]
-        made = self.encode([" " + p for p in good])
-        known.update(zip(good, made, strict=True))
-        self.chunks.put(good, made)
-        get = known.__getitem__
+        known = self.chunks
+        known.turn()
+        words, ended, good = [], [], []
+        for p in known.unmet(set().union(*[own[1:] for own in parts])):
+            if p.isalpha():
+                words.append(p)
+            elif p[-1:] in _ENDINGS and p[:-1].isalpha():
+                ended.append(p)
+            # A part that is empty or starts with white space was cut at a space that starts no match.
+            elif p and not p[0].isspace():
+                good.append(p)
+        words += known.unmet({p[:-1] for p in ended}.difference(words))
+        known.put(words, self.encode_matches([" " + w for w in words]))
+        known.put(good, self.encode([" " + p for p in good]))
+        if ended and not self.endings:
+            self.endings.update(zip(_ENDINGS, self.encode_matches(list(_ENDINGS)), strict=True))
+        get = known.young.__getitem__
+        known.put(ended, [get(p[:-1]) + self.endings[p[-1]] for p in ended], keep=False)
         out = []
         for text, own, head in zip(texts, parts, self.encode([own[0] for own in parts]), strict=True):
             try:

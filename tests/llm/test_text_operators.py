@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from feedtide.llm import bpe, packing, repetition, secret_scan, toxicity
+from feedtide.llm import bpe, chunks, packing, repetition, secret_scan, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,6 +67,48 @@ def test_encoder_equals_the_library(encoder, reference, text):
     assert np.frombuffer(encoder.ids([text])[0], "<u4").tolist() == reference.encode_ordinary(text)
 
 
+def test_plain_words_are_not_searched_for_matches():
+    """A space and letters are one match, and a mark behind them another; what is long or odd still comes out right."""
+    asked, searched = [], []
+
+    def spelt(parts):
+        asked.extend(parts)
+        return [p.encode("utf-32-le") + b"|" * 4 for p in parts]
+
+    cache = chunks.ChunkCache(public_tokenizers.PATTERN, spelt, 4_000)
+    find = cache.find
+    cache.find = lambda part: searched.append(part) or find(part)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}é" for i in range(300)]
+    odd = ["don't", "e\u0301.", "x!)", "a\nb", "Ⅷ", "l" * 300, "l" * 300 + ".", "", "\u3000", "7,", ".", "'s"]
+    texts = [" ".join([w, *words, *(w + "." for w in words), *odd, *odd, w]) for w in words[:3]]
+    for _ in range(2):
+        made = cache.ids(texts)
+        assert made == [b"".join(p.encode("utf-32-le") + b"|" * 4 for p in find(text)) for text in texts]
+    searched.clear()  # texts with a space that starts no match are searched whole
+    asked.clear()
+    cache = chunks.ChunkCache(public_tokenizers.PATTERN, spelt, 400_000)
+    cache.find = lambda part: searched.append(part) or find(part)
+    cache.ids([" ".join(["", *words, *(w + "." for w in words)])])
+    assert len(asked) == len(set(asked))
+    assert not {" " + w for w in words} & set(searched) and not {f" {w}." for w in words} & set(searched)
+    cache.ids(["l " + "l" * 300])
+    cache.chunks.turn()
+    assert cache.chunks.young.keys() == {*words}
+
+
+def test_states_forget_what_no_longer_counts():
+    """States that differ in a last token that nothing will stand next to are one, and first bytes are walked once."""
+    engine = bpe.Transducer(bpe.parse_ranks(bpe.read_ranks(RANKS)))
+    rng, walked = random.Random(3), []
+    run = engine._run
+    engine._run = lambda state, piece: walked.append(piece) or run(state, piece)
+    pieces = [b" thin" + bytes(rng.choices(b"aeinorst", k=8)) for _ in range(500)]
+    for piece in pieces:
+        engine.encode(piece)
+    assert walked.count(b" thin") == 1 and not any(len(w) > 8 for w in walked)
+    assert all(last == -1 for last, live in engine.states if live[0][1])
+
+
 @given(cuts=st.lists(st.integers(0, 30), max_size=6), text=st.text(max_size=12))
 def test_utf8_stream(cuts, text):
     stream, data = bpe.Utf8Stream(), text.encode("utf-8", "ignore")
