@@ -14,7 +14,6 @@ each row is packed for itself; ties are broken by doc_id, piece, and checksum; l
 from __future__ import annotations
 
 import json
-import struct
 import zlib
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedtide.llm.chunks import ChunkCache
+from feedtide.llm.chunks import ChunkCache, packed_ids
 from feedtide.llm.common import kept_in_worker, lists, map_texts
 from feedtide.session import staged
 
@@ -132,9 +131,12 @@ class TextEncoder:
         self.added = [t["content"] for t in json.loads(content).get("added_tokens") or [] if t["content"]]
 
     def matches(self, parts: list[str]) -> list[bytes]:
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        made = (tokenize(p.encode().decode("latin-1").translate(letters)) for p in parts)
-        return [struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]) for tokens in made]
+        tokenize, letters, space = self.tokenizer.model.tokenize, self.letters, self.letters[0x20]
+        spelt = (
+            p.replace(" ", space) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters)
+            for p in parts
+        )
+        return packed_ids([t.id for t in tokenize(p)] for p in spelt)
 
     def whole(self, parts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
