@@ -222,9 +222,13 @@ def _prefix_rows(docs: DataFrame, width: int, percent: int, hot) -> DataFrame:
     return made.select(F.inline("rows"))
 
 
-def _sets(docs: DataFrame, width: int, percent: int, hot, wanted: DataFrame) -> DataFrame:
-    """``sig, n, tokens, prefixes, sketch`` of the classes in ``wanted``: the whole set, and its prefixes under further orders."""
-    bits = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "sig"))
+def _sets(docs: DataFrame, width: int, percent: int, hot, wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """``sig, n, tokens, prefixes, sketch`` of the classes in ``wanted``: the whole set, and its prefixes under further orders.
+
+    ``texts`` has ``sig, text_hash_`` of every row. A map of one text's hash for each class tells which texts to look at."""
+    wanted = wanted.select("sig").distinct()
+    chosen = texts.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("text_hash_").alias("text_hash_"))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(chosen, "text_hash_"))
     kind = pa.list_(
         pa.struct(
             [
@@ -238,12 +242,13 @@ def _sets(docs: DataFrame, width: int, percent: int, hot, wanted: DataFrame) ->
     )
 
     def work(texts, batch):
-        sets = shingle_sets(texts, width)
-        sigs = np.array([signature(s) for s in sets], np.int64)
+        asked = in_map(bits.value, batch.column(0).to_numpy(zero_copy_only=False)).tolist()
+        sets = iter(shingle_sets([text for text, of in zip(texts, asked) if of], width))
         known, found, out = Orders(*hot.value), set(), []
-        for tokens, sig, wanted in zip(sets, sigs.tolist(), in_map(bits.value, sigs).tolist()):
-            own = []
-            if wanted and len(tokens) and sig not in found:
+        for of in asked:
+            own, tokens = [], next(sets) if of else ()
+            sig = signature(tokens) if len(tokens) else None
+            if sig is not None and sig not in found:
                 found.add(sig)
                 prefixes = [_signed(known.prefix(tokens, percent, order)[0]) for order in ORDERS[1:]]
                 own = [
@@ -253,8 +258,8 @@ def _sets(docs: DataFrame, width: int, percent: int, hot, wanted: DataFrame) ->
         return [pa.array(out, kind)]
 
     fields = "sig:bigint,n:bigint,tokens:array<bigint>,prefixes:array<array<bigint>>,sketch:array<bigint>"
-    made = map_texts(docs, [], f"found array<struct<{fields}>>", work)
-    made = made.select(F.inline("found")).join(wanted.select("sig").distinct(), "sig", "left_semi")
+    made = map_texts(docs, ["text_hash_"], f"found array<struct<{fields}>>", work)
+    made = made.select(F.inline("found")).join(wanted, "sig", "left_semi")
     return made.dropDuplicates(["sig"])
 
 
@@ -297,7 +302,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns (``doc_id`` among them), ``n_shingles`` and ``component_id`` for every row of ``docs``."""
     spark = docs.sparkSession
-    found = staged(classes(docs, width, keep), "shingle-classes")
+    docs = docs.withColumn("text_hash_", F.xxhash64("text"))
+    found = staged(classes(docs, width, (*keep, "text_hash_")), "shingle-classes")
     members = found.select(*keep, "n", "sig")
     hot = spark.sparkContext.broadcast(orders(found, members.count()))
     rows = staged(_prefix_rows(docs, width, percent, hot), "prefix-tokens")
@@ -305,7 +311,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, keep: tuple[s
     # Token groups of two classes or more.
     shared = rows.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("top")).where("low <> top")
     tied = staged(rows.distinct().join(shared.select("token"), "token", "left_semi"), "shared-prefix-tokens")
-    sets = staged(_sets(docs, width, percent, hot, tied), "shingle-sets")
+    sets = staged(_sets(docs, width, percent, hot, tied, found), "shingle-sets")
 
     # First rounds: in each token group every class meets one hub, another one in each round, if they aren't tied yet.
     links = spark.createDataFrame([], "a long, b long")

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from feedtide.llm import jaccard_join, line_dedup, one_bit_search, queries, repeated_bytes, secret_scan, sharding, toxicity
@@ -230,6 +231,18 @@ def test_jaccard_components(spark, none, width, percent):
     assert jaccard_join.components(none).count() == 0
 
 
+def test_sets_come_from_one_text_of_a_class(spark):
+    """Texts of one set may differ: whichever is chosen, the set is there once, and sets not wanted are left out."""
+    texts = [(i, t) for i, t in enumerate(["A b c d e", "a B\tc d e", "a b c d e", "v w x y z", "", None])]
+    docs = _frame(spark, texts).withColumn("text_hash_", F.xxhash64("text"))
+    found = jaccard_join.classes(docs, 4, ("doc_id", "text_hash_")).cache()
+    orders = spark.sparkContext.broadcast(jaccard_join.orders(found, 6))
+    for wanted, n in ((found.where("doc_id < 3"), 1), (found.where("n > 0"), 2), (found.where("n < 0"), 0)):
+        got = jaccard_join._sets(docs, 4, 85, orders, wanted, found).collect()
+        assert sorted(r.sig for r in got) == sorted({r.sig for r in wanted.collect()}) and len(got) == n
+        assert all(r.n == len(r.tokens) == 2 for r in got)
+
+
 def test_near_copies_that_do_not_link_are_hardly_paired(spark, monkeypatch):
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
