@@ -19,6 +19,8 @@ from feedtide.session import staged
 
 #: Documents of this many texts are counted in several tasks; words in this many documents may be joined map-side.
 HOT_TEXTS, HOT_WORD_ROWS = 10_000, 1_000
+#: Feeds of a word that travel as one list, about.
+FEEDS_A_LIST = 100
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -154,23 +156,35 @@ def fan_out_by_word(
 ) -> DataFrame:
     """(word, feedUrl, uri, tfidf): every score of a word, once per feed using the word.
 
-    The pairing is corpus-wide, not tied to the document's own feeds. Words that
-    make very many pairs are cut over their documents and feeds alike.
+    The pairing is corpus-wide, not tied to the document's own feeds. A word's feeds travel as lists of about
+    ``FEEDS_A_LIST``, so a join makes a row a list and a list is opened where it is. Scores of hot words with one list meet
+    it map-side; other words that make very many pairs are cut over their documents and lists alike. ``scored`` is read
+    several times, so it should be a table.
     """
     feeds = scored.select("word", F.col("firstFeed").alias("feedUrl")).distinct()
     rows = scored.select("word", "uri", "tfidf")
-    per_word = feeds.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
-    return salted_join(
-        rows,
-        feeds,
+    per_word = staged(feeds.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs")), "feeds-per-word")
+    part = F.pmod(F.xxhash64("feedUrl"), F.ceil(F.col("n_docs") / FEEDS_A_LIST)).alias("part")
+    lists = feeds.join(per_word, "word").groupBy("word", "n_docs", part).agg(F.collect_list(F.struct("feedUrl")).alias("feeds"))
+    lists = staged(lists, "feed-lists")
+    hot = hot_keys(frequencies, "n_docs", HOT_WORD_ROWS if min_hot_rows is None else min_hot_rows).select("word")
+    hot = lists.where(F.col("n_docs") <= FEEDS_A_LIST).join(hot, "word", "left_semi").select("word", "feeds")
+    names = F.broadcast(hot.select("word"))
+    cold = salted_join(
+        rows.join(names, "word", "left_anti"),
+        lists.select("word", "part", "feeds").join(names, "word", "left_anti"),
         ["word"],
         [F.col("uri")],
         frequencies,
         "n_docs",
-        right_spread=[F.col("feedUrl")],
+        right_spread=[F.col("part")],
         right_sizes=per_word,
         min_rows=min_hot_rows,
-    ).select("word", "feedUrl", "uri", "tfidf")
+    )
+    opened = F.inline("feeds")
+    columns = ["word", "feedUrl", "uri", "tfidf"]
+    of_hot = rows.join(F.broadcast(hot), "word").select("word", "uri", "tfidf", opened).select(*columns)
+    return of_hot.unionByName(cold.select("word", "uri", "tfidf", opened).select(*columns))
 
 
 def fan_out_by_document(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from feedtide.operators import tfidf
 from feedtide.session import staged
@@ -40,14 +40,17 @@ def score_terms(inputs: TermInputs) -> DataFrame:
     return tfidf.scores(inputs.counts, inputs.frequencies, inputs.attributes)
 
 
-def terms_by_feed(inputs: TermInputs, feed_scope: str = "word") -> DataFrame:
+def terms_by_feed(inputs: TermInputs, feed_scope: str = "word", score: Column | str = "tfidf") -> DataFrame:
     """Four-column scored terms, fanned out to feeds.
 
     ``feed_scope`` is "word" (every feed using the word, corpus-wide) or
     "document" (the document's own feeds). In word scope the un-fanned scores
-    are staged, because the fan-out reads them twice.
+    are staged, because the fan-out reads them several times. ``score`` may be an expression
+    of a score that stands for it, told before scores are fanned out.
     """
     scored = score_terms(inputs)
+    if isinstance(score, Column):
+        scored = scored.withColumn("tfidf", score)
     if feed_scope == "word":
         fanned = tfidf.fan_out_by_word(staged(scored, "scores"), inputs.frequencies)
     elif feed_scope == "document":

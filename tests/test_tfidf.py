@@ -41,6 +41,25 @@ def test_golden_word_scope(spark, min_hot_rows):
     assert own == pytest.approx({k: v for k, v in GOLDEN.items() if k not in foreign}, abs=1e-9)
 
 
+@pytest.mark.parametrize("min_hot_rows", [None, 1])
+@pytest.mark.parametrize("feeds_a_list", [3, 100])
+def test_feeds_travel_as_lists(spark, monkeypatch, min_hot_rows, feeds_a_list):
+    monkeypatch.setattr(tfidf, "FEEDS_A_LIST", feeds_a_list)
+    rows = [(f"l{i}", f"a {'b' if i % 2 else 'c'} d{i % 5 * 'x'}", None if i == 7 else f"f{i % 11}") for i in range(60)]
+    inputs = trends.term_inputs(items(spark, rows))
+    scored = trends.staged(trends.score_terms(inputs), "scores")
+    fanned = tfidf.fan_out_by_word(scored, inputs.frequencies, min_hot_rows)
+    assert "Generate inline(feeds" in fanned._jdf.queryExecution().optimizedPlan().toString()  # the join makes no row a feed
+    own = [(r.word, r.uri, r.tfidf, r.firstFeed) for r in scored.collect()]
+    feeds = {(word, feed) for word, _, _, feed in own}
+    want = [(word, feed, uri, value) for word, uri, value, _ in own for of, feed in feeds if of == word]
+    assert sorted(map(repr, map(tuple, fanned.collect()))) == sorted(map(repr, want))
+    told = trends.terms_by_feed(inputs, score=F.round("tfidf", 2))
+    assert sorted(map(repr, map(tuple, told.select("word", "feedUrl", "uri", "tfidf").collect()))) == sorted(
+        map(repr, map(tuple, fanned.withColumn("tfidf", F.round("tfidf", 2)).collect()))
+    )
+
+
 def test_pooling_of_one_link(spark):
     rows = [
         ("a", "x x y", "f2"), ("a", "x x y", "f2"), ("a", "x x y", "f1"), ("a", "z", "f1"), ("b", "y", "f3"),
